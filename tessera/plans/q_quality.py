@@ -1 +1,98 @@
-"""Queries (filled in below)."""
+"""Data-quality queries: expectation reports, uniqueness, unexpected values,
+record rules with quarantine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators import expectations as X
+from ..operators import rules as R
+from ..sources import tables as TB
+from . import oracle as O
+from .catalog import register
+from .q_clean import clean_dirty
+
+_CLEAN_COLS = list(S.CUSTOMER_COLUMNS)
+
+
+def _lineitem_suite():
+    return [
+        X.RowCountBetween(min_value=1),
+        X.NotNull("l_orderkey"),
+        X.NotNull("l_quantity"),
+        X.Between("l_quantity", min_value=1, max_value=50),
+        X.Between("l_discount", min_value=0.0, max_value=0.1),
+        X.MeanBetween("l_quantity", min_value=20.0, max_value=30.0),
+        X.InSet("l_returnflag", values=["A", "N", "R"]),
+        X.InSet("l_linestatus", values=["F", "O"]),
+        X.Unique(columns=["l_orderkey", "l_linenumber"]),
+        X.Predicate(expr="l_extendedprice > 0", name="positive_price"),
+        X.OfType("l_linenumber", type_name="int"),
+    ]
+
+
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                  "l_linestatus", "l_shipdate"]
+
+_REPORT_SQL = (O.with_ctes(O.clean_ctes(True)) + "select * from (\n"
+               + X.suite_sql("clean", _CLEAN_COLS, X.customer_suite()) + "\n)")
+
+
+@register("expectations_report", oracle=_REPORT_SQL)
+def expectations_report(spark, sf):
+    """The 47-rule customer suite over the cleaned table, one aggregate pass."""
+    return X.run_suite(clean_dirty(spark, sf), X.customer_suite())
+
+
+@register("expectations_summary", oracle=f"""
+with rep as ({_REPORT_SQL})
+select cast(count(*) as bigint) as total, cast(count_if(success) as bigint) as passed,
+       cast(count_if(not success) as bigint) as failed,
+       case when count(*) > 0 then round(count_if(success) / count(*), 4) else 0.0 end as success_rate
+from rep""")
+def expectations_summary(spark, sf):
+    return X.summarize(expectations_report(spark, sf))
+
+
+@register("lineitem_expectations", oracle="select * from (\n"
+          + X.suite_sql("lineitem", _LINEITEM_COLS, _lineitem_suite()) + "\n)")
+def lineitem_expectations(spark, sf):
+    """The same rule compiler on a native table."""
+    return X.run_suite(TB.table(spark, sf, "lineitem"), _lineitem_suite())
+
+
+@register("uniqueness_offenders", oracle="""
+select l_orderkey, l_linenumber, cast(count(*) as bigint) as n_rows
+from lineitem group by l_orderkey, l_linenumber having count(*) > 1""")
+def uniqueness_offenders(spark, sf):
+    """Keys that occur more than once (partial aggregation before the shuffle)."""
+    li = TB.table(spark, sf, "lineitem")
+    return (li.groupBy("l_orderkey", "l_linenumber")
+            .agg(F.count(F.lit(1)).alias("n_rows"))
+            .where(F.col("n_rows") > 1))
+
+
+def _unexpected_sql() -> str:
+    parts = []
+    for c, vals in S.IN_SET_RULES:
+        allowed = ", ".join(f"'{v}'" for v in vals)
+        parts.append(f"select '{c}' as \"column\", {c} as value from clean "
+                     f"where {c} is not null and {c} not in ({allowed})")
+    return (O.with_ctes(O.clean_ctes(True)) + "select \"column\", value, cast(count(*) as bigint) as n from (\n"
+            + "\nunion all\n".join(parts) + "\n) group by \"column\", value")
+
+
+@register("unexpected_values", oracle=_unexpected_sql())
+def unexpected_values(spark, sf):
+    """Every value outside its allowed set, with its count. One unpivot and
+    one aggregate for all columns; only offending values reach the shuffle."""
+    return R.unexpected_values(clean_dirty(spark, sf), S.IN_SET_RULES)
+
+
+@register("record_rules_quarantine", oracle=O.with_ctes(O.clean_ctes(True)) + R.request_rules_sql("clean"))
+def record_rules_quarantine(spark, sf):
+    """Per-record scoring rules: violations listed per row, valid flag."""
+    return R.apply_request_rules(clean_dirty(spark, sf)).select(
+        "customerID", "violations", "n_violations", "is_valid")
