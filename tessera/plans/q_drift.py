@@ -1 +1,240 @@
-"""Queries (filled in below)."""
+"""Drift queries: reference slice, numeric / categorical drift, report,
+retrain signal, missing values, distribution distances, weekly drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import expressions as E
+from ..operators import drift as D
+from ..operators import prefix as P
+from ..sources import tables as TB
+from . import oracle as O
+from .catalog import register
+from .q_clean import clean_base
+
+# -- reference slice: first max(1000, n // 5) cleaned rows in id order ----------
+
+
+def reference_slice_of(clean):
+    n = clean.count()
+    return P.first_n(clean, S.ID_COL, max(1000, n // 5), total=n)
+
+
+def shifted(df):
+    """Current batch with a deliberate shift (charges +80, tenure +60, every
+    contract two-year) — the drifting case of the monitor tests."""
+    return df.withColumns({"MonthlyCharges": F.col("MonthlyCharges") + 80.0,
+                           "tenure": F.col("tenure") + 60,
+                           "Contract": F.lit("Two year")})
+
+
+def _sides(spark, sf, shift=False):
+    clean = clean_base(spark, sf)
+    ref = reference_slice_of(clean)
+    return ref, (shifted(clean) if shift else clean)
+
+
+_SLICE_CTES = (O.clean_ctes(False) + """,
+ref as (select * from clean qualify row_number() over (order by customerID)
+        <= greatest(1000, (select count(*) from clean) // 5)),
+cur0 as (select * from clean),
+cur_shift as (select * replace (MonthlyCharges + 80.0 as MonthlyCharges, tenure + 60 as tenure,
+                                'Two year' as Contract) from clean)""")
+
+
+def _num_sql(cur: str) -> str:
+    parts = [f"select {i} as ord, '{c}' as feature, (select avg({c}) from ref) as rm, "
+             f"(select avg({c}) from {cur}) as cm, (select stddev_samp({c}) from ref) as rs"
+             for i, c in enumerate(S.DRIFT_NUMERICAL)]
+    return "num as (" + " union all ".join(parts) + "),\nnum_s as (select *, abs(cm - rm) / (rs + 1e-9) as score from num)"
+
+
+def _cat_sql(cur: str) -> str:
+    parts = []
+    for c in S.DRIFT_CATEGORICAL:
+        parts.append(f"select '{c}' as feature, cast({c} as varchar) as value, 'r' as side from ref")
+        parts.append(f"select '{c}' as feature, cast({c} as varchar) as value, 'c' as side from {cur}")
+    order = " ".join(f"when '{c}' then {len(S.DRIFT_NUMERICAL) + i}" for i, c in enumerate(S.DRIFT_CATEGORICAL))
+    return ("cat as (" + " union all ".join(parts) + "),\n"
+            "cat_n as (select feature, value, count_if(side = 'r') as nr, count_if(side = 'c') as nc "
+            "from cat where value is not null group by feature, value),\n"
+            "cat_p as (select *, coalesce(nr / nullif(sum(nr) over (partition by feature), 0), 0) as pr, "
+            "coalesce(nc / nullif(sum(nc) over (partition by feature), 0), 0) as pc from cat_n),\n"
+            f"cat_s as (select case feature {order} end as ord, feature, sum(abs(pr - pc)) / 2 as score "
+            "from cat_p group by feature)")
+
+
+def _drift_sql(cur: str, what: str) -> str:
+    head = "with " + _SLICE_CTES + ",\n" + _num_sql(cur) + ",\n" + _cat_sql(cur) + "\n"
+    if what == "num":
+        return head + ("select feature, round(rm, 4) as reference_mean, round(cm, 4) as current_mean, "
+                       "round(score, 4) as drift_score, coalesce(score > 0.3, false) as drifted from num_s")
+    if what == "cat":
+        return head + ("select feature, round(score, 4) as total_variation_distance, round(score, 4) as drift_score, "
+                       "coalesce(score > 0.3, false) as drifted from cat_s")
+    return head + f"""
+, feats as (select ord, feature, score, coalesce(score > 0.3, false) as drifted from num_s
+            union all select ord, feature, score, coalesce(score > 0.3, false) from cat_s)
+select 'simple_statistical' as method,
+       coalesce(string_agg(case when drifted then feature end, ',' order by ord), '') as drifted_features,
+       cast(count_if(drifted) as bigint) as n_drifted_features,
+       cast(count(*) as bigint) as n_features,
+       round(coalesce(avg(score), 0.0), 4) as drift_score,
+       coalesce(bool_or(drifted), false) as drift_detected,
+       (select count(*) from ref) as reference_rows,
+       (select count(*) from {cur}) as current_rows,
+       cast(0.3 as double) as drift_threshold
+from feats"""
+
+
+@register("reference_slice", oracle="with " + _SLICE_CTES + "\nselect * from ref")
+def reference_slice(spark, sf):
+    """First max(1000, n//5) rows in id order: the n-th id is found with the
+    bucketed rank over the id column alone, then the table is filtered."""
+    return reference_slice_of(clean_base(spark, sf))
+
+
+_NUM_COLS = ["feature", "reference_mean", "current_mean", "drift_score", "drifted"]
+_CAT_COLS = ["feature", "total_variation_distance", "drift_score", "drifted"]
+
+
+@register("drift_numeric", oracle=_drift_sql("cur0", "num"))
+def drift_numeric(spark, sf):
+    ref, cur = _sides(spark, sf)
+    return D.numeric_drift(ref, cur).select(*_NUM_COLS)
+
+
+@register("drift_categorical", oracle=_drift_sql("cur0", "cat"))
+def drift_categorical(spark, sf):
+    ref, cur = _sides(spark, sf)
+    return D.categorical_drift(ref, cur).select(*_CAT_COLS)
+
+
+@register("drift_report", oracle=_drift_sql("cur0", "report"))
+def drift_report(spark, sf):
+    ref, cur = _sides(spark, sf)
+    return D.drift_report(ref, cur)
+
+
+@register("drift_numeric_shifted", oracle=_drift_sql("cur_shift", "num"))
+def drift_numeric_shifted(spark, sf):
+    ref, cur = _sides(spark, sf, shift=True)
+    return D.numeric_drift(ref, cur).select(*_NUM_COLS)
+
+
+@register("drift_report_shifted", oracle=_drift_sql("cur_shift", "report"))
+def drift_report_shifted(spark, sf):
+    ref, cur = _sides(spark, sf, shift=True)
+    return D.drift_report(ref, cur)
+
+
+@register("retrain_decision", oracle=f"""
+with rep as ({_drift_sql("cur_shift", "report")})
+select drift_detected as retrain,
+       case when drift_detected then 'data drift in: ' || drifted_features else 'no drift' end as reason,
+       drift_score, n_drifted_features from rep""")
+def retrain_decision(spark, sf):
+    ref, cur = _sides(spark, sf, shift=True)
+    return D.retrain_decision(D.drift_report(ref, cur))
+
+
+_MISSING_COLS = [c for c in S.CUSTOMER_COLUMNS if c != S.ID_COL]
+
+
+def _missing_sql() -> str:
+    rows = []
+    for c in _MISSING_COLS:
+        rows.append(f"select '{c}' as \"column\", "
+                    f"(select count_if({c} is null) from r) as reference_nulls, "
+                    f"round(coalesce((select count_if({c} is null) / nullif(count(*), 0) from r), 0), 6) as reference_share, "
+                    f"(select count_if({c} is null) from c) as current_nulls, "
+                    f"round(coalesce((select count_if({c} is null) / nullif(count(*), 0) from c), 0), 6) as current_share")
+    cols_r = ", ".join(f"{O._to_number(c)} as {c}" if c == "TotalCharges" else c for c in _MISSING_COLS)
+    return (f"with r0 as ({TB.oracle_customer_view()}), c0 as ({TB.oracle_dirty_view()}),\n"
+            f"r as (select {cols_r} from r0), c as (select {cols_r} from c0)\n"
+            "select \"column\", cast(reference_nulls as bigint) as reference_nulls, reference_share, "
+            "cast(current_nulls as bigint) as current_nulls, current_share from (\n"
+            + "\nunion all\n".join(rows) + "\n)")
+
+
+@register("missing_values_compare", oracle=_missing_sql())
+def missing_values_compare(spark, sf):
+    """Nulls per column after number coercion: clean view vs dirty feed."""
+    coerce = {"TotalCharges": E.to_number("TotalCharges")}
+    ref = TB.customers_raw(spark, sf).withColumns(coerce)
+    cur = TB.customers_dirty(spark, sf).withColumns(coerce)
+    return D.missing_values(ref, cur, _MISSING_COLS)
+
+
+def _events_sql() -> str:
+    return """
+with ev as (select time_bucket(interval '7 days', ts, timestamp '1970-01-01') as window_start,
+                   value as x, event_type as cat from events),
+pw as (select window_start, avg(x) as m, stddev_samp(x) as s from ev group by window_start),
+r as (select * from pw order by window_start limit 1),
+num as (select window_start, 'value' as feature,
+               abs(m - (select m from r)) / ((select s from r) + 1e-9) as score from pw),
+cn as (select window_start, cat, count(*) as n from ev where cat is not null group by window_start, cat),
+sh as (select *, n / sum(n) over (partition by window_start) as p from cn),
+rs as (select cat, p as p_ref from sh where window_start = (select window_start from r)),
+allc as (select distinct window_start from sh),
+grid as (select a.window_start, rs.cat, rs.p_ref from allc a, rs),
+tv as (select coalesce(sh.window_start, grid.window_start) as window_start,
+              abs(coalesce(grid.p_ref, 0) - coalesce(sh.p, 0)) as d
+       from sh full outer join grid on sh.window_start = grid.window_start and sh.cat = grid.cat),
+cat as (select window_start, 'event_type' as feature, sum(d) / 2 as score from tv group by window_start)
+select window_start, feature, round(score, 4) as drift_score, coalesce(score > 0.3, false) as drifted
+from (select * from num union all select * from cat)"""
+
+
+@register("drift_by_week_events", oracle=_events_sql())
+def drift_by_week_events(spark, sf):
+    """Each epoch-aligned 7-day window of ``events`` against the first one."""
+    return D.windowed_drift(TB.table(spark, sf, "events"), "ts", "value", "event_type")
+
+
+_DIST_NUM = ["tenure", "MonthlyCharges", "TotalCharges"]
+_DIST_CAT = ["gender", "Contract", "PaymentMethod"]
+
+
+def _dist_sql() -> str:
+    num_parts, cat_parts = [], []
+    for c in _DIST_NUM:
+        num_parts.append(f"select '{c}' as feature, cast({c} as double) as v, 'r' as side from ref "
+                         f"union all select '{c}', cast({c} as double), 'c' from cur_shift")
+    for c in _DIST_CAT:
+        cat_parts.append(f"select '{c}' as feature, cast({c} as varchar) as v, 'r' as side from ref "
+                         f"union all select '{c}', cast({c} as varchar), 'c' from cur_shift")
+    return ("with " + _SLICE_CTES + ",\n"
+            "nu as (" + " union all ".join(num_parts) + "),\n"
+            "nc as (select feature, v, count_if(side = 'r') as nr, count_if(side = 'c') as nk "
+            "from nu where v is not null group by feature, v),\n"
+            "tot as (select feature, sum(nr) as tr, sum(nk) as tk from nc group by feature),\n"
+            "cum as (select nc.feature, v, nr, nk, sum(nr) over (partition by nc.feature order by v) / tr "
+            "- sum(nk) over (partition by nc.feature order by v) / tk as s, nr / tr - nk / tk as d "
+            "from nc join tot on nc.feature = tot.feature),\n"
+            "sd as (select feature, stddev_pop(v) as sdv from nu where side = 'r' and v is not null group by feature),\n"
+            "w as (select cum.feature, sum(v * (abs(s - d) - abs(s))) as w1, max(abs(s)) as ks "
+            "from cum group by cum.feature),\n"
+            "ca as (" + " union all ".join(cat_parts) + "),\n"
+            "cn as (select feature, v, count_if(side = 'r') as nr, count_if(side = 'c') as nk "
+            "from ca where v is not null group by feature, v),\n"
+            "cp as (select *, coalesce(nr / nullif(sum(nr) over (partition by feature), 0), 0) as p, "
+            "coalesce(nk / nullif(sum(nk) over (partition by feature), 0), 0) as q from cn),\n"
+            "js as (select feature, sqrt(greatest(0.0, (sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end) "
+            "+ sum(case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end)) / 2)) as js from cp group by feature),\n"
+            "out as (select w.feature, 'numeric' as kind, round(w1 / case when sdv = 0 then 1.0 else sdv end, 6) "
+            "as wasserstein_normed, round(ks, 6) as ks_statistic, cast(null as double) as jensen_shannon "
+            "from w join sd on w.feature = sd.feature\n"
+            "union all select feature, 'categorical', cast(null as double), cast(null as double), round(js, 6) from js)\n"
+            "select *, coalesce(coalesce(wasserstein_normed, jensen_shannon) > 0.1, false) as drifted from out")
+
+
+@register("dataset_drift_stats", oracle=_dist_sql())
+def dataset_drift_stats(spark, sf):
+    """Normed Wasserstein and KS (numeric), Jensen–Shannon (categorical)
+    between the reference slice and the shifted batch."""
+    ref, cur = _sides(spark, sf, shift=True)
+    return D.distribution_distances(ref, cur, _DIST_NUM, _DIST_CAT)
