@@ -45,18 +45,18 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
               .checkpoint(eager=True))
     grp = partition_cols + ["_bucket"]
     totals = ranged.groupBy(*grp).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+        F.count(F.lit(1)).alias("__rows"), *[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
     before = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *grp, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+        *grp, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__off_rows"),
+        *[F.coalesce(F.sum(f"__tot_{v}").over(before), F.lit(0)).alias(f"__offv_{v}") for v in value_cols])
     inside = Window.partitionBy(*grp).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (ranged.join(offsets, grp)
             .select(*keys, *value_cols,
-                    (F.col("_off_n") + F.row_number().over(Window.partitionBy(*grp).orderBy(*order_cols))).alias("_rank"),
-                    *[(F.col(f"_off_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in value_cols]))
+                    (F.col("__off_rows") + F.row_number().over(Window.partitionBy(*grp).orderBy(*order_cols))).alias("_rank"),
+                    *[(F.col(f"__offv_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in value_cols]))
 
 
 def nth_key(df: DataFrame, order_col: str, n: int, n_buckets: int | None = None):
