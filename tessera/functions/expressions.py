@@ -10,7 +10,9 @@ from .. import schemas as S
 # Text accepted as a number: optional sign, digits with optional fraction
 # (or a bare fraction), optional exponent, surrounding whitespace allowed.
 NUMERIC_TEXT_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_EDGE_WHITESPACE = r"^\s+|\s+$"
+# Characters removed by strip(): space, tab, newline, carriage return, form
+# feed, vertical tab.
+WHITESPACE = " \t\n\r\f\x0b"
 
 
 def col(c) -> Column:
@@ -19,7 +21,7 @@ def col(c) -> Column:
 
 def strip(c) -> Column:
     """Remove leading and trailing whitespace (spaces, tabs, newlines)."""
-    return F.regexp_replace(col(c), _EDGE_WHITESPACE, "")
+    return F.trim(col(c), F.lit(WHITESPACE))
 
 
 def to_number(c) -> Column:
@@ -36,8 +38,15 @@ def nan_to_null(c) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
+def sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def is_in(c, values) -> Column:
     """Membership that is false (not null) for null input, as pandas ``isin``."""
+    if isinstance(c, str):
+        vals = ", ".join(sql_str(v) for v in values)
+        return F.expr(f"coalesce(`{c}` in ({vals}), false)")
     return F.coalesce(col(c).isin(list(values)), F.lit(False))
 
 
@@ -63,7 +72,8 @@ def avg_monthly_spend(total="TotalCharges", tenure="tenure") -> Column:
 
 def has_any_addon(columns=None) -> Column:
     columns = columns or S.ADDON_COLUMNS
-    return F.greatest(*[is_in(c, ["Yes"]).cast("int") for c in columns])
+    flags = [is_in(c, ["Yes"]).cast("int") for c in columns]
+    return flags[0] if len(flags) == 1 else F.greatest(*flags)
 
 
 def services_count(columns=None, active=None) -> Column:

@@ -28,8 +28,10 @@ def _prepared(raw: DataFrame, order_cols: list[str], id_col: str,
     string_cols = [f.name for f in raw.schema.fields
                    if isinstance(f.dataType, T.StringType) and f.name in data_cols
                    and f.name != charges_col]
-    charges = E.to_number(charges_col)
-    fill = F.col("tenure").cast("double") * F.col("MonthlyCharges").cast("double")
+    has_charges = charges_col in data_cols
+    charges = E.to_number(charges_col) if has_charges else F.lit(None).cast("double")
+    fill = (F.col("tenure").cast("double") * F.col("MonthlyCharges").cast("double")
+            if {"tenure", "MonthlyCharges"} <= set(data_cols) else F.lit(None).cast("double"))
     exprs = {}
     for c in data_cols:
         if c == charges_col:
@@ -40,7 +42,7 @@ def _prepared(raw: DataFrame, order_cols: list[str], id_col: str,
             exprs[c] = F.col(c)
     out = raw.select(
         *[e.alias(c) for c, e in exprs.items()],
-        charges.isNull().alias("_charges_missing"),
+        (charges.isNull() if has_charges else F.lit(False)).alias("_charges_missing"),
         *order_cols,
     )
     if label_col in out.columns:
@@ -62,17 +64,18 @@ def _deduplicated(prepared: DataFrame, data_cols: list[str], order_cols: list[st
 
 
 def _final_casts(df: DataFrame, strict: bool) -> DataFrame:
-    out = df
-    for c in _INT_COLS:
-        if c in out.columns:
+    cols = []
+    for c in df.columns:
+        if c in _INT_COLS:
             v = F.col(c).cast("int")
             if strict:
                 v = F.when(v.isNull(), F.raise_error(F.lit(f"null value in integer column {c}"))).otherwise(v)
-            out = out.withColumn(c, v)
-    for c in _DOUBLE_COLS:
-        if c in out.columns:
-            out = out.withColumn(c, F.col(c).cast("double"))
-    return out
+            cols.append(v.alias(c))
+        elif c in _DOUBLE_COLS:
+            cols.append(F.col(c).cast("double").alias(c))
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols)
 
 
 def clean_customers(raw: DataFrame, order_cols: list[str] | None = None,

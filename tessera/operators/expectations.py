@@ -278,7 +278,7 @@ class Between(Rule):
         det = f"case when {v} = 0 then 'All values in {bounds}' else {v} || ' values outside {bounds}' end"
         c = self.column
         num = (f"case when typeof({c}) = 'VARCHAR' then (case when regexp_matches(cast({c} as varchar), "
-               f"'{E.NUMERIC_TEXT_PATTERN}') then try_cast(regexp_replace(cast({c} as varchar), '^\\s+|\\s+$', '', 'g') as double) end) "
+               f"'{E.NUMERIC_TEXT_PATTERN}') then try_cast(trim(cast({c} as varchar), (' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) as double) end) "
                f"else case when isnan(try_cast({c} as double)) then null else try_cast({c} as double) end end")
         inner = f"(select {num} as {x} from {src})"
         return _sql_row(self.rule_id, self.etype, c, f"{v} = 0", obs, det, inner)

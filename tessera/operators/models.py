@@ -134,19 +134,36 @@ def run_id_for(name: str, seed: int, data_tag: str) -> str:
     return hashlib.md5(f"{name}|{seed}|{data_tag}".encode()).hexdigest()
 
 
+def training_partitions(n_rows: int, rows_per_partition: int = 250_000) -> int:
+    """Partitions for cached training vectors: about 250k rows each, so
+    iterative learners (hundreds of passes) do not pay per-task overhead on
+    tiny data and still spread large data over the cluster."""
+    return max(1, -(-n_rows // rows_per_partition))
+
+
 def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, configs=None):
     """Fit every configuration (driver loop over a handful of models), score
     the test rows, compute the five metrics with the exact evaluator and
-    return (fitted models by name, runs DataFrame). Any failure aborts."""
+    return (fitted models by name, runs DataFrame). Any failure aborts.
+
+    The preprocessing pipeline is fitted once; the assembled training
+    vectors are cached (and released at the end) for all classifiers."""
     spark = train.sparkSession
-    train = with_weights(train).persist()
-    total_w = train.agg(F.sum("w_balanced")).first()[0]
+    weighted = with_weights(train)
+    n_rows = weighted.count()
+    prep = Pipeline(stages=preprocessing_stages()).fit(prepare(weighted))
+    vectors = (prep.transform(prepare(weighted))
+               .select("features", "label", "w_balanced", "w_pos3")
+               .repartition(training_partitions(n_rows))
+               .persist())
+    total_w = vectors.agg(F.sum("w_balanced")).first()[0]
     configs = configs or model_configs(total_w)
     fitted, rows = {}, []
     try:
         for cfg in configs:
             start = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-            model = fit(train, cfg["estimator"])
+            clf = cfg["estimator"].fit(vectors)
+            model = PipelineModel(stages=list(prep.stages) + [clf])
             preds = probabilities(model, test).select(
                 F.lit(cfg["name"]).alias("model"), "label",
                 F.col("churn_probability").alias("score"),
@@ -157,7 +174,7 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, configs=None
             rows.append((run_id_for(cfg["name"], S.SEED, data_tag), cfg["name"], "FINISHED", start,
                          cfg["params"], {"model_type": cfg["name"]}, metrics))
     finally:
-        train.unpersist()
+        vectors.unpersist()
     return fitted, spark.createDataFrame(rows, S.RUNS_SCHEMA)
 
 

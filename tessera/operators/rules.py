@@ -3,55 +3,52 @@ listing of values outside their allowed sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-# (rule name, Spark condition that marks a violation, SQL text of the same).
-# Bounds of the scoring request: SeniorCitizen in [0, 1], tenure >= 0,
-# MonthlyCharges > 0, TotalCharges >= 0, gender and Contract in their sets,
-# and every request field present.
+# Rules of a scoring request as (name, SQL predicate that marks a violation).
+# The same predicate text runs in Spark (``F.expr``) and in the SQL oracle.
+# Bounds: SeniorCitizen in [0, 1], tenure >= 0, MonthlyCharges > 0,
+# TotalCharges >= 0, gender and Contract in their sets, every field present.
 
 
-def _request_rules() -> list[tuple[str, Column, str]]:
+def _request_rules() -> list[tuple[str, str]]:
     g = ", ".join(f"'{v}'" for v in S.GENDER_VALUES)
     k = ", ".join(f"'{v}'" for v in S.CONTRACT_VALUES)
     rules = [
-        ("SeniorCitizen_out_of_range", (F.col("SeniorCitizen") < 0) | (F.col("SeniorCitizen") > 1),
-         "(SeniorCitizen < 0 or SeniorCitizen > 1)"),
-        ("tenure_negative", F.col("tenure") < 0, "tenure < 0"),
-        ("MonthlyCharges_not_positive", F.col("MonthlyCharges") <= 0, "MonthlyCharges <= 0"),
-        ("TotalCharges_negative", F.col("TotalCharges") < 0, "TotalCharges < 0"),
-        ("gender_invalid", ~F.col("gender").isin(S.GENDER_VALUES), f"gender not in ({g})"),
-        ("Contract_invalid", ~F.col("Contract").isin(S.CONTRACT_VALUES), f"Contract not in ({k})"),
+        ("SeniorCitizen_out_of_range", "(SeniorCitizen < 0 or SeniorCitizen > 1)"),
+        ("tenure_negative", "tenure < 0"),
+        ("MonthlyCharges_not_positive", "MonthlyCharges <= 0"),
+        ("TotalCharges_negative", "TotalCharges < 0"),
+        ("gender_invalid", f"gender not in ({g})"),
+        ("Contract_invalid", f"Contract not in ({k})"),
     ]
-    for f in S.REQUEST_SCHEMA.fields:
-        rules.append((f"{f.name}_missing", F.col(f.name).isNull(), f"{f.name} is null"))
+    rules += [(f"{f.name}_missing", f"{f.name} is null") for f in S.REQUEST_SCHEMA.fields]
     return rules
 
 
+def _sql_parts():
+    rules = _request_rules()
+    flags = [f"coalesce({sql}, false)" for _, sql in rules]
+    names = ", ".join(f"case when {fl} then '{name}' end" for (name, _), fl in zip(rules, flags))
+    count = " + ".join(f"cast({fl} as int)" for fl in flags)
+    return names, count
+
+
 def apply_request_rules(df: DataFrame) -> DataFrame:
     """Add ``violations`` (comma list of broken rules, in rule order),
     ``n_violations`` and ``is_valid``. Pure projection: no shuffle."""
-    rules = _request_rules()
-    flags = [F.coalesce(cond, F.lit(False)) for _, cond, _ in rules]
-    names = [F.when(flag, F.lit(name)) for (name, _, _), flag in zip(rules, flags)]
-    count = None
-    for flag in flags:
-        t = flag.cast("int")
-        count = t if count is None else count + t
+    names, count = _sql_parts()
     return df.withColumns({
-        "violations": F.concat_ws(",", *names),
-        "n_violations": count,
+        "violations": F.expr(f"concat_ws(',', {names})"),
+        "n_violations": F.expr(count),
     }).withColumn("is_valid", F.col("n_violations") == 0)
 
 
 def request_rules_sql(src: str) -> str:
-    rules = _request_rules()
-    flags = [f"coalesce({sql}, false)" for _, _, sql in rules]
-    names = ", ".join(f"case when {fl} then '{name}' end" for (name, _, _), fl in zip(rules, flags))
-    count = " + ".join(f"cast({fl} as int)" for fl in flags)
+    names, count = _sql_parts()
     return (f"select customerID, concat_ws(',', {names}) as violations, ({count}) as n_violations, "
             f"({count}) = 0 as is_valid from {src}")
 

@@ -17,8 +17,11 @@ _STRING_COLS = [c for c in S.CUSTOMER_COLUMNS
                 if c not in ("SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges")]
 
 
+WS_CHARS = "(' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+
+
 def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '{WS_RE}', '', 'g')"
+    return f"trim({c}, {WS_CHARS})"
 
 
 def _to_number(c: str) -> str:

@@ -15,10 +15,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations"]
 
 
+_SCANS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table (column pruning and filter pushdown
-    happen in Catalyst once the consumer selects and filters)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    happen in Catalyst once the consumer selects and filters). The scan
+    DataFrame is reused within a session, so its footer is read once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 # Customer view. Charges are derived with integer / decimal arithmetic only,
