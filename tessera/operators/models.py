@@ -141,7 +141,7 @@ def training_partitions(n_rows: int, rows_per_partition: int = 250_000) -> int:
     return max(1, -(-n_rows // rows_per_partition))
 
 
-def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, configs=None):
+def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=None):
     """Fit every configuration (driver loop over a handful of models), score
     the test rows, compute the five metrics with the exact evaluator and
     return (fitted models by name, runs DataFrame). Any failure aborts.
@@ -157,7 +157,7 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, configs=None
                .repartition(training_partitions(n_rows))
                .persist())
     total_w = vectors.agg(F.sum("w_balanced")).first()[0]
-    configs = configs or model_configs(total_w)
+    configs = [c for c in model_configs(total_w) if not model_names or c["name"] in model_names]
     fitted, rows = {}, []
     try:
         for cfg in configs:
