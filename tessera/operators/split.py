@@ -2,10 +2,16 @@
 
 Per class, the test set is the rows with the smallest ``md5(seed ‖ id)``.
 The test size is ``ceil(test_size · n)``, shared over classes by largest
-remainder (ties: smaller class label first). Ranking uses the bucketed
-running totals (never a single-task window); the result is a per-class
-threshold on ``(hash, id)``, so assigning rows to a side is a filter on the
-original frame — full rows are never shuffled for the split.
+remainder (ties: smaller class label first).
+
+The k-th smallest hash of each class is found by an exact cut on hash
+prefixes: md5 is uniform, so counting rows per (class, 4-hex-digit prefix)
+gives 65,536 evenly filled buckets whatever the data or its skew. The
+bucket holding the k-th row is narrowed by the next 4 digits until it holds
+few rows, which are then ranked exactly. Each step is one aggregate whose
+result is bounded by the bucket count, never by the data. The outcome is a
+per-class threshold on ``(hash, id)``: assigning rows to a side is a filter
+on the original frame, so full rows are never shuffled for the split.
 
 Unlike ``randomSplit``/``sampleBy`` the outcome does not depend on the
 partitioning, and md5 text is identical in other engines, which makes the
@@ -20,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import prefix
 
 
 def split_hash(id_col: str, seed: int) -> Column:
@@ -39,22 +44,67 @@ def allocate(class_counts: dict, test_size: float) -> dict:
     return base
 
 
+_DIGITS = 4                  # hex digits per narrowing step (65,536 buckets)
+_FINAL_ROWS = 20_000         # rank exactly once a boundary bucket is this small
+
+
+def _kth(keyed, k: int):
+    """(hash, id) of the k-th smallest row (1-based) of ``keyed`` (_h, _id)."""
+    prefix, rows, start = "", keyed, 1
+    while True:
+        rows_here = rows.where(F.substring("_h", 1, len(prefix)) == prefix) if prefix else rows
+        n_here = None
+        if prefix:
+            n_here = rows_here.count()
+        if n_here is not None and n_here <= _FINAL_ROWS:
+            ordered = rows_here.orderBy("_h", "_id").limit(k).collect()
+            last = ordered[-1]
+            return last["_h"], last["_id"]
+        bucket = F.substring("_h", start, _DIGITS)
+        counts = sorted((r["b"], r["n"]) for r in
+                        rows_here.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        before = 0
+        for b, n in counts:
+            if before + n >= k:
+                break
+            before += n
+        prefix, k, start = prefix + b, k - before, start + _DIGITS
+        if start > 32:  # whole hash fixed: rank the (tiny) set of equal hashes
+            ordered = rows.where(F.col("_h") == prefix).orderBy("_h", "_id").limit(k).collect()
+            last = ordered[-1]
+            return last["_h"], last["_id"]
+
+
 def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label",
                  test_size: float = S.TEST_SIZE, seed: int = S.SEED) -> Column:
     """Column expression 'train'/'test' for ``df`` (an id must be unique)."""
     keyed = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"),
                       split_hash(id_col, seed).alias("_h"))
-    counts = {r["_y"]: r["n"] for r in keyed.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = F.substring("_h", 1, _DIGITS)
+    level1 = keyed.groupBy("_y", first.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict = {}
+    for r in level1:
+        counts[r["_y"]] = counts.get(r["_y"], 0) + r["n"]
     if not counts:
         return F.lit("train")
-    k = allocate(counts, test_size)
-    ranked = prefix.running_totals(keyed, ["_h", "_id"], partition_cols=["_y"])
-    want = F.create_map(*[x for c, v in k.items() for x in (F.lit(c), F.lit(v))])
-    cuts = {r["_y"]: (r["_h"], r["_id"]) for r in
-            ranked.where(F.col("_rank") == want[F.col("_y")]).select("_y", "_h", "_id").collect()}
-    expr = None
+    quota = allocate(counts, test_size)
     h = split_hash(id_col, seed)
-    for c, (ch, cid) in cuts.items():
+    expr = None
+    for c, k in quota.items():
+        if k <= 0:
+            continue
+        cls = keyed.where(F.col("_y") == F.lit(c))
+        buckets = sorted((r["b"], r["n"]) for r in level1 if r["_y"] == c)
+        before = 0
+        for b, n in buckets:
+            if before + n >= k:
+                break
+            before += n
+        if n <= _FINAL_ROWS:
+            last = cls.where(F.substring("_h", 1, _DIGITS) == b).orderBy("_h", "_id").limit(k - before).collect()[-1]
+            ch, cid = last["_h"], last["_id"]
+        else:
+            ch, cid = _kth(cls, k)
         in_test = (F.col(label_col) == F.lit(c)) & (
             (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) <= F.lit(cid))))
         expr = in_test if expr is None else expr | in_test
