@@ -126,3 +126,17 @@ select Contract, cast(count(*) as bigint) as customers,
 def churn_by_contract(spark, sf):
     """Flagship: clean → features → churn rate and feature means per contract."""
     return features_base(spark, sf).groupBy("Contract").agg(*_by_contract_aggs())
+
+
+@register("table_shape", oracle=f"with raw as ({TB.oracle_dirty_view()})\n"
+          "select cast(count(*) as bigint) as rows, 22 as columns from raw")
+def table_shape(spark, sf):
+    """Rows and columns of the raw feed."""
+    return PR.shape(TB.customers_dirty(spark, sf))
+
+
+@register("preview_head", oracle=O.with_ctes(O.clean_ctes(True)) +
+          "select * from clean order by customerID limit 3")
+def preview_head(spark, sf):
+    """First three cleaned rows in id order (the limit is the feature)."""
+    return clean_dirty(spark, sf).orderBy("customerID").limit(3)

@@ -238,3 +238,20 @@ def dataset_drift_stats(spark, sf):
     between the reference slice and the shifted batch."""
     ref, cur = _sides(spark, sf, shift=True)
     return D.distribution_distances(ref, cur, _DIST_NUM, _DIST_CAT)
+
+
+@register("drift_bands", oracle=f"""
+with d as ({_drift_sql("cur_shift", "num")}
+union all
+select feature, null, null, round(score, 4), coalesce(score > 0.3, false) from cat_s)
+select feature, drift_score, drifted,
+       case when drift_score < 0.15 then 'low' when drift_score < 0.30 then 'medium' else 'high' end as band
+from d""")
+def drift_bands(spark, sf):
+    """Per-feature drift of the shifted batch, banded and sorted by score."""
+    ref, cur = _sides(spark, sf, shift=True)
+    num = D.numeric_drift(ref, cur).select("feature", "drift_score", "drifted")
+    cat = D.categorical_drift(ref, cur).select("feature", "drift_score", "drifted")
+    both = num.unionByName(cat)
+    return (both.withColumn("band", E.drift_band("drift_score"))
+            .orderBy(F.desc("drift_score"), "feature"))

@@ -126,3 +126,26 @@ from train group by label""")
 def class_weights(spark, sf):
     train = with_split(spark, sf).where(F.col("split") == "train")
     return PP.class_weights(train)
+
+
+@register("feature_metadata", oracle="with " + _SPLIT_CTES + ",\n" + """
+lv as (""" + " union all ".join(
+    f"select distinct '{c}' as feature, {c} as value from train where {c} is not null" for c in S.CATEGORICAL_FEATURES) + """)
+select 9 as n_numerical, 15 as n_categorical,
+       cast(9 + (select count(*) from lv) as bigint) as n_output_features,
+       (select count(*) from splitted where split = 'train') as train_rows,
+       (select count(*) from splitted where split = 'test') as test_rows,
+       round((select avg(cast(label as double)) from splitted where split = 'train'), 6) as train_churn_rate,
+       round((select avg(cast(label as double)) from splitted where split = 'test'), 6) as test_churn_rate""")
+def feature_metadata(spark, sf):
+    """Feature counts, output width, split sizes and label rates (one row)."""
+    df = with_split(spark, sf)
+    vocab = PP.vocabulary(df.where(F.col("split") == "train"))
+    width = vocab.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") + len(_NUM)).alias("w")).first()["w"]
+    stats = df.agg(
+        F.count_if(F.col("split") == "train").alias("train_rows"),
+        F.count_if(F.col("split") == "test").alias("test_rows"),
+        E.rnd(F.avg(F.when(F.col("split") == "train", F.col("label").cast("double"))), 6).alias("train_churn_rate"),
+        E.rnd(F.avg(F.when(F.col("split") == "test", F.col("label").cast("double"))), 6).alias("test_churn_rate"))
+    return stats.select(F.lit(len(_NUM)).alias("n_numerical"), F.lit(len(S.CATEGORICAL_FEATURES)).alias("n_categorical"),
+                        F.lit(width).cast("bigint").alias("n_output_features"), "*")

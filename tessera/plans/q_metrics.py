@@ -206,3 +206,10 @@ def metric_grades(spark, sf):
     display = F.when(v <= 1, F.format_string("%.2f%%", F.round(v * 100, 2) + F.lit(0.0))).otherwise(
         F.format_string("%.4f", F.round(v, 4) + F.lit(0.0)))
     return long.select("metric", "value", grade.alias("grade"), display.alias("display"))
+
+
+@register("top_runs", oracle=_RUNS_CTES + """
+select run_id, model_type, roc_auc from runs order by roc_auc desc nulls last, run_id limit 10""")
+def top_runs(spark, sf):
+    """Finished runs by ROC-AUC, top 10 (the limit is the feature)."""
+    return R.best_runs(runs_table(spark, sf), "roc_auc", 10)
