@@ -234,16 +234,36 @@ def windowed_drift(df: DataFrame, ts_col: str, numeric: str, categorical: str,
     ev = df.select(F.window(F.col(ts_col), window).start.alias("window_start"),
                    _num(numeric).alias("x"), F.col(categorical).cast("string").alias("cat"))
     per_window = ev.groupBy("window_start").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    counts = (ev.where(F.col("cat").isNotNull()).groupBy("window_start", "cat")
+              .agg(F.count(F.lit(1)).alias("n")))
+    return score_windows(per_window, counts, numeric, categorical, threshold)
+
+
+def window_moments_from_sums(counts: DataFrame) -> DataFrame:
+    """Per-window mean and sample deviation from (n, sum, sum of squares)
+    aggregates, as emitted by the windowed stream."""
+    w = counts.groupBy("window_start").agg(F.sum("n").alias("n"), F.sum("sum_value").alias("s1"),
+                                           F.sum("sum_sq").alias("s2"))
+    mean = F.col("s1") / F.col("n")
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
+    return w.select("window_start", mean.alias("m"),
+                    F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("s"))
+
+
+def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, categorical: str,
+                  threshold: float = S.DRIFT_THRESHOLD) -> DataFrame:
+    """Numeric and categorical drift of every window against the first one,
+    from per-window moments (window_start, m, s) and category counts
+    (window_start, cat, n)."""
     # The reference window's moments are one row: read them once as scalars.
     ref = per_window.agg(F.min_by(F.struct("window_start", "m", "s"), F.col("window_start")).alias("r")).first()["r"]
     if ref is None:
-        return df.sparkSession.createDataFrame([], "window_start timestamp, feature string, drift_score double, drifted boolean")
+        return per_window.sparkSession.createDataFrame(
+            [], "window_start timestamp, feature string, drift_score double, drifted boolean")
     ws0, ref_m, ref_s = ref["window_start"], ref["m"], ref["s"]
     num = per_window.select(
         "window_start", F.lit(numeric).alias("feature"),
         (F.abs(F.col("m") - F.lit(ref_m)) / (F.lit(ref_s).cast("double") + F.lit(S.DRIFT_EPSILON))).alias("score"))
-    counts = (ev.where(F.col("cat").isNotNull()).groupBy("window_start", "cat")
-              .agg(F.count(F.lit(1)).alias("n")))
     shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("window_start")))
     ref_shares = shares.where(F.col("window_start") == F.lit(ws0)).select("cat", F.col("p").alias("p_ref"))
     cat = (shares.join(ref_shares, "cat", "left")

@@ -255,3 +255,17 @@ def drift_bands(spark, sf):
     both = num.unionByName(cat)
     return (both.withColumn("band", E.drift_band("drift_score"))
             .orderBy(F.desc("drift_score"), "feature"))
+
+
+@register("dataset_drift_summary", oracle=f"""
+with d as ({_dist_sql()})
+select cast(count(*) as bigint) as n_features, cast(count_if(drifted) as bigint) as n_drifted,
+       round(count_if(drifted) / count(*), 6) as drift_share,
+       count_if(drifted) / count(*) >= 0.5 as dataset_drift
+from d""")
+def dataset_drift_summary(spark, sf):
+    """Dataset-level flag: share of drifted columns ≥ 0.5."""
+    d = dataset_drift_stats(spark, sf)
+    share = F.count_if("drifted") / F.count(F.lit(1))
+    return d.agg(F.count(F.lit(1)).alias("n_features"), F.count_if("drifted").alias("n_drifted"),
+                 E.rnd(share, 6).alias("drift_share"), (share >= 0.5).alias("dataset_drift"))

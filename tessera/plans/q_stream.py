@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import drift as D
 from ..operators import models as MD
 from ..session import scratch_path
 from ..sources import tables as TB
@@ -52,3 +53,14 @@ def stream_window_counts(spark, sf):
     q = ST.start_window_counts(spark, f"{root}/in", schema, f"{root}/out", f"{root}/_checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@register("stream_window_drift")
+def stream_window_drift(spark, sf):
+    """Drift of each closed 7-day window of the ``events`` stream against
+    the first window, computed from the streamed window aggregates."""
+    counts = stream_window_counts(spark, sf)
+    per_window = D.window_moments_from_sums(counts)
+    cats = counts.where(F.col("category").isNotNull()).select(
+        "window_start", F.col("category").alias("cat"), "n")
+    return D.score_windows(per_window, cats, "value", "event_type")
