@@ -16,7 +16,7 @@ joins and windows that follow run on report-sized data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -80,10 +80,12 @@ def category_counts(ref: DataFrame, cur: DataFrame, features) -> DataFrame:
               .groupBy("feature", "value")
               .agg(F.count_if(F.col("_side") == REF).alias("n_ref"),
                    F.count_if(F.col("_side") == CUR).alias("n_cur")))
-    per_feature = Window.partitionBy("feature")
-    return (counts
-            .withColumn("share_ref", F.coalesce(F.try_divide(F.col("n_ref"), F.sum("n_ref").over(per_feature)), F.lit(0.0)))
-            .withColumn("share_cur", F.coalesce(F.try_divide(F.col("n_cur"), F.sum("n_cur").over(per_feature)), F.lit(0.0))))
+    # one row per feature: the totals table is bounded by the column count
+    totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
+    return (counts.join(F.broadcast(totals), "feature")
+            .withColumn("share_ref", F.coalesce(F.try_divide(F.col("n_ref"), F.col("t_ref")), F.lit(0.0)))
+            .withColumn("share_cur", F.coalesce(F.try_divide(F.col("n_cur"), F.col("t_cur")), F.lit(0.0)))
+            .drop("t_ref", "t_cur"))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, features=None,
@@ -264,7 +266,8 @@ def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, catego
     num = per_window.select(
         "window_start", F.lit(numeric).alias("feature"),
         (F.abs(F.col("m") - F.lit(ref_m)) / (F.lit(ref_s).cast("double") + F.lit(S.DRIFT_EPSILON))).alias("score"))
-    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("window_start")))
+    per_w = counts.groupBy("window_start").agg(F.sum("n").alias("tot"))
+    shares = counts.join(per_w, "window_start").withColumn("p", F.col("n") / F.col("tot")).drop("tot")
     ref_shares = shares.where(F.col("window_start") == F.lit(ws0)).select("cat", F.col("p").alias("p_ref"))
     cat = (shares.join(ref_shares, "cat", "left")
            .groupBy("window_start")

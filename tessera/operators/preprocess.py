@@ -12,7 +12,7 @@ Fitting produces one small row per feature; applying it is a projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -77,8 +77,8 @@ def vocabulary(df: DataFrame, cols=None) -> DataFrame:
     """(feature, value, slot, name): sorted distinct levels per feature."""
     cols = cols or S.CATEGORICAL_FEATURES
     levels = _unpivot(df, cols, "string").where(F.col("value").isNotNull()).distinct()
-    slot = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
-    return levels.select("feature", "value", slot.alias("slot"),
+    ranked = prefix.running_totals(levels, ["value"], partition_cols=["feature"])
+    return ranked.select("feature", "value", (F.col("_rank") - 1).cast("int").alias("slot"),
                          F.concat(F.lit("categorical__"), F.col("feature"), F.lit("_"), F.col("value")).alias("name"))
 
 
