@@ -101,6 +101,12 @@ class Rule:
     def aggs(self, df: DataFrame) -> list[Column]:
         return []
 
+    def distinct_aggs(self, df: DataFrame) -> list[Column]:
+        """Exact distinct counts: each runs as its own aggregate (two-phase,
+        keyed on the counted columns) instead of forcing an Expand of the
+        whole rule pass."""
+        return []
+
     def row(self, df: DataFrame) -> Column:
         raise NotImplementedError
 
@@ -327,8 +333,12 @@ class UniqueCountBetween(Rule):
     def aggs(self, df):
         if self.column not in df.columns:
             return []
-        return [F.count_distinct(F.col(self.column)).alias(self._a("nd")),
-                F.count(F.lit(1)).alias(self._a("rows"))]
+        return [F.count(F.lit(1)).alias(self._a("rows"))]
+
+    def distinct_aggs(self, df):
+        if self.column not in df.columns:
+            return []
+        return [F.count_distinct(F.col(self.column)).alias(self._a("nd"))]
 
     def _bound(self, v, rows):
         return rows if v == "rows" else F.lit(v)
@@ -399,10 +409,13 @@ class Unique(Rule):
         return self.columns or [self.column]
 
     def aggs(self, df):
-        return [(F.count(F.lit(1)) - F.count_distinct(*[F.col(c) for c in self._cols()])).alias(self._a("dups"))]
+        return [F.count(F.lit(1)).alias(self._a("rows"))]
+
+    def distinct_aggs(self, df):
+        return [F.count_distinct(*[F.col(c) for c in self._cols()]).alias(self._a("nd"))]
 
     def row(self, df):
-        d = F.col(self._a("dups"))
+        d = F.col(self._a("rows")) - F.col(self._a("nd"))
         name = ",".join(self._cols())
         return _row(self.rule_id, self.etype, name, d == 0,
                     F.concat(d.cast("string"), F.lit(" duplicate rows")),
@@ -458,11 +471,28 @@ def _numbered(rules: list[Rule]) -> list[Rule]:
     return rules
 
 
-def run_suite(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Evaluate every rule in one aggregate pass; one report row per rule."""
+def run_suite(df: DataFrame, rules: list[Rule], separate_distinct: bool = True) -> DataFrame:
+    """Evaluate every rule in one aggregate pass; one report row per rule.
+
+    Exact distinct counts mixed into that pass make Spark expand every row
+    once per distinct group. With ``separate_distinct`` (the default, right
+    for scans) each distinct count is its own two-phase aggregate instead;
+    for an expensive derived input pass ``False`` so the input is computed
+    only once."""
     rules = _numbered(rules)
     aggs = [a for r in rules for a in r.aggs(df)]
-    base = df.agg(*aggs) if aggs else df.sparkSession.range(1)
+    distinct = [d for r in rules for d in r.distinct_aggs(df)]
+    if not separate_distinct:
+        aggs, distinct = aggs + distinct, []
+    parts = [df.agg(*aggs) if aggs else df.sparkSession.range(1).select(F.lit(1).alias("_one"))]
+    parts += [df.agg(d) for d in distinct]
+    base = parts[0]
+    if len(parts) > 1:
+        # one-row results side by side: union (missing columns null) and fold
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p, allowMissingColumns=True)
+        base = u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
     return base.select(F.inline(F.array(*[r.row(df) for r in rules])))
 
 
