@@ -237,6 +237,42 @@ class OfType(Rule):
                         f"'Expected type ''{self.type_name}'', got ''' || {fam} || ''''", src)
 
 
+@dataclass
+class CastableTo(Rule):
+    """Text values that do not convert to the type (nulls ignored). A
+    declared schema makes :class:`OfType` trivially true for typed columns;
+    this checks the raw text instead."""
+    type_name: str = "float"
+    etype = "expect_column_values_to_be_castable"
+
+    def _pattern(self) -> str:
+        if self.type_name == "int":
+            return r"^\s*[+-]?\d+\s*$"
+        return E.NUMERIC_TEXT_PATTERN
+
+    def aggs(self, df):
+        if self.column not in df.columns:
+            return []
+        c = F.col(self.column).cast("string")
+        return [F.count_if(c.isNotNull() & ~c.rlike(self._pattern())).alias(self._a("bad"))]
+
+    def row(self, df):
+        if self.column not in df.columns:
+            return _missing_row(self.rule_id, self.etype, self.column)
+        b = F.col(self._a("bad"))
+        return _row(self.rule_id, self.etype, self.column, b == 0,
+                    F.concat(b.cast("string"), F.lit(" values not castable")),
+                    F.lit(f"Expected text convertible to '{self.type_name}'"))
+
+    def sql_row(self, src, columns):
+        if self.column not in columns:
+            return _missing_sql(self.rule_id, self.etype, self.column)
+        c = self.column
+        b = f"count_if({c} is not null and not regexp_matches(cast({c} as varchar), '{self._pattern()}'))"
+        details = "'Expected text convertible to ''" + self.type_name + "'''"
+        return _sql_row(self.rule_id, self.etype, c, f"{b} = 0", f"{b} || ' values not castable'", details, src)
+
+
 @dataclass
 class Between(Rule):
     min_value: float | None = None

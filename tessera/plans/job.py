@@ -43,7 +43,8 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
     clean = spark.read.parquet(f"{out}/processed")
     IO.write_report(C.cleaning_report(raw, order_cols=list(order_cols)), f"{out}/reports/ingestion", run_ts)
     n = clean.count()
-    reference = P.first_n(clean, S.ID_COL, max(1000, n // 5), total=n)
+    IO.write_table(P.first_n(clean, S.ID_COL, max(1000, n // 5), total=n), f"{out}/reference")
+    reference = spark.read.parquet(f"{out}/reference")
 
     # 2. validate: report always written; the gate only raises when asked to
     report = X.run_suite(clean, X.customer_suite())
@@ -77,8 +78,11 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
      .write.mode("append").partitionBy("snapshot").parquet(versions_path))
     promoted = spark.read.parquet(versions_path).where(F.col("snapshot") == snapshot).drop("snapshot")
     best_row = best.first()
-    if best_row is not None:
-        MD.save(fitted[best_row["model_type"]], f"{out}/models/{best_row['run_id']}")
+    this_job = {r["run_id"]: r["model_type"] for r in runs.select("run_id", "model_type").collect()}
+    for run_id, model_type in this_job.items():
+        # every fitted model is kept under its run id; serving picks by version
+        MD.save(fitted[model_type], f"{out}/models/{run_id}")
+    del best_row
 
     # 6. monitor: drift never blocks the batch
     try:

@@ -96,3 +96,25 @@ def record_rules_quarantine(spark, sf):
     """Per-record scoring rules: violations listed per row, valid flag."""
     return R.apply_request_rules(clean_dirty(spark, sf)).select(
         "customerID", "violations", "n_violations", "is_valid")
+
+
+def _raw_suite():
+    return [
+        X.RowCountBetween(min_value=1),
+        X.CastableTo("TotalCharges", type_name="float"),
+        X.CastableTo("tenure", type_name="int"),
+        X.InSet("Churn", values=["Yes", "No", "1", "0"]),
+        X.NotNull("customerID"),
+        X.Unique("customerID"),
+    ]
+
+
+_RAW_COLS = list(S.CUSTOMER_COLUMNS) + ["load_order"]
+
+
+@register("raw_expectations", oracle=f"with raw as ({TB.oracle_dirty_view()})\nselect * from (\n"
+          + X.suite_sql("raw", _RAW_COLS, _raw_suite()) + "\n)")
+def raw_expectations(spark, sf):
+    """Checks on the raw feed before cleaning: charges text convertible to a
+    number, raw label forms, id presence and uniqueness."""
+    return X.run_suite(TB.customers_dirty(spark, sf), _raw_suite(), separate_distinct=False)

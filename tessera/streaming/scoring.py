@@ -24,13 +24,49 @@ from ..operators import models as MD
 from ..operators import rules as R
 
 
-def start_scoring_stream(spark: SparkSession, source_dir: str, model: PipelineModel,
+class ServingModel:
+    """The serving model from the registry table: the newest Production
+    version (else the newest), re-resolved once per micro-batch and reloaded
+    from ``models_root/<run_id>`` only when the version changed."""
+
+    def __init__(self, spark: SparkSession, versions_path: str, models_root: str, name: str):
+        self.spark, self.versions_path, self.models_root, self.name = spark, versions_path, models_root, name
+        self.version, self.model = None, None
+
+    def current(self):
+        from ..operators import registry as REG
+        snaps = self.spark.read.parquet(self.versions_path)
+        if "snapshot" in snaps.columns:
+            last = snaps.agg(F.max("snapshot")).first()[0]
+            snaps = snaps.where(F.col("snapshot") == last).drop("snapshot")
+        row = REG.serving_version(snaps, self.name).first()
+        if row is None:
+            raise RuntimeError(f"No versions found for model '{self.name}'. Run the training job first.")
+        if row["version"] != self.version:
+            self.model = PipelineModel.load(f"{self.models_root.rstrip('/')}/{row['run_id']}")
+            self.version = row["version"]
+        return str(self.version), self.model
+
+
+class _Fixed:
+    def __init__(self, model, version):
+        self.model, self.version = model, version
+
+    def current(self):
+        return self.version, self.model
+
+
+def start_scoring_stream(spark: SparkSession, source_dir: str, model,
                          valid_dir: str, rejected_dir: str, checkpoint_dir: str,
-                         version: str, name: str, run_ts: str, available_now: bool = True):
+                         version: str | None, name: str, run_ts: str, available_now: bool = True):
+    """``model`` is a fitted ``PipelineModel`` (with ``version``) or a
+    :class:`ServingModel` that follows the registry."""
+    source = model if isinstance(model, ServingModel) else _Fixed(model, version)
     schema = S.CLEAN_CUSTOMER_SCHEMA
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).json(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        version, model = source.current()
         checked = R.apply_request_rules(FE.engineer_features(batch)).persist()
         try:
             valid = checked.where("is_valid")

@@ -71,3 +71,21 @@ def test_training_job_end_to_end(spark):
     assert res.drift.first()["status"] == "ok"
     assert res.validation_failed >= 0
     assert os.path.isdir(os.path.join(out, "models"))
+
+
+def test_stream_follows_the_registry(spark):
+    from tessera.streaming import scoring as ST
+    out = tempfile.mkdtemp(prefix="tessera-serve-")
+    raw = SY.generate_customers(spark, 1200, seed=11).withColumn("load_order", F.lit(1))
+    run_training_job(spark, raw, out, "2024-03-01T00:00:00", model_names=["LogisticRegression"])
+    feed = os.path.join(out, "feed")
+    spark.read.parquet(os.path.join(out, "processed")).limit(50).write.json(feed)
+    serving = ST.ServingModel(spark, os.path.join(out, "model_versions"), os.path.join(out, "models"),
+                              "churn-classifier")
+    q = ST.start_scoring_stream(spark, feed, serving, os.path.join(out, "valid"), os.path.join(out, "rejected"),
+                                os.path.join(out, "_ckpt"), version=None, name="LogisticRegression",
+                                run_ts="2024-03-02T00:00:00")
+    q.awaitTermination()
+    scored = spark.read.parquet(os.path.join(out, "valid"))
+    assert scored.count() > 0
+    assert {r["model_version"] for r in scored.select("model_version").distinct().collect()} == {"1"}
