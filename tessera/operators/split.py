@@ -57,8 +57,7 @@ def _kth(keyed, k: int):
         if prefix:
             n_here = rows_here.count()
         if n_here is not None and n_here <= _FINAL_ROWS:
-            ordered = rows_here.orderBy("_h", "_id").limit(k).collect()
-            last = ordered[-1]
+            last = rows_here.orderBy("_h", "_id").offset(k - 1).limit(1).first()
             return last["_h"], last["_id"]
         bucket = F.substring("_h", start, _DIGITS)
         counts = sorted((r["b"], r["n"]) for r in
@@ -70,8 +69,7 @@ def _kth(keyed, k: int):
             before += n
         prefix, k, start = prefix + b, k - before, start + _DIGITS
         if start > 32:  # whole hash fixed: rank the (tiny) set of equal hashes
-            ordered = rows.where(F.col("_h") == prefix).orderBy("_h", "_id").limit(k).collect()
-            last = ordered[-1]
+            last = rows.where(F.col("_h") == prefix).orderBy("_h", "_id").offset(k - 1).limit(1).first()
             return last["_h"], last["_id"]
 
 
@@ -101,7 +99,8 @@ def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label"
                 break
             before += n
         if n <= _FINAL_ROWS:
-            last = cls.where(F.substring("_h", 1, _DIGITS) == b).orderBy("_h", "_id").limit(k - before).collect()[-1]
+            last = (cls.where(F.substring("_h", 1, _DIGITS) == b).orderBy("_h", "_id")
+                    .offset(k - before - 1).limit(1).first())
             ch, cid = last["_h"], last["_id"]
         else:
             ch, cid = _kth(cls, k)

@@ -2,7 +2,8 @@
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
 Values are compared as multisets of rows after sorting columns by name;
-doubles are compared after rounding to 9 significant digits.
+doubles are compared after rounding to 9 significant digits, or exactly
+with ``--strict``.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from tessera.session import get_session  # noqa: E402
 from tessera.sources.tables import TABLES  # noqa: E402
 
 
+STRICT = False
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return repr(v) if STRICT else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
@@ -59,8 +63,11 @@ def compare(spark, con, name, q, sf):
 
 
 def main():
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:]
+    global STRICT
+    args = [a for a in sys.argv[1:] if a != "--strict"]
+    STRICT = len(args) != len(sys.argv) - 1
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:]
     spark = get_session("local[8]", shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:

@@ -92,3 +92,22 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([(0,)] * 3 + [(1,)], "label int")
     w = {r["label"]: r["weight"] for r in PP.class_weights(df).collect()}
     assert w == {0: round(4 / 6, 6), 1: 2.0}
+
+
+def test_split_narrowing_path_matches_brute_force(spark, monkeypatch):
+    import hashlib
+    monkeypatch.setattr(SP, "_DIGITS", 1)       # 16 buckets per step
+    monkeypatch.setattr(SP, "_FINAL_ROWS", 3)   # force several narrowing steps
+    ids = [f"id{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, n % 3 == 0) for n, i in enumerate(ids)], "customerID string, label boolean") \
+        .withColumn("label", F.col("label").cast("int"))
+    got = {r["customerID"]: r["split"] for r in SP.stratified_split(df).collect()}
+    rows = [(i, int(n % 3 == 0)) for n, i in enumerate(ids)]
+    counts = {0: sum(1 for _, y in rows if y == 0), 1: sum(1 for _, y in rows if y == 1)}
+    quota = SP.allocate(counts, 0.2)
+    want = {}
+    for y in (0, 1):
+        members = sorted((hashlib.md5(("42" + i).encode()).hexdigest(), i) for i, yy in rows if yy == y)
+        for rank, (_, i) in enumerate(members, start=1):
+            want[i] = "test" if rank <= quota[y] else "train"
+    assert got == want
