@@ -30,7 +30,8 @@ def _prepared(raw: DataFrame, order_cols: list[str], id_col: str,
                    and f.name != charges_col]
     has_charges = charges_col in data_cols
     charges = E.to_number(charges_col) if has_charges else F.lit(None).cast("double")
-    fill = (F.col("tenure").cast("double") * F.col("MonthlyCharges").cast("double")
+    # "+ 0.0" turns a product of -0.0 into 0.0, so both engines print it alike
+    fill = (F.col("tenure").cast("double") * F.col("MonthlyCharges").cast("double") + F.lit(0.0)
             if {"tenure", "MonthlyCharges"} <= set(data_cols) else F.lit(None).cast("double"))
     exprs = {}
     for c in data_cols:

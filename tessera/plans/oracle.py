@@ -36,7 +36,7 @@ def clean_ctes(dirty: bool) -> str:
     cols = []
     for c in S.CUSTOMER_COLUMNS:
         if c == "TotalCharges":
-            cols.append(f"coalesce({_to_number(c)}, cast(tenure as double) * cast(MonthlyCharges as double)) as TotalCharges")
+            cols.append(f"coalesce({_to_number(c)}, cast(tenure as double) * cast(MonthlyCharges as double) + 0.0) as TotalCharges")
         elif c == "Churn":
             cols.append(f"case when {_strip(c)} in ('Yes', '1') then 'Yes' else 'No' end as Churn")
         elif c in _STRING_COLS:
