@@ -212,12 +212,16 @@ def _dist_sql() -> str:
             "nc as (select feature, v, count_if(side = 'r') as nr, count_if(side = 'c') as nk "
             "from nu where v is not null group by feature, v),\n"
             "tot as (select feature, sum(nr) as tr, sum(nk) as tk from nc group by feature),\n"
-            "cum as (select nc.feature, v, nr, nk, sum(nr) over (partition by nc.feature order by v) / tr "
+            "cum as (select nc.feature, v, nr, nk, tr, tk, sum(nr) over (partition by nc.feature order by v) / tr "
             "- sum(nk) over (partition by nc.feature order by v) / tk as s, nr / tr - nk / tk as d "
             "from nc join tot on nc.feature = tot.feature),\n"
             "sd as (select feature, stddev_pop(v) as sdv from nu where side = 'r' and v is not null group by feature),\n"
-            "w as (select cum.feature, sum(v * (abs(s - d) - abs(s))) as w1, max(abs(s)) as ks "
-            "from cum group by cum.feature),\n"
+            "w as (select cum.feature, sum(v * (abs(s - d) - abs(s))) as w1, max(abs(s)) as ks, "
+            "any_value(tr) as tr, any_value(tk) as tk from cum group by cum.feature),\n"
+            "w2 as (select *, tr * tk / (tr + tk) as en from w),\n"
+            "w3 as (select *, (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * ks as lam from w2),\n"
+            "w4 as (select *, case when lam < 0.3 then 1.0 else least(1.0, greatest(0.0, list_sum(list_transform("
+            "range(1, 101), lambda j: 2.0 * pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam))))) end as pv from w3),\n"
             "ca as (" + " union all ".join(cat_parts) + "),\n"
             "cn as (select feature, v, count_if(side = 'r') as nr, count_if(side = 'c') as nk "
             "from ca where v is not null group by feature, v),\n"
@@ -225,11 +229,16 @@ def _dist_sql() -> str:
             "coalesce(nk / nullif(sum(nk) over (partition by feature), 0), 0) as q from cn),\n"
             "js as (select feature, sqrt(greatest(0.0, (sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end) "
             "+ sum(case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end)) / 2)) as js from cp group by feature),\n"
-            "out as (select w.feature, 'numeric' as kind, round(w1 / case when sdv = 0 then 1.0 else sdv end, 6) "
-            "as wasserstein_normed, round(ks, 6) as ks_statistic, cast(null as double) as jensen_shannon "
-            "from w join sd on w.feature = sd.feature\n"
-            "union all select feature, 'categorical', cast(null as double), cast(null as double), round(js, 6) from js)\n"
-            "select *, coalesce(coalesce(wasserstein_normed, jensen_shannon) > 0.1, false) as drifted from out")
+            "out as (select w4.feature, 'numeric' as kind, round(w1 / case when sdv = 0 then 1.0 else sdv end, 6) "
+            "as wasserstein_normed, round(ks, 6) as ks_statistic, round(pv, 6) as ks_pvalue, "
+            "cast(null as double) as jensen_shannon, "
+            "case when least(tr, tk) <= 1000 then 'ks' else 'wasserstein' end as test, "
+            "coalesce(case when least(tr, tk) <= 1000 then pv < 0.05 "
+            "else w1 / case when sdv = 0 then 1.0 else sdv end > 0.1 end, false) as drifted "
+            "from w4 join sd on w4.feature = sd.feature\n"
+            "union all select feature, 'categorical', cast(null as double), cast(null as double), "
+            "cast(null as double), round(js, 6), 'jensen_shannon', coalesce(js > 0.1, false) from js)\n"
+            "select * from out")
 
 
 @register("dataset_drift_stats", oracle=_dist_sql())

@@ -88,6 +88,13 @@ def test_distribution_distances_against_brute_force(spark):
     assert out["x"]["wasserstein_normed"] == pytest.approx(w1 / sd, abs=1e-6)
     assert out["x"]["ks_statistic"] == pytest.approx(ks, abs=1e-6)
     assert 0 < out["c"]["jensen_shannon"] <= 1
+    import math
+    en = len(a) * len(b) / (len(a) + len(b))
+    lam = (math.sqrt(en) + 0.12 + 0.11 / math.sqrt(en)) * ks
+    q = 1.0 if lam < 0.3 else min(1.0, max(0.0, sum(2 * (-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam)
+                                                   for j in range(1, 101))))
+    assert out["x"]["ks_pvalue"] == pytest.approx(q, abs=1e-6)
+    assert out["x"]["test"] == "ks" and out["x"]["drifted"] == (q < 0.05)
 
 
 def test_windowed_drift_first_window_is_zero(spark):
