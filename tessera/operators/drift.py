@@ -16,6 +16,8 @@ joins and windows that follow run on report-sized data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,9 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, features=None,
 
 
 def category_counts(ref: DataFrame, cur: DataFrame, features) -> DataFrame:
-    """(feature, value, n_ref, n_cur, share_ref, share_cur) with shares over the
-    non-null rows of each side; one aggregate for all features."""
+    """(feature, value, n_ref, n_cur, t_ref, t_cur, share_ref, share_cur) with
+    shares over the non-null rows of each side; one aggregate for all
+    features."""
     u = tagged_union(ref, cur, features)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
                       for c in features])
@@ -84,8 +87,7 @@ def category_counts(ref: DataFrame, cur: DataFrame, features) -> DataFrame:
     totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     return (counts.join(F.broadcast(totals), "feature")
             .withColumn("share_ref", F.coalesce(F.try_divide(F.col("n_ref"), F.col("t_ref")), F.lit(0.0)))
-            .withColumn("share_cur", F.coalesce(F.try_divide(F.col("n_cur"), F.col("t_cur")), F.lit(0.0)))
-            .drop("t_ref", "t_cur"))
+            .withColumn("share_cur", F.coalesce(F.try_divide(F.col("n_cur"), F.col("t_cur")), F.lit(0.0))))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, features=None,
@@ -206,6 +208,8 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
             E.rnd("ks", 6).alias("ks_statistic"),
             E.rnd(pv, 6).alias("ks_pvalue"),
             F.lit(None).cast("double").alias("jensen_shannon"),
+            F.lit(None).cast("double").alias("chi2_statistic"),
+            F.lit(None).cast("double").alias("chi2_pvalue"),
             F.when(small, F.lit("ks")).otherwise(F.lit("wasserstein")).alias("test"),
             F.coalesce(F.when(small, pv < KS_ALPHA).otherwise(wn > DISTANCE_THRESHOLD), F.lit(False))
             .alias("drifted")))
@@ -213,16 +217,27 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
         cc = category_counts(ref, cur, categorical)
         m = (F.col("share_ref") + F.col("share_cur")) / 2
         kl = lambda p: F.when(p > 0, p * F.log(p / m)).otherwise(F.lit(0.0))
+        # chi-square of the current counts against the reference proportions
+        expected = F.col("n_ref") * F.col("t_cur") / F.col("t_ref")
+        term = (F.when(expected > 0, (F.col("n_cur") - expected) * (F.col("n_cur") - expected) / expected)
+                .when(F.col("n_cur") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
         js = (cc.groupBy("feature")
               .agg(F.sqrt(F.greatest(F.lit(0.0), (F.sum(kl(F.col("share_ref"))) + F.sum(kl(F.col("share_cur")))) / 2))
-                   .alias("js")))
+                   .alias("js"),
+                   F.sum(term).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"),
+                   F.first("t_ref").alias("tr"), F.first("t_cur").alias("tc")))
+        pchi = chi2_pvalue(F.col("chi2"), F.col("dof"))
+        small = F.least("tr", "tc") <= SMALL_SAMPLE
         parts.append(js.select("feature", F.lit("categorical").alias("kind"),
                                F.lit(None).cast("double").alias("wasserstein_normed"),
                                F.lit(None).cast("double").alias("ks_statistic"),
                                F.lit(None).cast("double").alias("ks_pvalue"),
                                E.rnd("js", 6).alias("jensen_shannon"),
-                               F.lit("jensen_shannon").alias("test"),
-                               F.coalesce(F.col("js") > DISTANCE_THRESHOLD, F.lit(False)).alias("drifted")))
+                               E.rnd("chi2", 6).alias("chi2_statistic"),
+                               E.rnd(pchi, 6).alias("chi2_pvalue"),
+                               F.when(small, F.lit("chisquare")).otherwise(F.lit("jensen_shannon")).alias("test"),
+                               F.coalesce(F.when(small, pchi < KS_ALPHA).otherwise(F.col("js") > DISTANCE_THRESHOLD),
+                                          F.lit(False)).alias("drifted")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -230,7 +245,7 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
 
 
 # Fixed values of the dataset-drift tests: distance threshold for large
-# samples, significance level and size limit of the small-sample KS test.
+# samples, significance level and size limit of the small-sample tests.
 DISTANCE_THRESHOLD = 0.1
 KS_ALPHA = 0.05
 SMALL_SAMPLE = 1000
@@ -305,3 +320,34 @@ def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, catego
     return (num.unionByName(cat)
             .select("window_start", "feature", E.rnd("score", 4).alias("drift_score"),
                     F.coalesce(F.col("score") > threshold, F.lit(False)).alias("drifted")))
+
+
+def chi2_pvalue(x, dof, terms: int = 300):
+    """Upper tail of the chi-square distribution, ``1 − P(dof/2, x/2)``,
+    with the regularized lower incomplete gamma from its power series
+    ``P(a, y) = Σ_n exp(−y + (a+n)·ln y − lnΓ(a+n+1))``. ``lnΓ(a+1)`` is
+    exact for the integer and half-integer ``a`` a chi-square needs. The
+    series is summed in log space by a higher-order ``aggregate``; beyond
+    y = 100 (x = 200) the tail is below any usual significance level for the
+    degrees of freedom of a categorical column and is returned as 0."""
+    y = x / 2.0
+    a = dof / 2.0
+    lg_int = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(a).cast("int"), F.lit(1))), F.lit(0.0),
+                         lambda acc, i: acc + F.log(i.cast("double")))
+    lg_half = F.lit(0.5 * math.log(math.pi)) + F.aggregate(
+        F.sequence(F.lit(0), F.greatest(F.floor(a).cast("int"), F.lit(0))), F.lit(0.0),
+        lambda acc, i: acc + F.log(i.cast("double") + 0.5))
+    lg = F.when(dof % 2 == 0, lg_int).otherwise(lg_half)
+    l0 = -y + a * F.log(y) - lg
+    acc0 = F.struct(F.exp(l0).alias("s"), l0.alias("l"))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), acc0,
+        lambda acc, n: F.struct((acc["s"] + F.exp(acc["l"] + F.log(y) - F.log(a + n))).alias("s"),
+                                (acc["l"] + F.log(y) - F.log(a + n)).alias("l")),
+        lambda acc: acc["s"])
+    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - series))
+    return (F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double"))
+            .when(dof <= 0, F.lit(1.0))
+            .when(x <= 0, F.lit(1.0))
+            .when(x > 200.0, F.lit(0.0))
+            .otherwise(q))

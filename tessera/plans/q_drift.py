@@ -227,17 +227,29 @@ def _dist_sql() -> str:
             "from ca where v is not null group by feature, v),\n"
             "cp as (select *, coalesce(nr / nullif(sum(nr) over (partition by feature), 0), 0) as p, "
             "coalesce(nk / nullif(sum(nk) over (partition by feature), 0), 0) as q from cn),\n"
-            "js as (select feature, sqrt(greatest(0.0, (sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end) "
+            "js0 as (select feature, sqrt(greatest(0.0, (sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end) "
             "+ sum(case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end)) / 2)) as js from cp group by feature),\n"
+            "ct as (select feature, sum(nr) as tr, sum(nk) as tk, count(*) - 1 as dof from cn group by feature),\n"
+            "ch as (select cn.feature, any_value(ct.tr) as tr, any_value(ct.tk) as tk, any_value(ct.dof) as dof, "
+            "sum(case when nr * ct.tk / ct.tr > 0 then (nk - nr * ct.tk / ct.tr) * (nk - nr * ct.tk / ct.tr) / (nr * ct.tk / ct.tr) "
+            "when nk > 0 then cast('inf' as double) else 0.0 end) as chi2 "
+            "from cn join ct on cn.feature = ct.feature group by cn.feature),\n"
+            "chp as (select *, case when dof <= 0 then 1.0 when chi2 <= 0 then 1.0 when chi2 > 200.0 then 0.0 "
+            "else least(1.0, greatest(0.0, 1.0 - list_sum(list_transform(range(0, 301), lambda n: "
+            "exp(-chi2 / 2.0 + (dof / 2.0 + n) * ln(chi2 / 2.0) - lgamma(dof / 2.0 + n + 1)))))) end as pchi from ch),\n"
+            "js as (select js0.feature, js0.js, chp.chi2, chp.pchi, chp.tr, chp.tk from js0 join chp on js0.feature = chp.feature),\n"
             "out as (select w4.feature, 'numeric' as kind, round(w1 / case when sdv = 0 then 1.0 else sdv end, 6) "
             "as wasserstein_normed, round(ks, 6) as ks_statistic, round(pv, 6) as ks_pvalue, "
-            "cast(null as double) as jensen_shannon, "
+            "cast(null as double) as jensen_shannon, cast(null as double) as chi2_statistic, "
+            "cast(null as double) as chi2_pvalue, "
             "case when least(tr, tk) <= 1000 then 'ks' else 'wasserstein' end as test, "
             "coalesce(case when least(tr, tk) <= 1000 then pv < 0.05 "
             "else w1 / case when sdv = 0 then 1.0 else sdv end > 0.1 end, false) as drifted "
             "from w4 join sd on w4.feature = sd.feature\n"
             "union all select feature, 'categorical', cast(null as double), cast(null as double), "
-            "cast(null as double), round(js, 6), 'jensen_shannon', coalesce(js > 0.1, false) from js)\n"
+            "cast(null as double), round(js, 6), round(chi2, 6), round(pchi, 6), "
+            "case when least(tr, tk) <= 1000 then 'chisquare' else 'jensen_shannon' end, "
+            "coalesce(case when least(tr, tk) <= 1000 then pchi < 0.05 else js > 0.1 end, false) from js)\n"
             "select * from out")
 
 

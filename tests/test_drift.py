@@ -106,3 +106,21 @@ def test_windowed_drift_first_window_is_zero(spark):
     first = [r for r in out if r["window_start"] == out[0]["window_start"]]
     assert all(r["drift_score"] == 0.0 for r in first)
     assert any(r["drifted"] for r in out if r["feature"] == "event_type")
+
+
+@pytest.mark.parametrize("x,dof,p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (11.0705, 5, 0.05),
+                                     (18.307, 10, 0.05), (0.0, 3, 1.0), (2.0, 2, 0.367879)])
+def test_chi2_pvalue_matches_tables(spark, x, dof, p):
+    df = spark.createDataFrame([(x, dof)], "x double, dof long")
+    got = df.select(D.chi2_pvalue(F.col("x"), F.col("dof")).alias("p")).first()["p"]
+    assert got == pytest.approx(p, abs=2e-5)
+
+
+def test_chisquare_flags_a_new_category(spark):
+    ref = spark.createDataFrame([("a",)] * 50 + [("b",)] * 50, "g string")
+    same = spark.createDataFrame([("a",)] * 48 + [("b",)] * 52, "g string")
+    new = spark.createDataFrame([("a",)] * 50 + [("c",)] * 50, "g string")
+    r1 = D.distribution_distances(ref, same, [], ["g"]).first()
+    r2 = D.distribution_distances(ref, new, [], ["g"]).first()
+    assert r1["test"] == "chisquare" and not r1["drifted"] and r1["chi2_pvalue"] > 0.5
+    assert r2["drifted"] and r2["chi2_pvalue"] == 0.0
