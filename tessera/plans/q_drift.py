@@ -31,7 +31,9 @@ def shifted(df):
 
 
 def _sides(spark, sf, shift=False):
-    clean = clean_base(spark, sf)
+    # the cleaned table feeds a count, the rank cut and both drift sides:
+    # materialise it once in the shared checkpoint folder (lineage cut)
+    clean = clean_base(spark, sf).checkpoint(eager=True)
     ref = reference_slice_of(clean)
     return ref, (shifted(clean) if shift else clean)
 

@@ -18,7 +18,9 @@ def labelled(spark, sf):
 
 
 def with_split(spark, sf):
-    df = labelled(spark, sf)
+    # read several times (class counts, boundary rows, the split itself):
+    # materialise once in the shared checkpoint folder
+    df = labelled(spark, sf).checkpoint(eager=True)
     return df.withColumn("split", SP.split_column(df))
 
 
