@@ -59,13 +59,62 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
                     *[(F.col(f"__offv_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in value_cols]))
 
 
-def nth_key(df: DataFrame, order_col: str, n: int, n_buckets: int | None = None):
-    """Value of ``order_col`` at global position ``n`` (1-based; the column
-    must be unique). Only the key column is shuffled; one value returns to
-    the driver."""
+_SAMPLE_KEYS = 20_000       # keys sampled to place the two pivots
+_WINDOW_ROWS = 200_000      # largest pivot window ranked directly
+
+
+def _nth_by_pivots(keys: DataFrame, n: int, total: int):
+    """Exact n-th key by sampled pivots, or None when the window missed.
+
+    A sample of keys places pivots ``lo``/``hi`` a few standard errors on
+    either side of rank ``n``; one aggregate counts the keys below ``lo``
+    and up to ``hi``. When rank ``n`` falls between them and the window is
+    small, only the window is ranked. The sample only decides where to look,
+    the counts make the answer exact.
+    """
+    frac = min(1.0, _SAMPLE_KEYS / max(total, 1))
+    sample = sorted(r[0] for r in keys.sample(False, frac, seed=17).limit(4 * _SAMPLE_KEYS).collect())
+    if not sample:
+        return None, False
+    m = len(sample)
+    pos = n / total * m
+    margin = 4.0 * (pos * (1 - n / total)) ** 0.5 + 2
+    i_lo, i_hi = int(pos - margin) - 1, int(pos + margin)
+    lo = sample[i_lo] if i_lo >= 0 else None
+    hi = sample[i_hi] if i_hi < m else None
+    k = F.col("k")
+    below_c = (k < F.lit(lo)) if lo is not None else F.lit(False)
+    upto_c = (k <= F.lit(hi)) if hi is not None else F.lit(True)
+    cnt = keys.agg(F.count_if(below_c).alias("below"), F.count_if(upto_c).alias("upto")).first()
+    below, upto = cnt["below"], cnt["upto"]
+    if not (below < n <= upto) or upto - below > _WINDOW_ROWS:
+        return None, False
+    window = keys.where(~below_c & upto_c)
+    row = window.orderBy("k").offset(n - below - 1).limit(1).first()
+    return (row["k"] if row else None), True
+
+
+def nth_key(df: DataFrame, order_col: str, n: int, n_buckets: int | None = None,
+            total: int | None = None):
+    """Value of ``order_col`` at position ``n`` (1-based) among its non-null
+    values in ascending order; None when there are fewer than ``n``.
+
+    Exact. First a sampled-pivot select (a handful of single-stage jobs over
+    the key column, nothing proportional to the data on the driver); if the
+    pivots miss, the bucketed global rank below. ``total`` (count of non-null
+    keys) saves a pass when the caller knows it.
+    """
     if n <= 0:
         return None
-    ranked = running_totals(df.select(order_col), [order_col], n_buckets=n_buckets)
+    keys = df.select(F.col(order_col).alias("k")).where(F.col("k").isNotNull())
+    if total is None:
+        total = keys.count()
+    if n > total:
+        return None
+    key, found = _nth_by_pivots(keys, n, total)
+    if found:
+        return key
+    ranked = running_totals(keys.withColumnRenamed("k", order_col), [order_col], n_buckets=n_buckets)
     row = ranked.where(F.col("_rank") == n).select(order_col).first()
     return row[0] if row else None
 
@@ -76,5 +125,5 @@ def first_n(df: DataFrame, order_col: str, n: int, total: int | None = None) ->
     total = df.count() if total is None else total
     if n >= total:
         return df
-    cut = nth_key(df, order_col, n)
+    cut = nth_key(df, order_col, n, total=total)
     return df.where(F.col(order_col) <= F.lit(cut))

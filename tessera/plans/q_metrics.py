@@ -148,7 +148,11 @@ def best_run(spark, sf):
 
 
 def _promoted(spark, sf):
-    runs = runs_table(spark, sf)
+    # the run log is read by the version ranking, its count, the best-run
+    # pick and the metrics lookup: write it once to the shared checkpoint
+    # folder, as a tracking store would hold it, instead of re-deriving
+    # predictions and metrics for every read
+    runs = runs_table(spark, sf).checkpoint(eager=True)
     versions = R.initial_versions(runs, REGISTRY_NAME)
     return runs, R.promote(versions, R.best_run(runs), REGISTRY_NAME)
 

@@ -96,6 +96,20 @@ def test_first_n_and_nth_key(spark):
     assert P.first_n(df, "k", 1000).count() == 500
 
 
+@pytest.mark.parametrize("force_fallback", [False, True])
+def test_nth_key_exact_with_duplicates_and_nulls(spark, monkeypatch, force_fallback):
+    if force_fallback:
+        monkeypatch.setattr(P, "_WINDOW_ROWS", -1)
+    monkeypatch.setattr(P, "_SAMPLE_KEYS", 300)  # sample a fraction, as at scale
+    rnd = random.Random(11)
+    vals = [rnd.randint(0, 3000) for _ in range(20_000)] + [None] * 50
+    df = spark.createDataFrame([(v,) for v in vals], "k int").repartition(6)
+    ordered = sorted(v for v in vals if v is not None)
+    for n in (1, 2, 777, 10_000, 19_999, 20_000):
+        assert P.nth_key(df, "k", n) == ordered[n - 1], n
+    assert P.nth_key(df, "k", 20_001) is None
+
+
 def test_registry_best_run_promotion_and_serving(spark):
     runs = spark.createDataFrame([
         ("r1", "A", "FINISHED", None, None, None, {"roc_auc": 0.80}),
