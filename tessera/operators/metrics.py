@@ -39,11 +39,7 @@ def scores(conf: DataFrame, digits: int = 6) -> DataFrame:
     })
 
 
-def roc_auc(preds: DataFrame, group_cols=("model",), digits: int = 6) -> DataFrame:
-    group_cols = list(group_cols)
-    per_score = (preds.groupBy(*group_cols, "score")
-                 .agg(F.count_if(F.col("label") == 1).alias("pos"),
-                      F.count_if(F.col("label") != 1).alias("neg")))
+def _auc_from_counts(per_score: DataFrame, group_cols: list[str], digits: int) -> DataFrame:
     cum = prefix.running_totals(per_score, ["score"], ["pos", "neg"], partition_cols=group_cols)
     below = F.col("neg_cum") - F.col("neg")
     return (cum.groupBy(*group_cols)
@@ -52,7 +48,37 @@ def roc_auc(preds: DataFrame, group_cols=("model",), digits: int = 6) -> DataFra
             .select(*group_cols, E.rnd(F.try_divide(F.col("_u"), F.col("_p") * F.col("_n")), digits).alias("roc_auc")))
 
 
+def roc_auc(preds: DataFrame, group_cols=("model",), digits: int = 6) -> DataFrame:
+    group_cols = list(group_cols)
+    per_score = (preds.groupBy(*group_cols, "score")
+                 .agg(F.count_if(F.col("label") == 1).alias("pos"),
+                      F.count_if(F.col("label") != 1).alias("neg")))
+    return _auc_from_counts(per_score, group_cols, digits)
+
+
 def evaluate(preds: DataFrame, group_cols=("model",)) -> DataFrame:
-    """All five metrics plus the confusion counts, one row per group."""
+    """All five metrics plus the confusion counts, one row per group.
+
+    The predictions are read once: counts per (group, score, prediction)
+    are materialised in the shared checkpoint folder (at most one row per
+    distinct score and decision), and both the confusion counts and the AUC
+    prefix sums are taken from that table.
+    """
     group_cols = list(group_cols)
-    return scores(confusion(preds, group_cols)).join(roc_auc(preds, group_cols), group_cols)
+    y = F.col("label") == 1
+    cells = (preds.groupBy(*group_cols, "score", "prediction")
+             .agg(F.count_if(y).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"),
+                  F.count(F.lit(1)).alias("rows"))
+             .checkpoint(eager=True))
+    p = F.col("prediction") == 1
+
+    def total(cond, c):
+        return F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+
+    conf = cells.groupBy(*group_cols).agg(
+        total(~p, "neg").alias("tn"), total(p, "neg").alias("fp"),
+        total(~p, "pos").alias("fn"), total(p, "pos").alias("tp"),
+        F.sum("rows").cast("bigint").alias("n"))
+    per_score = cells.groupBy(*group_cols, "score").agg(
+        F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"))
+    return scores(conf).join(_auc_from_counts(per_score, group_cols, 6), group_cols)

@@ -14,6 +14,7 @@ recomputation of everything upstream.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +40,13 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
     partition_cols, value_cols = list(partition_cols), list(value_cols)
     keys = partition_cols + list(order_cols)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.select(*keys, *value_cols)
-              .repartitionByRange(_buckets(df, n_buckets), *keys)
+    # the range bounds are sampled in one job and the rows written in
+    # another: keep the narrow projection so the input is computed once
+    narrow = df.select(*keys, *value_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (narrow.repartitionByRange(_buckets(df, n_buckets), *keys)
               .withColumn("_bucket", F.spark_partition_id())
               .checkpoint(eager=True))
+    narrow.unpersist()
     grp = partition_cols + ["_bucket"]
     totals = ranged.groupBy(*grp).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(v).alias(f"__tot_{v}") for v in value_cols])

@@ -82,13 +82,33 @@ def vocabulary(df: DataFrame, cols=None) -> DataFrame:
                          F.concat(F.lit("categorical__"), F.col("feature"), F.lit("_"), F.col("value")).alias("name"))
 
 
-def one_hot_long(df: DataFrame, vocab: DataFrame, id_col: str = S.ID_COL, cols=None) -> DataFrame:
+# Vocabulary rows copied to every task by a broadcast join (about 100 bytes
+# each, so the copy stays near Spark's default broadcast size).
+BROADCAST_LEVELS = 100_000
+
+
+def one_hot_long(df: DataFrame, vocab: DataFrame, id_col: str = S.ID_COL, cols=None,
+                 salt_buckets: int = 64) -> DataFrame:
     """(id, feature, name) for each active one-hot slot; unknown levels get
-    no row (all zeros). The vocabulary has one row per level."""
+    no row (all zeros). The vocabulary has one row per level.
+
+    One level can hold a large share of all rows (a two-valued column holds
+    half), so the join never shuffles the rows by level: the vocabulary is
+    materialised, its size checked, and broadcast when it is within
+    ``BROADCAST_LEVELS``; a larger vocabulary is replicated over
+    ``salt_buckets`` salts and each row goes to the salt of its id hash,
+    which spreads a hot level over that many tasks.
+    """
     cols = cols or S.CATEGORICAL_FEATURES
-    return (_unpivot(df, cols, "string", keep=[id_col])
-            .join(vocab.select("feature", "value", "name"), ["feature", "value"])
-            .select(id_col, "feature", "name"))
+    long = _unpivot(df, cols, "string", keep=[id_col])
+    v = vocab.select("feature", "value", "name").checkpoint(eager=True)
+    if v.count() <= BROADCAST_LEVELS:
+        joined = long.join(F.broadcast(v), ["feature", "value"])
+    else:
+        salts = v.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        salted = long.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)).cast("int"))
+        joined = salted.join(salts, ["feature", "value", "_salt"])
+    return joined.select(id_col, "feature", "name")
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:

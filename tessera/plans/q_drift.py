@@ -93,9 +93,11 @@ from feats"""
 
 @register("reference_slice", oracle="with " + _SLICE_CTES + "\nselect * from ref")
 def reference_slice(spark, sf):
-    """First max(1000, n//5) rows in id order: the n-th id is found with the
-    bucketed rank over the id column alone, then the table is filtered."""
-    return reference_slice_of(clean_base(spark, sf))
+    """First max(1000, n//5) rows in id order: the n-th id is found by an
+    exact select over the id column alone, then the table is filtered. The
+    cleaned table is read by the count, the select and the filter, so it is
+    materialised once in the shared checkpoint folder."""
+    return reference_slice_of(clean_base(spark, sf).checkpoint(eager=True))
 
 
 _NUM_COLS = ["feature", "reference_mean", "current_mean", "drift_score", "drifted"]

@@ -88,6 +88,19 @@ def test_vocabulary_and_unknown_levels(spark):
     assert got == {"4": "categorical__c_b"}
 
 
+def test_one_hot_salted_join_equals_broadcast(spark, monkeypatch):
+    # a hot level (a third of the rows) and many rare ones
+    rows = [(str(i), "hot" if i % 3 == 0 else f"v{i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "customerID string, c string").repartition(4)
+    vocab = PP.vocabulary(df.where("customerID % 2 = 0"), ["c"])
+    small = sorted(tuple(r) for r in PP.one_hot_long(df, vocab, cols=["c"]).collect())
+    monkeypatch.setattr(PP, "BROADCAST_LEVELS", 0)
+    salted = sorted(tuple(r) for r in PP.one_hot_long(df, vocab, cols=["c"], salt_buckets=5).collect())
+    levels = {v for i, v in rows if int(i) % 2 == 0}
+    assert salted == small
+    assert small == sorted((i, "c", f"categorical__c_{v}") for i, v in rows if v in levels)
+
+
 def test_class_weights_balanced(spark):
     df = spark.createDataFrame([(0,)] * 3 + [(1,)], "label int")
     w = {r["label"]: r["weight"] for r in PP.class_weights(df).collect()}
