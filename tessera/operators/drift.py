@@ -192,7 +192,8 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
                    .groupBy("feature").agg(F.stddev_pop("value").alias("ref_std")))
         # With S = F_ref − F_cur after this value and d = this value's own step,
         # W1 = Σ v·(|S − d| − |S|) (the CDF gap before minus after each value).
-        j = cum.join(stats, "feature")
+        # stats has one row per feature (bounded by the column list)
+        j = cum.join(F.broadcast(stats), "feature")
         s = F.col("n_ref_cum") / F.col("tr") - F.col("n_cur_cum") / F.col("tc")
         d = F.col("n_ref") / F.col("tr") - F.col("n_cur") / F.col("tc")
         w = (j.groupBy("feature")

@@ -36,7 +36,9 @@ def medians(df: DataFrame, cols=None) -> DataFrame:
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     lo_pos = F.floor((F.col("total") + 1) / 2)
     hi_pos = F.ceil((F.col("total") + 1) / 2)
-    return (cum.join(totals, "feature")
+    # one row per feature (bounded by the column list): broadcast, so the
+    # value table is never shuffled by feature into one task per column
+    return (cum.join(F.broadcast(totals), "feature")
             .groupBy("feature")
             .agg(((F.min(F.when(F.col("n_cum") >= lo_pos, F.col("value")))
                    + F.min(F.when(F.col("n_cum") >= hi_pos, F.col("value")))) / 2).alias("median")))
