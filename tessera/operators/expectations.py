@@ -29,8 +29,9 @@ def _py(v) -> str:
 
 def _pylist_spark(arr: Column) -> Column:
     """Python ``str(sorted list of str)`` for a Spark string array."""
-    quoted = F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    # ['a', 'b']: join with "', '" and wrap; an empty list prints as []
+    return F.when(F.size(arr) == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("['"), F.array_join(arr, "', '"), F.lit("']")))
 
 
 def _pylist_sql(list_expr: str) -> str:
