@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -87,11 +87,10 @@ def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label"
         return F.lit("train")
     quota = allocate(counts, test_size)
     h = split_hash(id_col, seed)
-    expr = None
+    cuts, small = {}, {}
     for c, k in quota.items():
         if k <= 0:
             continue
-        cls = keyed.where(F.col("_y") == F.lit(c))
         buckets = sorted((r["b"], r["n"]) for r in level1 if r["_y"] == c)
         before = 0
         for b, n in buckets:
@@ -99,11 +98,26 @@ def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label"
                 break
             before += n
         if n <= _FINAL_ROWS:
-            last = (cls.where(F.substring("_h", 1, _DIGITS) == b).orderBy("_h", "_id")
-                    .offset(k - before - 1).limit(1).first())
-            ch, cid = last["_h"], last["_id"]
+            small[c] = (b, k - before)
         else:
-            ch, cid = _kth(cls, k)
+            cuts[c] = _kth(keyed.where(F.col("_y") == F.lit(c)), k)
+    if small:
+        # every class's boundary bucket (≤ _FINAL_ROWS rows each) ranked in
+        # one job, partitioned by class
+        in_bucket = None
+        for c, (b, _) in small.items():
+            cond = (F.col("_y") == F.lit(c)) & (F.substring("_h", 1, _DIGITS) == F.lit(b))
+            in_bucket = cond if in_bucket is None else in_bucket | cond
+        ranked = keyed.where(in_bucket).withColumn(
+            "_r", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_id")))
+        at = None
+        for c, (_, r) in small.items():
+            cond = (F.col("_y") == F.lit(c)) & (F.col("_r") == F.lit(r))
+            at = cond if at is None else at | cond
+        for row in ranked.where(at).select("_y", "_h", "_id").collect():
+            cuts[row["_y"]] = (row["_h"], row["_id"])
+    expr = None
+    for c, (ch, cid) in cuts.items():
         in_test = (F.col(label_col) == F.lit(c)) & (
             (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) <= F.lit(cid))))
         expr = in_test if expr is None else expr | in_test
