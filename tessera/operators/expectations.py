@@ -4,7 +4,9 @@ A suite is a list of rules. Each rule contributes aggregate expressions to
 ONE ``df.agg(...)`` over the table, and turns that single result row into
 its report row ``(rule_id, expectation_type, column, success,
 observed_value, details)``. Rules about the schema (column present, type)
-are decided on the driver from ``df.schema`` and cost nothing.
+are decided on the driver from ``df.schema`` and cost nothing. The value
+lists of in-set rules come from one extra distributed pass shared by all of
+them (never a set of a whole column collected into one task).
 
 Each rule can also write itself as SQL (``sql_row``), which is how the
 DuckDB oracle checks the same suite independently.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,66 @@ def _pylist_spark(arr: Column) -> Column:
         F.concat(F.lit("['"), F.array_join(arr, "', '"), F.lit("']")))
 
 
+def _listing(arr: str, n: str) -> Column:
+    """Text of the listed values in array column ``arr``, and how many more
+    there are when the list was cut at ``LIST_VALUES`` (``n`` holds the exact
+    number of distinct values). One SQL expression: one driver round trip."""
+    text = (f"case when size({arr}) = 0 then '[]' "
+            f"else concat('[\\'', array_join({arr}, '\\', \\''), '\\']') end")
+    return F.expr(f"case when {n} > size({arr}) then concat({text}, ' + ', "
+                  f"cast({n} - size({arr}) as string), ' more') else {text} end")
+
+
+# Distinct values printed per list (every distinct value is
+# counted), and hash slices a column's values are ranked in first.
+LIST_VALUES = 1000
+LIST_SLICES = 64
+
+
+def _value_lists(df: DataFrame, rules: list) -> DataFrame:
+    """One row: per in-set rule the sorted distinct values seen and the
+    unexpected ones (the first ``LIST_VALUES`` of each) with exact counts.
+
+    All rule columns are unpivoted into one ``groupBy(rule, value)``, so
+    distinct values are found by a distributed aggregate whose partial phase
+    absorbs hot values. The smallest values are ranked first inside
+    ``LIST_SLICES`` hash slices of each rule and then across the survivors,
+    so no task ever holds a column's whole domain; the listing is bounded
+    while the counts stay exact.
+    """
+    entries = []
+    for r in rules:
+        c = f"`{r.column}`"
+        numeric = isinstance(df.schema[r.column].dataType, T.NumericType)
+        allowed = ", ".join(E.sql_str(str(v)) for v in r.values)
+        member = f"cast({c} as string) in ({allowed})" if allowed else "false"
+        entries.append(f"named_struct('rid', {r.rule_id}, "
+                       f"'num', {f'cast({c} as double)' if numeric else 'cast(null as double)'}, "
+                       f"'v', cast({c} as string), 'bad', not coalesce({member}, false))")
+    distinct = (df.select(F.expr(f"inline(array({', '.join(entries)}))")).where("v is not null")
+                .groupBy("rid", "num", "v").agg(F.expr("max(bad) as bad")))
+    kinds = distinct.selectExpr(
+        "rid", "num", "v", "explode(if(bad, array('seen', 'bad'), array('seen'))) as kind")
+    order = ["num", "v"]
+    sliced = (kinds.withColumn("_s", F.expr(f"pmod(xxhash64(v), {LIST_SLICES})"))
+              .withColumn("_r", F.row_number().over(Window.partitionBy("rid", "kind", "_s").orderBy(*order)))
+              .where(f"_r <= {LIST_VALUES}"))
+    top = (sliced.withColumn("_r", F.row_number().over(Window.partitionBy("rid", "kind").orderBy(*order)))
+           .where(f"_r <= {LIST_VALUES}")
+           .groupBy("rid", "kind").agg(F.expr("sort_array(collect_list(struct(num, v))) as vals")))
+    counts = kinds.groupBy("rid", "kind").agg(F.expr("count(1) as n"))
+    # at most two rows per rule on each side
+    j = counts.join(top, ["rid", "kind"], "left")
+    aggs = []
+    for r in rules:
+        for kind in ("seen", "bad"):
+            sel = f"rid = {r.rule_id} and kind = '{kind}'"
+            aggs += [f"coalesce(first(case when {sel} then vals.v end, true), cast(array() as array<string>)) "
+                     f"as {r._a(kind)}",
+                     f"coalesce(first(case when {sel} then n end, true), cast(0 as bigint)) as {r._a(kind + '_n')}"]
+    return j.agg(*[F.expr(a) for a in aggs])
+
+
 def _pylist_sql(list_expr: str) -> str:
     return (f"('[' || array_to_string(list_transform({list_expr}, lambda x: '''' || x || ''''), ', ') || ']')")
 
@@ -332,21 +394,17 @@ class InSet(Rule):
     values: list = field(default_factory=list)
     etype = "expect_column_values_to_be_in_set"
 
-    def aggs(self, df):
-        if self.column not in df.columns:
-            return []
-        c = F.col(self.column)
-        return [F.sort_array(F.collect_set(c)).alias(self._a("seen")),
-                F.sort_array(F.collect_set(F.when(~c.isin(self.values), c))).alias(self._a("bad"))]
+    # The value lists come from ``_value_lists`` (a distributed pass shared by
+    # every in-set rule of a suite), not from this rule's aggregates.
 
     def row(self, df):
         if self.column not in df.columns:
             return _missing_row(self.rule_id, self.etype, self.column)
-        bad = F.col(self._a("bad"))
-        ok = F.size(bad) == 0
+        ok = F.expr(f"{self._a('bad_n')} = 0")
         details = F.when(ok, F.lit("All values in expected set")).otherwise(
-            F.concat(F.lit("Unexpected values: "), _pylist_spark(bad)))
-        return _row(self.rule_id, self.etype, self.column, ok, _pylist_spark(F.col(self._a("seen"))), details)
+            F.concat(F.lit("Unexpected values: "), _listing(self._a("bad"), self._a("bad_n"))))
+        return _row(self.rule_id, self.etype, self.column, ok,
+                    _listing(self._a("seen"), self._a("seen_n")), details)
 
     def sql_row(self, src, columns):
         if self.column not in columns:
@@ -517,12 +575,21 @@ def run_suite(df: DataFrame, rules: list[Rule], separate_distinct: bool = True)
     for an expensive derived input pass ``False`` so the input is computed
     only once."""
     rules = _numbered(rules)
+    listed = [r for r in rules if isinstance(r, InSet) and r.column in df.columns]
+    if listed and not separate_distinct:
+        # the value lists are a second pass: materialise the expensive input
+        # once (recomputing it per pass would repeat all its shuffles), after
+        # which separate distinct aggregates are cheap too
+        df = df.checkpoint(eager=True)
+        separate_distinct = True
     aggs = [a for r in rules for a in r.aggs(df)]
     distinct = [d for r in rules for d in r.distinct_aggs(df)]
     if not separate_distinct:
         aggs, distinct = aggs + distinct, []
     parts = [df.agg(*aggs) if aggs else df.sparkSession.range(1).select(F.lit(1).alias("_one"))]
     parts += [df.agg(d) for d in distinct]
+    if listed:
+        parts.append(_value_lists(df, listed))
     base = parts[0]
     if len(parts) > 1:
         # one-row results side by side: union (missing columns null) and fold

@@ -69,3 +69,19 @@ def test_custom_predicate_rule(valid_clean):
 def test_empty_suite_summary_is_zero(spark):
     rep = spark.createDataFrame([], "success boolean")
     assert X.summarize(rep).first()["success_rate"] == 0.0
+
+
+@pytest.mark.parametrize("separate", [True, False])
+def test_in_set_lists_are_bounded_and_counts_exact(spark, monkeypatch, separate):
+    monkeypatch.setattr(X, "LIST_VALUES", 5)
+    monkeypatch.setattr(X, "LIST_SLICES", 3)
+    # a hot allowed value (a third of the rows) and 40 distinct unexpected ones
+    rows = [("ok",)] * 60 + [(f"x{i:02d}",) for i in range(40) for _ in range(3)] + [(None,)] * 5
+    df = spark.createDataFrame(rows, "c string").repartition(4)
+    rep = X.run_suite(df, [X.InSet("c", values=["ok", "x07"])], separate_distinct=separate).collect()
+    assert len(rep) == 1 and not rep[0]["success"]
+    assert rep[0]["observed_value"] == "['ok', 'x00', 'x01', 'x02', 'x03'] + 36 more"
+    assert rep[0]["details"] == "Unexpected values: ['x00', 'x01', 'x02', 'x03', 'x04'] + 34 more"
+    allowed = X.run_suite(df.where("c = 'ok' or c is null"), [X.InSet("c", values=["ok"])]).collect()[0]
+    assert allowed["success"] and allowed["observed_value"] == "['ok']"
+    assert allowed["details"] == "All values in expected set"
