@@ -77,15 +77,17 @@ def _value_lists(df: DataFrame, rules: list) -> DataFrame:
     kinds = distinct.selectExpr(
         "rid", "num", "v", "explode(if(bad, array('seen', 'bad'), array('seen'))) as kind")
     order = ["num", "v"]
+    in_slice = Window.partitionBy("rid", "kind", "_s")
+    # per hash slice: rank and size (the sizes add up to the exact count)
     sliced = (kinds.withColumn("_s", F.expr(f"pmod(xxhash64(v), {LIST_SLICES})"))
-              .withColumn("_r", F.row_number().over(Window.partitionBy("rid", "kind", "_s").orderBy(*order)))
+              .withColumn("_r", F.row_number().over(in_slice.orderBy(*order)))
+              .withColumn("_sn", F.count(F.lit(1)).over(in_slice))
               .where(f"_r <= {LIST_VALUES}"))
-    top = (sliced.withColumn("_r", F.row_number().over(Window.partitionBy("rid", "kind").orderBy(*order)))
-           .where(f"_r <= {LIST_VALUES}")
-           .groupBy("rid", "kind").agg(F.expr("sort_array(collect_list(struct(num, v))) as vals")))
-    counts = kinds.groupBy("rid", "kind").agg(F.expr("count(1) as n"))
-    # at most two rows per rule on each side
-    j = counts.join(top, ["rid", "kind"], "left")
+    # at most LIST_SLICES · LIST_VALUES survivors per list
+    ranked = sliced.withColumn("_r2", F.row_number().over(Window.partitionBy("rid", "kind").orderBy(*order)))
+    j = ranked.groupBy("rid", "kind").agg(
+        F.expr(f"sort_array(collect_list(if(_r2 <= {LIST_VALUES}, struct(num, v), null))) as vals"),
+        F.expr("sum(if(_r = 1, _sn, 0)) as n"))
     aggs = []
     for r in rules:
         for kind in ("seen", "bad"):
