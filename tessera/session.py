@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings we want when nobody else chose a value. Shuffle partitions stay
@@ -21,16 +22,29 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # delete a checkpoint's files once no DataFrame refers to it, so the
+    # shared checkpoint folder does not fill up over a long session
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def _already_set(key: str, active: SparkSession | None, submitted: SparkConf) -> bool:
+    if submitted.contains(key):
+        return True
+    return active is not None and active.conf.get(key, None) is not None
+
+
 def get_session(master: str | None = None, app_name: str = "tessera",
                 shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # values from spark-submit / spark-defaults or an already running
+    # session win; ours only fill the gaps
+    active, submitted = SparkSession.getActiveSession(), SparkConf()
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not _already_set(k, active, submitted):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
