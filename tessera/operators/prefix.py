@@ -67,35 +67,49 @@ _SAMPLE_KEYS = 20_000       # keys sampled to place the two pivots
 _WINDOW_ROWS = 200_000      # largest pivot window ranked directly
 
 
-def _nth_by_pivots(keys: DataFrame, n: int, total: int):
-    """Exact n-th key by sampled pivots, or None when the window missed.
-
-    A sample of keys places pivots ``lo``/``hi`` a few standard errors on
-    either side of rank ``n``; one aggregate counts the keys below ``lo``
-    and up to ``hi``. When rank ``n`` falls between them and the window is
-    small, only the window is ranked. The sample only decides where to look,
-    the counts make the answer exact.
+def _nth_by_pivots(keys: DataFrame, n: int, total: int, rounds: int = 4):
+    """Exact n-th key by sampled pivots; ``(key, True)``, or ``(None, False)``
+    when the pivots missed.
+
+    A sample of the candidate keys places pivots ``lo``/``hi`` a few standard
+    errors on either side of rank ``n``; one aggregate counts the keys below
+    ``lo`` and up to ``hi``. When rank ``n`` falls between them and the window
+    is small, only the window is ranked; a large window is narrowed the same
+    way. The same aggregate tests the sampled key at the estimated rank
+    (``count(k < v) < n ≤ count(k ≤ v)`` means ``v`` is the answer), which
+    settles a hot key holding any share of the rows without ranking it. The
+    sample only decides where to look, the counts make the answer exact.
     """
-    frac = min(1.0, _SAMPLE_KEYS / max(total, 1))
-    sample = sorted(r[0] for r in keys.sample(False, frac, seed=17).limit(4 * _SAMPLE_KEYS).collect())
-    if not sample:
-        return None, False
-    m = len(sample)
-    pos = n / total * m
-    margin = 4.0 * (pos * (1 - n / total)) ** 0.5 + 2
-    i_lo, i_hi = int(pos - margin) - 1, int(pos + margin)
-    lo = sample[i_lo] if i_lo >= 0 else None
-    hi = sample[i_hi] if i_hi < m else None
-    k = F.col("k")
-    below_c = (k < F.lit(lo)) if lo is not None else F.lit(False)
-    upto_c = (k <= F.lit(hi)) if hi is not None else F.lit(True)
-    cnt = keys.agg(F.count_if(below_c).alias("below"), F.count_if(upto_c).alias("upto")).first()
-    below, upto = cnt["below"], cnt["upto"]
-    if not (below < n <= upto) or upto - below > _WINDOW_ROWS:
-        return None, False
-    window = keys.where(~below_c & upto_c)
-    row = window.orderBy("k").offset(n - below - 1).limit(1).first()
-    return (row["k"] if row else None), True
+    cand, k_in, size = keys, n, total
+    for _ in range(rounds):
+        frac = min(1.0, _SAMPLE_KEYS / max(size, 1))
+        sample = sorted(r[0] for r in cand.sample(False, frac, seed=17).limit(4 * _SAMPLE_KEYS).collect())
+        if not sample:
+            return None, False
+        m = len(sample)
+        pos = k_in / size * m
+        margin = 4.0 * (pos * max(0.0, 1 - k_in / size)) ** 0.5 + 2
+        i_lo, i_hi = int(pos - margin) - 1, int(pos + margin)
+        lo = sample[i_lo] if i_lo >= 0 else None
+        hi = sample[i_hi] if i_hi < m else None
+        mid = sample[min(m - 1, int(pos))]
+        k = F.col("k")
+        below_c = (k < F.lit(lo)) if lo is not None else F.lit(False)
+        upto_c = (k <= F.lit(hi)) if hi is not None else F.lit(True)
+        cnt = cand.agg(F.count_if(below_c).alias("below"), F.count_if(upto_c).alias("upto"),
+                       F.count_if(k < F.lit(mid)).alias("below_mid"),
+                       F.count_if(k <= F.lit(mid)).alias("upto_mid")).first()
+        if cnt["below_mid"] < k_in <= cnt["upto_mid"]:
+            return mid, True  # the sampled key at the estimated rank is it
+        below, upto = cnt["below"], cnt["upto"]
+        if not (below < k_in <= upto):
+            return None, False
+        window = cand.where(~below_c & upto_c)
+        if upto - below <= _WINDOW_ROWS:
+            row = window.orderBy("k").offset(k_in - below - 1).limit(1).first()
+            return (row["k"] if row else None), True
+        cand, k_in, size = window, k_in - below, upto - below
+    return None, False
 
 
 def nth_key(df: DataFrame, order_col: str, n: int, n_buckets: int | None = None,

@@ -110,6 +110,21 @@ def test_nth_key_exact_with_duplicates_and_nulls(spark, monkeypatch, force_fallb
     assert P.nth_key(df, "k", 20_001) is None
 
 
+def test_nth_key_hot_key_settled_by_pivots(spark, monkeypatch):
+    # one key holds a third of the rows; the window around it is far larger
+    # than the rank window, so the pivots must settle it (no fallback)
+    monkeypatch.setattr(P, "_WINDOW_ROWS", 100)
+    monkeypatch.setattr(P, "_SAMPLE_KEYS", 500)
+    monkeypatch.setattr(P, "running_totals", None)  # fallback would fail loudly
+    rnd = random.Random(3)
+    vals = [1500] * 7000 + [rnd.randint(0, 3000) for _ in range(14_000)]
+    df = spark.createDataFrame([(v,) for v in vals], "k int").repartition(5)
+    ordered = sorted(vals)
+    start = ordered.index(1500)
+    for n in (start + 1, start + 3500, start + 7000):
+        assert P.nth_key(df, "k", n) == 1500
+
+
 def test_registry_best_run_promotion_and_serving(spark):
     runs = spark.createDataFrame([
         ("r1", "A", "FINISHED", None, None, None, {"roc_auc": 0.80}),
