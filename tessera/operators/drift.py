@@ -43,23 +43,26 @@ def _num(c: str):
 
 
 def numeric_drift(ref: DataFrame, cur: DataFrame, features=None,
-                  threshold: float = S.DRIFT_THRESHOLD, digits: int | None = 4) -> DataFrame:
+                  threshold: float = S.DRIFT_THRESHOLD, digits: int | None = 4,
+                  with_rows: bool = False) -> DataFrame:
     """Per numeric feature: both means, the reference sample deviation and
     ``|mean_cur − mean_ref| / (std_ref + 1e-9)``; drifted when strictly above
-    the threshold."""
+    the threshold. ``with_rows`` adds both sides' row counts, taken in the
+    same pass."""
     features = _present(features or S.DRIFT_NUMERICAL, ref, cur)
     u = tagged_union(ref, cur, features)
     is_ref, is_cur = F.col("_side") == REF, F.col("_side") == CUR
-    aggs = []
+    aggs = [F.count_if(is_ref).alias("nr"), F.count_if(is_cur).alias("nc")] if with_rows else []
     for i, c in enumerate(features):
         aggs += [F.avg(F.when(is_ref, _num(c))).alias(f"rm{i}"),
                  F.avg(F.when(is_cur, _num(c))).alias(f"cm{i}"),
                  F.stddev_samp(F.when(is_ref, _num(c))).alias(f"rs{i}")]
+    rows = [F.col("nr").alias("reference_rows"), F.col("nc").alias("current_rows")] if with_rows else []
     wide = u.agg(*aggs)
     long = wide.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"),
                  F.col(f"rm{i}").alias("reference_mean"), F.col(f"cm{i}").alias("current_mean"),
-                 F.col(f"rs{i}").alias("reference_std"))
+                 F.col(f"rs{i}").alias("reference_std"), *rows)
         for i, c in enumerate(features)])))
     score = F.abs(F.col("current_mean") - F.col("reference_mean")) / (F.col("reference_std") + F.lit(S.DRIFT_EPSILON))
     out = long.withColumn("score_raw", score).withColumn(
@@ -68,7 +71,8 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, features=None,
         return out
     return out.select("ord", "feature", E.rnd("reference_mean", digits).alias("reference_mean"),
                       E.rnd("current_mean", digits).alias("current_mean"),
-                      E.rnd("score_raw", digits).alias("drift_score"), "score_raw", "drifted")
+                      E.rnd("score_raw", digits).alias("drift_score"), "score_raw", "drifted",
+                      *(["reference_rows", "current_rows"] if with_rows else []))
 
 
 def category_counts(ref: DataFrame, cur: DataFrame, features) -> DataFrame:
@@ -112,16 +116,38 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric=None, categorical=None,
     """One-row summary: drifted features (numeric then categorical, input
     order), their count, overall score (mean of unrounded feature scores,
     rounded once), flag, method, row counts and threshold."""
-    num = numeric_drift(ref, cur, numeric, threshold).select("ord", "feature", "score_raw", "drifted")
-    cat = categorical_drift(ref, cur, categorical, threshold).select("ord", "feature", "score_raw", "drifted")
-    feats = num.unionByName(cat)
+    # with numeric features, the row counts ride on the numeric aggregate,
+    # which reads every row of both sides anyway
+    counted = bool(_present(numeric or S.DRIFT_NUMERICAL, ref, cur))
+    no_rows = [F.lit(None).cast("bigint").alias("reference_rows"), F.lit(None).cast("bigint").alias("current_rows")]
+    parts = []
+    if counted:
+        parts.append(numeric_drift(ref, cur, numeric, threshold, with_rows=True).select(
+            "ord", "feature", "score_raw", "drifted", "reference_rows", "current_rows"))
+    if _present(categorical or S.DRIFT_CATEGORICAL, ref, cur):
+        parts.append(categorical_drift(ref, cur, categorical, threshold).select(
+            "ord", "feature", "score_raw", "drifted", *no_rows))
+    if not parts:  # no feature on both sides: an empty feature list
+        parts.append(ref.sparkSession.createDataFrame(
+            [], "ord int, feature string, score_raw double, drifted boolean, "
+                "reference_rows bigint, current_rows bigint"))
+    feats = parts[0]
+    for p in parts[1:]:
+        feats = feats.unionByName(p)
     drifted_sorted = F.array_sort(F.collect_list(F.when(F.col("drifted"), F.struct("ord", "feature"))))
     summary = feats.agg(
         F.array_join(F.transform(drifted_sorted, lambda s: s["feature"]), ",").alias("drifted_features"),
         F.count_if("drifted").alias("n_drifted_features"),
         F.count(F.lit(1)).alias("n_features"),
         E.rnd(F.coalesce(F.avg("score_raw"), F.lit(0.0)), 4).alias("drift_score"),
-        F.coalesce(F.bool_or("drifted"), F.lit(False)).alias("drift_detected"))
+        F.coalesce(F.bool_or("drifted"), F.lit(False)).alias("drift_detected"),
+        F.max("reference_rows").alias("reference_rows"), F.max("current_rows").alias("current_rows"))
+    if counted:
+        return summary.select(
+            F.lit(method).alias("method"), "drifted_features", "n_drifted_features", "n_features",
+            "drift_score", "drift_detected", "reference_rows", "current_rows",
+            F.lit(float(threshold)).alias("drift_threshold"))
+    summary = summary.drop("reference_rows", "current_rows")
     rows = (tagged_union(ref.select(F.lit(1).alias("_one")), cur.select(F.lit(1).alias("_one")), ["_one"])
             .agg(F.count_if(F.col("_side") == REF).alias("reference_rows"),
                  F.count_if(F.col("_side") == CUR).alias("current_rows")))

@@ -124,3 +124,15 @@ def test_chisquare_flags_a_new_category(spark):
     r2 = D.distribution_distances(ref, new, [], ["g"]).first()
     assert r1["test"] == "chisquare" and not r1["drifted"] and r1["chi2_pvalue"] > 0.5
     assert r2["drifted"] and r2["chi2_pvalue"] == 0.0
+
+
+def test_drift_report_with_one_kind_of_feature(spark):
+    from tessera.operators import drift as D
+    ref = spark.createDataFrame([("Yes", 1.0), ("No", 2.0)], "Partner string, MonthlyCharges double")
+    cur = spark.createDataFrame([("Yes", 1.0), ("Yes", 9.0), ("No", 2.0)], "Partner string, MonthlyCharges double")
+    cat_only = D.drift_report(ref.drop("MonthlyCharges"), cur.drop("MonthlyCharges"), categorical=["Partner"]).first()
+    assert (cat_only["n_features"], cat_only["reference_rows"], cat_only["current_rows"]) == (1, 2, 3)
+    num_only = D.drift_report(ref, cur, numeric=["MonthlyCharges"], categorical=["absent"]).first()
+    assert (num_only["n_features"], num_only["reference_rows"], num_only["current_rows"]) == (1, 2, 3)
+    none = D.drift_report(ref, cur, numeric=["absent"], categorical=["absent"]).first()
+    assert (none["n_features"], none["drift_detected"], none["reference_rows"], none["current_rows"]) == (0, False, 2, 3)
