@@ -15,22 +15,20 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
 
     Each round takes, for every node, the least of its own label, its
     neighbours' labels and the label of its label, so labels travel along
-    shortcuts and long chains need few rounds. Every round is one job written
-    to the shared checkpoint folder; a node with very many links is a hot join
-    key between two plain exchanges, which AQE splits.
+    shortcuts and long chains need few rounds. A label is treated as one more
+    link from the node it names, so a round is one join and one pre-aggregated
+    minimum, written to the shared checkpoint folder. A node with very many links
+    is a hot key of a join between two plain exchanges, which AQE splits.
     """
     both = settled(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a"))
                    .distinct().toDF("src", "dst"))
     labels = settled(both.select(F.col("src").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
-        further = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        nearby = (both.join(labels.withColumnRenamed("node", "src"), "src")
-                  .groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("least")))
-        labels = settled(
-            labels.join(further, "root").join(nearby, "node")
-            .select("node", F.least("root", "jump", "least").alias("root"),
-                    (F.least("jump", "least") < F.col("root")).alias("moved")))
-        moved = labels.where("moved").limit(1).count()
+        along = both.union(labels.where("root <> node").select("root", "node"))
+        told = (along.join(labels, F.col("src") == F.col("node"))
+                .select(F.col("dst").alias("node"), "root", F.lit(None).cast("long").alias("own")))
+        labels = settled(told.union(labels.withColumn("own", F.col("root")))
+                         .groupBy("node").agg(F.min("root").alias("root"), F.max("own").alias("own")))
+        if not labels.where("root < own").limit(1).count():
+            return labels.select("node", "root")
         labels = labels.select("node", "root")
-        if not moved:
-            return labels

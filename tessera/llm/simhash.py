@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, small_side
+from .common import arrow_rows, settled, small_side
 from .components import smallest_reachable
 
 _LANES = np.uint64(0x0101010101010101)
@@ -151,7 +151,8 @@ def near_links(prints: DataFrame, max_distance: int = 2, big_bucket: int = 256)
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, big_bucket: int = 256) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    prints = settled(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
+    with arrow_rows(docs.sparkSession, 1_000):  # bounds what a worker holds of long texts
+        prints = settled(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
     nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = near_links(nodes.where("node is not null"), max_distance, big_bucket)
     roots = smallest_reachable(links)
