@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, pii, simhash, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import modest_batches, table
 from tessera.llm.queries import tokenizer_path
 from tessera.session import scratch_path
 
@@ -37,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each copy of the mix with its token ids (packed) and their number."""
+    modest_batches(spark)
     return (docs.withColumn("ids", bpe.encode(F.col("text"), tokenizer_path()))
             .select("doc_id", "lang", "source", "ids")
             .withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")))

@@ -42,6 +42,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 #: Characters of text whose words are held at a time.
 CHUNK = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -60,7 +62,7 @@ def _byte_letters() -> dict[str, int]:
 class WordBpe:
     """Tables of one tokenizer file, and the words encoded so far."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
@@ -291,6 +293,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, packed ``ids`` and the ``decoded`` text of every row; both are
     made in one pass through the workers."""
 
+    modest_batches(docs.sparkSession)
+
     @F.pandas_udf("struct<ids:binary,decoded:string>")
     def both(texts: pd.Series) -> pd.DataFrame:
         bpe = tables(path)

@@ -37,6 +37,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """For results that are computed later: where nobody chose how many rows a
+    Python worker gets at a time, make it ``rows`` for this session, so that
+    long texts don't pile up in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already settled, narrow) marked for broadcast when its counted
     rows are at most ``limit``; otherwise as it is, for a shuffled join in

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z)|</[^>]*(?:>|\Z)",
@@ -325,4 +327,5 @@ def rendered(html: Column) -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, text`` for every page."""
+    modest_batches(pages.sparkSession)
     return pages.select("page_id", rendered(F.col("html")).alias("text"))

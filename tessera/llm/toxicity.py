@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, settled
+from .common import hash_share, modest_batches, settled
 
 #: A word: a run of letters, in lower case.
 WORD = re.compile(r"[^\W\d_]+")
@@ -208,6 +208,7 @@ def score(text: Column, model: Model) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document."""
+    modest_batches(docs.sparkSession)
     model = train(docs, labels, **options)
     return (docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                         score(F.col("text"), model).alias("score"))
@@ -216,5 +217,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept."""
+    modest_batches(docs.sparkSession)
     model = train(docs, labels, **options)
     return docs.where(score(F.col("text"), model) < 0.5)
