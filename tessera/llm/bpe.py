@@ -62,7 +62,7 @@ def _byte_letters() -> dict[str, int]:
 class WordBpe:
     """Tables of one tokenizer file, and the words encoded so far."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()

@@ -32,7 +32,6 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,6 +46,8 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 6)
 #: Occurrences of a mark beyond these don't raise its value.
 MOST = 15
+#: Marks that a task counts before it passes the counts on.
+HELD = 50_000
 
 
 @dataclass
@@ -94,9 +95,10 @@ def _document_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFram
             for t in batch["text"]:
                 found = {m for w in set(WORD.findall((t or "").lower())) for m in marks_of(w)}
                 n.update(found if only is None else found & only)
-        pairs = iter(n.items())
-        while part := list(islice(pairs, 50_000)):
-            yield pd.DataFrame(part, columns=["mark", "n"])
+                if len(n) > HELD:  # what a task holds stays bounded; the sums meet after the shuffle
+                    yield pd.DataFrame(list(n.items()), columns=["mark", "n"])
+                    n.clear()
+        yield pd.DataFrame(list(n.items()), columns=["mark", "n"])
 
     return (sample.select("text").mapInPandas(count, "mark string, n long")
             .groupBy("mark").agg(F.sum("n").alias("n")))
@@ -105,7 +107,7 @@ def _document_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFram
 class Reader:
     """Weighed marks of texts. Keeps which marks a word has, for a bounded number of words."""
 
-    def __init__(self, place: dict[str, int], keep: int = 300_000):
+    def __init__(self, place: dict[str, int], keep: int = 150_000):
         self.place, self.keep, self.known = place, keep, {}
 
     def counts(self, text: str | None) -> dict[int, int]:
