@@ -20,6 +20,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as E
@@ -163,6 +164,23 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric=None, categorical=None,
         F.lit(float(threshold)).alias("drift_threshold"))
 
 
+def _is_missing(df: DataFrame, c: str):
+    number = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return F.col(c).isNull() | F.isnan(c) if number else F.col(c).isNull()
+
+
+def rows_with_missing(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
+    """Per side: rows, and rows in which any of the columns is missing."""
+    columns = [c for c in (columns or ref.columns) if c in cur.columns]
+    u = tagged_union(ref, cur, columns)
+    any_missing = F.lit(False)
+    for c in columns:
+        any_missing = any_missing | _is_missing(u, c)
+    side = F.when(F.col("_side") == REF, "reference").otherwise("current")
+    return u.groupBy(side.alias("side")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(any_missing).alias("rows_with_missing"))
+
+
 def missing_values(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
     """Per column: nulls and null share on each side, in one aggregate."""
     columns = [c for c in (columns or ref.columns) if c in cur.columns]
@@ -170,7 +188,7 @@ def missing_values(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
     is_ref, is_cur = F.col("_side") == REF, F.col("_side") == CUR
     aggs = [F.count_if(is_ref).alias("nr"), F.count_if(is_cur).alias("nc")]
     for i, c in enumerate(columns):
-        miss = F.col(c).isNull()
+        miss = _is_missing(u, c)
         aggs += [F.count_if(is_ref & miss).alias(f"r{i}"), F.count_if(is_cur & miss).alias(f"c{i}")]
     wide = u.agg(*aggs)
     return wide.select(F.inline(F.array(*[
@@ -182,25 +200,39 @@ def missing_values(ref: DataFrame, cur: DataFrame, columns=None) -> DataFrame:
         for i, c in enumerate(columns)])))
 
 
-def retrain_decision(report: DataFrame) -> DataFrame:
-    """Retrain signal from a drift report row."""
+AUC_LOSS = 0.05  # fixed value: relative loss of ROC-AUC that asks for retraining
+
+
+def retrain_decision(report: DataFrame, baseline_auc: float | None = None,
+                     current_auc: float | None = None) -> DataFrame:
+    """Retrain signal from a drift report row and, where both are given, the
+    ROC-AUC at training time and now."""
+    lost = bool(baseline_auc and current_auc is not None and (baseline_auc - current_auc) / baseline_auc > AUC_LOSS)
+    auc = F.lit(f"ROC-AUC fell from {baseline_auc:.4f} to {current_auc:.4f}" if lost else None).cast("string")
+    drift = F.when(F.col("drift_detected"), F.concat(F.lit("data drift in: "), F.col("drifted_features")))
     return report.select(
-        F.col("drift_detected").alias("retrain"),
-        F.when(F.col("drift_detected"),
-               F.concat(F.lit("data drift in: "), F.col("drifted_features")))
-        .otherwise(F.lit("no drift")).alias("reason"),
+        (F.col("drift_detected") | F.lit(lost)).alias("retrain"),
+        F.when(drift.isNull() & auc.isNull(), F.lit("no drift")).otherwise(F.concat_ws("; ", drift, auc))
+        .alias("reason"),
         "drift_score", "n_drifted_features")
 
 
 def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
-                           n_buckets: int | None = None) -> DataFrame:
-    """Per feature: normed Wasserstein-1 distance and the two-sample KS
+                           n_buckets: int | None = None, test: str = "pvalue") -> DataFrame:
+    """``test`` says which statistics decide ``drifted``: ``pvalue`` (KS for
+    numeric, chi-square for categorical features, p < 0.05) or ``distance``
+    (normed Wasserstein, Jensen-Shannon, > 0.1). All of them are always given.
+
+    Per feature: normed Wasserstein-1 distance and the two-sample KS
     statistic (numeric), Jensen–Shannon distance (categorical, natural log).
 
     The numeric distances need both empirical CDFs on the merged sorted
     values: counts per (feature, value) are prefix-summed with the bucketed
     running totals, never in a single task.
     """
+    if test not in ("pvalue", "distance"):
+        raise ValueError(f"unknown test {test!r}")
+    by_pvalue = test == "pvalue"
     numeric = _present(numeric, ref, cur)
     categorical = _present(categorical, ref, cur)
     parts = []
@@ -213,9 +245,12 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
                        F.count_if(F.col("_side") == CUR).alias("n_cur")))
         cum = prefix.running_totals(counts, ["value"], ["n_ref", "n_cur"], partition_cols=["feature"],
                                     n_buckets=n_buckets)
-        stats = counts.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_cur").alias("tc"))
-        moments = (u.select("_side", F.inline(pairs)).where((F.col("_side") == REF) & F.col("value").isNotNull())
-                   .groupBy("feature").agg(F.stddev_pop("value").alias("ref_std")))
+        stats = cum.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_cur").alias("tc"))
+        # the reference's deviation from its value counts: the input isn't read again
+        means = cum.groupBy("feature").agg((F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("ref_mean"))
+        off = F.col("value") - F.col("ref_mean")
+        moments = (cum.join(F.broadcast(means), "feature")  # one row per column
+                   .groupBy("feature").agg(F.sqrt(F.sum(off * off * F.col("n_ref")) / F.sum("n_ref")).alias("ref_std")))
         # With S = F_ref − F_cur after this value and d = this value's own step,
         # W1 = Σ v·(|S − d| − |S|) (the CDF gap before minus after each value).
         # stats has one row per feature (bounded by the column list)
@@ -228,7 +263,6 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
              .join(moments, "feature"))
         wn = F.col("w1") / F.when(F.col("ref_std") == 0, F.lit(1.0)).otherwise(F.col("ref_std"))
         pv = ks_pvalue(F.col("ks"), F.col("tr"), F.col("tc"))
-        small = F.least("tr", "tc") <= SMALL_SAMPLE
         parts.append(w.select(
             "feature", F.lit("numeric").alias("kind"),
             E.rnd(wn, 6).alias("wasserstein_normed"),
@@ -237,9 +271,8 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
             F.lit(None).cast("double").alias("jensen_shannon"),
             F.lit(None).cast("double").alias("chi2_statistic"),
             F.lit(None).cast("double").alias("chi2_pvalue"),
-            F.when(small, F.lit("ks")).otherwise(F.lit("wasserstein")).alias("test"),
-            F.coalesce(F.when(small, pv < KS_ALPHA).otherwise(wn > DISTANCE_THRESHOLD), F.lit(False))
-            .alias("drifted")))
+            F.lit("ks" if by_pvalue else "wasserstein").alias("test"),
+            F.coalesce(pv < KS_ALPHA if by_pvalue else wn > DISTANCE_THRESHOLD, F.lit(False)).alias("drifted")))
     if categorical:
         cc = category_counts(ref, cur, categorical)
         m = (F.col("share_ref") + F.col("share_cur")) / 2
@@ -254,7 +287,6 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
                    F.sum(term).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"),
                    F.first("t_ref").alias("tr"), F.first("t_cur").alias("tc")))
         pchi = chi2_pvalue(F.col("chi2"), F.col("dof"))
-        small = F.least("tr", "tc") <= SMALL_SAMPLE
         parts.append(js.select("feature", F.lit("categorical").alias("kind"),
                                F.lit(None).cast("double").alias("wasserstein_normed"),
                                F.lit(None).cast("double").alias("ks_statistic"),
@@ -262,8 +294,8 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
                                E.rnd("js", 6).alias("jensen_shannon"),
                                E.rnd("chi2", 6).alias("chi2_statistic"),
                                E.rnd(pchi, 6).alias("chi2_pvalue"),
-                               F.when(small, F.lit("chisquare")).otherwise(F.lit("jensen_shannon")).alias("test"),
-                               F.coalesce(F.when(small, pchi < KS_ALPHA).otherwise(F.col("js") > DISTANCE_THRESHOLD),
+                               F.lit("chisquare" if by_pvalue else "jensen_shannon").alias("test"),
+                               F.coalesce(pchi < KS_ALPHA if by_pvalue else F.col("js") > DISTANCE_THRESHOLD,
                                           F.lit(False)).alias("drifted")))
     out = parts[0]
     for p in parts[1:]:
@@ -271,11 +303,10 @@ def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
     return out
 
 
-# Fixed values of the dataset-drift tests: distance threshold for large
-# samples, significance level and size limit of the small-sample tests.
+# Fixed values of the dataset-drift tests: distance threshold and
+# significance level.
 DISTANCE_THRESHOLD = 0.1
 KS_ALPHA = 0.05
-SMALL_SAMPLE = 1000
 
 
 def ks_pvalue(d, n1, n2, terms: int = 100):
@@ -311,15 +342,19 @@ def windowed_drift(df: DataFrame, ts_col: str, numeric: str, categorical: str,
     return score_windows(per_window, counts, numeric, categorical, threshold)
 
 
-def window_moments_from_sums(counts: DataFrame) -> DataFrame:
-    """Per-window mean and sample deviation from (n, sum, sum of squares)
-    aggregates, as emitted by the windowed stream."""
-    w = counts.groupBy("window_start").agg(F.sum("n").alias("n"), F.sum("sum_value").alias("s1"),
-                                           F.sum("sum_sq").alias("s2"))
-    mean = F.col("s1") / F.col("n")
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
-    return w.select("window_start", mean.alias("m"),
-                    F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("s"))
+def window_moments(counts: DataFrame) -> DataFrame:
+    """Per-window mean and sample deviation, merged from the per-category
+    counts, means and sums of squared deviations that the windowed stream
+    emits (parallel-variance formula: nothing large is subtracted)."""
+    some = counts.where(F.col("n_value") > 0)
+    means = some.groupBy("window_start").agg(
+        F.sum("n_value").alias("nv"), (F.sum(F.col("n_value") * F.col("mean_value")) / F.sum("n_value")).alias("m"))
+    gap = F.col("mean_value") - F.col("m")
+    return (some.join(means, "window_start")
+            .groupBy("window_start").agg(
+                F.first("m").alias("m"), F.first("nv").alias("nv"),
+                F.sum(F.col("squares") + F.col("n_value") * gap * gap).alias("q"))
+            .select("window_start", "m", F.when(F.col("nv") > 1, F.sqrt(F.col("q") / (F.col("nv") - 1))).alias("s")))
 
 
 def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, categorical: str,
@@ -349,32 +384,36 @@ def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, catego
                     F.coalesce(F.col("score") > threshold, F.lit(False)).alias("drifted")))
 
 
-def chi2_pvalue(x, dof, terms: int = 300):
-    """Upper tail of the chi-square distribution, ``1 − P(dof/2, x/2)``,
-    with the regularized lower incomplete gamma from its power series
-    ``P(a, y) = Σ_n exp(−y + (a+n)·ln y − lnΓ(a+n+1))``. ``lnΓ(a+1)`` is
-    exact for the integer and half-integer ``a`` a chi-square needs. The
-    series is summed in log space by a higher-order ``aggregate``; beyond
-    y = 100 (x = 200) the tail is below any usual significance level for the
-    degrees of freedom of a categorical column and is returned as 0."""
-    y = x / 2.0
-    a = dof / 2.0
-    lg_int = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(a).cast("int"), F.lit(1))), F.lit(0.0),
-                         lambda acc, i: acc + F.log(i.cast("double")))
-    lg_half = F.lit(0.5 * math.log(math.pi)) + F.aggregate(
+def chi2_pvalue(x, dof):
+    """Upper tail of the chi-square distribution, ``Q(a, y)`` with ``a = dof/2``
+    and ``y = x/2``, for any statistic and any degrees of freedom.
+
+    Below ``a + 1`` it is one less the power series of the lower tail, above it
+    the continued fraction of the upper tail, evaluated backwards. Both
+    converge in a few times ``sqrt(a)`` terms there, so their length follows
+    ``a``. ``lnΓ(a + 1)`` is exact for the integer and half-integer ``a`` a
+    chi-square needs. Higher-order functions, so it stays a Catalyst
+    expression."""
+    y, a = x / 2.0, dof / 2.0
+    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(a).cast("int"), F.lit(1))), F.lit(0.0),
+                        lambda acc, i: acc + F.log(i.cast("double")))
+    half = F.lit(0.5 * math.log(math.pi)) + F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.floor(a).cast("int"), F.lit(0))), F.lit(0.0),
         lambda acc, i: acc + F.log(i.cast("double") + 0.5))
-    lg = F.when(dof % 2 == 0, lg_int).otherwise(lg_half)
-    l0 = -y + a * F.log(y) - lg
-    acc0 = F.struct(F.exp(l0).alias("s"), l0.alias("l"))
+    log_gamma = F.when(dof % 2 == 0, whole).otherwise(half)  # of a + 1
+    terms = (F.lit(200) + F.floor(F.lit(15) * F.sqrt(a))).cast("int")
+    front = -y + a * F.log(y) - log_gamma
+    acc0 = F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("t"))
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), acc0,
-        lambda acc, n: F.struct((acc["s"] + F.exp(acc["l"] + F.log(y) - F.log(a + n))).alias("s"),
-                                (acc["l"] + F.log(y) - F.log(a + n)).alias("l")),
+        F.sequence(F.lit(1), terms), acc0,
+        lambda acc, n: F.struct((acc["s"] + acc["t"] * y / (a + n)).alias("s"), (acc["t"] * y / (a + n)).alias("t")),
         lambda acc: acc["s"])
-    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - series))
+    fraction = F.aggregate(
+        F.sequence(terms, F.lit(1), F.lit(-1)), y + 2 * terms + 1 - a,
+        lambda acc, i: y + 2 * i - 1 - a - i * (i - a) / acc)
+    q = F.when(y < a + 1, F.lit(1.0) - F.exp(front) * series).otherwise(F.exp(front) * a / fraction)
     return (F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double"))
             .when(dof <= 0, F.lit(1.0))
             .when(x <= 0, F.lit(1.0))
-            .when(x > 200.0, F.lit(0.0))
-            .otherwise(q))
+            .when(x == float("inf"), F.lit(0.0))  # a category the reference never had
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))))

@@ -22,8 +22,8 @@ import time
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,33 +31,45 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import expressions as E
 from . import metrics as M
+from . import preprocess as PP
 
 NUM = S.NUMERICAL_FEATURES + S.ENGINEERED_FEATURES
 CAT = S.CATEGORICAL_FEATURES
 
 
-def preprocessing_stages(num=None, cat=None) -> list:
-    """Median impute → standard scale (numeric), index alphabetically →
-    one-hot with unknown levels as all zeros (categorical)."""
+def fit_preprocessing(train: DataFrame, num=None, cat=None) -> PipelineModel:
+    """Fitted preprocessing, one persistable pipeline: exact medians, most
+    frequent values, means and population deviations of the training rows
+    (``preprocess``) applied as a projection, then levels in alphabetical order
+    one-hot encoded. Null levels become the mode, unknown levels all zeros."""
     num, cat = list(num or NUM), list(cat or CAT)
-    imputed = [f"{c}__imp" for c in num]
+    med = {r["feature"]: r["median"] for r in PP.medians(train, num).collect()}    # one row per column
+    mode = {r["feature"]: r["mode"] for r in PP.modes(train, cat).collect()}       # one row per column
+    med = {c: med.get(c, 0.0) for c in num}  # a column without values is all zeros
+    stats = PP.moments(train, num, med)
+
+    def number(x: float) -> str:
+        return f"cast('{float(x)!r}' as double)"
+
+    parts = []
+    for c in num:
+        x = f"coalesce(nullif(cast(`{c}` as double), cast('NaN' as double)), {number(med[c])})"
+        mean, deviation = stats[c]
+        parts.append(f"({x} - {number(mean or 0.0)}) / {number(deviation or 1.0)} as `numerical__{c}`")
+    for c in cat:
+        filled = E.sql_str(mode[c]) if mode.get(c) is not None else "''"
+        parts.append(f"coalesce(cast(`{c}` as string), {filled}) as `categorical__{c}`")
+    project = SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__")
     stages = [
-        Imputer(inputCols=[f"{c}__dbl" for c in num], outputCols=imputed, strategy="median"),
-        VectorAssembler(inputCols=imputed, outputCol="num_vec", handleInvalid="keep"),
-        StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True),
-        StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat],
+        project,
+        VectorAssembler(inputCols=[f"numerical__{c}" for c in num], outputCol="num_scaled"),
+        # unknown levels get an index of their own, the last, which the encoder drops
+        StringIndexer(inputCols=[f"categorical__{c}" for c in cat], outputCols=[f"{c}__idx" for c in cat],
                       handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
-                      dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat], dropLast=True),
         VectorAssembler(inputCols=["num_scaled"] + [f"{c}__ohe" for c in cat], outputCol="features"),
     ]
-    return stages
-
-
-def prepare(df: DataFrame, num=None) -> DataFrame:
-    """Numeric inputs as doubles (Imputer needs floating point)."""
-    num = list(num or NUM)
-    return df.withColumns({f"{c}__dbl": E.nan_to_null(F.col(c).cast("double")) for c in num})
+    return Pipeline(stages=stages).fit(train)
 
 
 def with_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -91,23 +103,21 @@ def model_configs(total_weight: float, seed: int = S.SEED) -> list[dict]:
 
 
 def fit(train: DataFrame, estimator, num=None, cat=None) -> PipelineModel:
-    return Pipeline(stages=preprocessing_stages(num, cat) + [estimator]).fit(prepare(train, num))
+    prep = fit_preprocessing(train, num, cat)
+    return PipelineModel(stages=[*prep.stages, estimator.fit(prep.transform(train))])
 
 
-def probabilities(model: PipelineModel, df: DataFrame, num=None) -> DataFrame:
-    out = model.transform(prepare(df, num))
-    return out.withColumn("churn_probability", vector_to_array("probability")[1])
+def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    return model.transform(df).withColumn("churn_probability", vector_to_array("probability")[1])
 
 
 def feature_names(model: PipelineModel) -> list[str]:
     """Output feature names in vector order: ``numerical__<col>`` then
     ``categorical__<col>_<level>`` for each known level (alphabetical)."""
-    names = [f"numerical__{c}" for c in NUM]
-    for stage in model.stages:
-        if hasattr(stage, "labelsArray"):
-            for c, labels in zip(stage.getInputCols(), stage.labelsArray):
-                names += [f"categorical__{c}_{v}" for v in labels]
-    return names
+    numbers = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    levels = next(s for s in model.stages if hasattr(s, "labelsArray"))
+    return [*numbers.getInputCols(),
+            *[f"{c}_{v}" for c, labels in zip(levels.getInputCols(), levels.labelsArray) for v in labels]]
 
 
 def importances(model: PipelineModel) -> list[float]:
@@ -124,7 +134,7 @@ def top_features(spark, model: PipelineModel, k: int = 20) -> DataFrame:
     imp = importances(model)
     names = feature_names(model)
     if len(names) != len(imp):
-        names = [f"feature_{i}" for i in range(len(imp))]
+        raise ValueError(f"{len(names)} feature names for {len(imp)} importances")
     rows = [(n.replace("numerical__", "").replace("categorical__", ""), float(v)) for n, v in zip(names, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(k)
@@ -134,11 +144,12 @@ def run_id_for(name: str, seed: int, data_tag: str) -> str:
     return hashlib.md5(f"{name}|{seed}|{data_tag}".encode()).hexdigest()
 
 
-def training_partitions(n_rows: int, rows_per_partition: int = 250_000) -> int:
-    """Partitions for cached training vectors: about 250k rows each, so
-    iterative learners (hundreds of passes) do not pay per-task overhead on
-    tiny data and still spread large data over the cluster."""
-    return max(1, -(-n_rows // rows_per_partition))
+def training_partitions(n_rows: int, cores: int, rows_per_partition: int = 250_000,
+                        least_rows: int = 2_000) -> int:
+    """Partitions for cached training vectors: at most about 250k rows each,
+    and otherwise as many as there are cores, as long as each has enough rows
+    to outweigh a task's overhead in hundreds of passes."""
+    return max(1, -(-n_rows // rows_per_partition), min(cores, n_rows // least_rows))
 
 
 def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=None):
@@ -151,12 +162,17 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=
     spark = train.sparkSession
     weighted = with_weights(train)
     n_rows = weighted.count()
-    prep = Pipeline(stages=preprocessing_stages()).fit(prepare(weighted))
-    vectors = (prep.transform(prepare(weighted))
+    prep = fit_preprocessing(weighted)
+    vectors = (prep.transform(weighted)
                .select("features", "label", "w_balanced", "w_pos3")
-               .repartition(training_partitions(n_rows))
+               .repartition(training_partitions(n_rows, spark.sparkContext.defaultParallelism))
                .persist())
     total_w = vectors.agg(F.sum("w_balanced")).first()[0]
+    counts = test.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("rate")).first()
+    train_rate = weighted.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    about = {"train_samples": str(n_rows), "test_samples": str(counts["n"]),
+             "n_features": str(len(feature_names(prep))),
+             "train_positive_rate": f"{train_rate or 0.0:.6f}", "test_positive_rate": f"{counts['rate'] or 0.0:.6f}"}
     configs = [c for c in model_configs(total_w) if not model_names or c["name"] in model_names]
     fitted, rows = {}, []
     try:
@@ -172,7 +188,9 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=
             metrics = {k: float(m[k]) for k in ["accuracy", "precision", "recall", "f1_score", "roc_auc"]}
             fitted[cfg["name"]] = model
             rows.append((run_id_for(cfg["name"], S.SEED, data_tag), cfg["name"], "FINISHED", start,
-                         cfg["params"], {"model_type": cfg["name"]}, metrics))
+                         cfg["params"] | about,
+                         {"model_type": cfg["name"], "data_tag": data_tag, "seed": str(S.SEED),
+                          "primary_metric": S.PRIMARY_METRIC, "stage": "training"}, metrics))
     finally:
         vectors.unpersist()
     return fitted, spark.createDataFrame(rows, S.RUNS_SCHEMA)

@@ -49,6 +49,14 @@ def best_run(runs: DataFrame, metric: str = S.PRIMARY_METRIC) -> DataFrame:
     return best.where(F.col("b").isNotNull()).select("b.*")
 
 
+def require_best_run(runs: DataFrame, metric: str = S.PRIMARY_METRIC):
+    """The best finished run as a row; an error when there is none."""
+    row = best_run(runs, metric).first()
+    if row is None:
+        raise ValueError("the run log holds no finished run: train first")
+    return row
+
+
 def initial_versions(runs: DataFrame, name: str) -> DataFrame:
     """Registry in which every finished run was registered in run-id order
     and promoted on arrival: the last version is Production, the others
@@ -64,7 +72,10 @@ def initial_versions(runs: DataFrame, name: str) -> DataFrame:
 
 def promote(versions: DataFrame, run: DataFrame, name: str) -> DataFrame:
     """Register ``run`` (one row: run_id, model_type) as version max+1 in
-    Production; earlier Production versions become Archived."""
+    Production; earlier Production versions become Archived. Without a run
+    nothing is touched and an error is raised."""
+    if run.limit(1).count() == 0:
+        raise ValueError(f"cannot promote a version of '{name}': there is no finished run")
     nxt = versions.where(F.col("name") == name).agg(
         F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"] + 1
     new = run.select(

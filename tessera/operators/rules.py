@@ -20,8 +20,8 @@ def _request_rules() -> list[tuple[str, str]]:
     rules = [
         ("SeniorCitizen_out_of_range", "(SeniorCitizen < 0 or SeniorCitizen > 1)"),
         ("tenure_negative", "tenure < 0"),
-        ("MonthlyCharges_not_positive", "MonthlyCharges <= 0"),
-        ("TotalCharges_negative", "TotalCharges < 0"),
+        ("MonthlyCharges_not_positive", "(MonthlyCharges <= 0 or isnan(MonthlyCharges))"),
+        ("TotalCharges_negative", "(TotalCharges < 0 or isnan(TotalCharges))"),
         ("gender_invalid", f"gender not in ({g})"),
         ("Contract_invalid", f"Contract not in ({k})"),
     ]

@@ -29,7 +29,12 @@ from .. import schemas as S
 
 
 def split_hash(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
+    """A row without an id hashes like one with an empty id."""
+    return F.md5(F.concat(F.lit(str(seed)), _id(id_col)))
+
+
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
 
 def allocate(class_counts: dict, test_size: float) -> dict:
@@ -76,7 +81,7 @@ def _kth(keyed, k: int):
 def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label",
                  test_size: float = S.TEST_SIZE, seed: int = S.SEED) -> Column:
     """Column expression 'train'/'test' for ``df`` (an id must be unique)."""
-    keyed = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"),
+    keyed = df.select(_id(id_col).alias("_id"), F.col(label_col).alias("_y"),
                       split_hash(id_col, seed).alias("_h"))
     first = F.substring("_h", 1, _DIGITS)
     level1 = keyed.groupBy("_y", first.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -119,7 +124,7 @@ def split_column(df: DataFrame, id_col: str = S.ID_COL, label_col: str = "label"
     expr = None
     for c, (ch, cid) in cuts.items():
         in_test = (F.col(label_col) == F.lit(c)) & (
-            (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) <= F.lit(cid))))
+            (h < F.lit(ch)) | ((h == F.lit(ch)) & (_id(id_col) <= F.lit(cid))))
         expr = in_test if expr is None else expr | in_test
     if expr is None:
         return F.lit("train")

@@ -1,7 +1,8 @@
 """The training job: ingest → validate → split/preprocess → train and log →
 select and promote → monitor. One SparkSession; each stage extends the
-plan of the previous one, and tables are materialised at two points only
-(the cleaned table and the split), in the output folder.
+plan of the previous one; the cleaned table, the reference slice and the split
+are materialised in the output folder. A rerun with the same ``run_ts``
+replaces what that run wrote and leaves other runs alone.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as E
@@ -49,7 +51,8 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
     # 2. validate: report always written; the gate only raises when asked to
     report = X.run_suite(clean, X.customer_suite())
     IO.write_report(report, f"{out}/reports/validation", run_ts)
-    failed = X.gate(spark.read.json(f"{out}/reports/validation").where(F.col("run_ts") == run_ts),
+    stamped = T.StructType([*report.schema.fields, T.StructField("run_ts", T.StringType())])
+    failed = X.gate(spark.read.schema(stamped).json(f"{out}/reports/validation").where(F.col("run_ts") == run_ts),
                     fail_on_error=fail_on_validation)
 
     # 3. features and split (materialised once)
@@ -60,36 +63,41 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
 
     # 4. train and log
     fitted, runs = MD.train_and_log(train, test, data_tag=run_ts, model_names=model_names)
-    runs.write.mode("append").parquet(f"{out}/runs")
-    all_runs = spark.read.parquet(f"{out}/runs")
+    (runs.withColumn("job_ts", F.lit("j" + run_ts)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("job_ts").parquet(f"{out}/runs"))
+    all_runs = spark.read.parquet(f"{out}/runs").drop("job_ts")
+    IO.write_report(runs.select("run_id", "model_type", "status", F.map_entries("metrics").alias("metrics"),
+                                F.map_entries("tags").alias("tags")), f"{out}/reports/training", run_ts)
 
     # 5. select the best run and promote it
+    R.require_best_run(all_runs)
     best = R.best_run(all_runs)
+    IO.write_report(best, f"{out}/reports/evaluation", run_ts)
     snapshot = "s" + "".join(ch for ch in run_ts if ch.isdigit())
     versions_path = f"{out}/model_versions"
     if IO.path_exists(spark, versions_path):
         snaps = spark.read.parquet(versions_path)
-        last = snaps.agg(F.max("snapshot")).first()[0]
-        versions = snaps.where(F.col("snapshot") == last).drop("snapshot")
+        # what this run itself wrote before, if it runs again, doesn't count
+        earlier = snaps.where(F.col("snapshot") < snapshot)
+        last = earlier.agg(F.max("snapshot")).first()[0]
+        versions = earlier.where(F.col("snapshot") == F.lit(last)).drop("snapshot")
     else:
         versions = spark.createDataFrame([], S.MODEL_VERSIONS_SCHEMA)
-    # each run appends a new registry snapshot; nothing read is overwritten
+    # each run writes its own registry snapshot; a rerun replaces only that
     (R.promote(versions, best, registry_name).withColumn("snapshot", F.lit(snapshot))
-     .write.mode("append").partitionBy("snapshot").parquet(versions_path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot")
+     .parquet(versions_path))
     promoted = spark.read.parquet(versions_path).where(F.col("snapshot") == snapshot).drop("snapshot")
-    best_row = best.first()
     this_job = {r["run_id"]: r["model_type"] for r in runs.select("run_id", "model_type").collect()}
     for run_id, model_type in this_job.items():
         # every fitted model is kept under its run id; serving picks by version
         MD.save(fitted[model_type], f"{out}/models/{run_id}")
-    del best_row
-
     # 6. monitor: drift never blocks the batch
     try:
-        drift = D.drift_report(reference, clean)
-        drift = drift.withColumn("status", F.lit("ok"))
+        IO.write_report(D.drift_report(reference, clean).withColumn("status", F.lit("ok")),
+                        f"{out}/reports/drift", run_ts)
     except Exception as exc:  # reported as a row, flag false
-        drift = spark.createDataFrame([(str(exc)[:500],)], "error string").select(
-            F.lit("error").alias("status"), F.lit(False).alias("drift_detected"), "error")
-    IO.write_report(drift, f"{out}/reports/drift", run_ts)
-    return JobResult(failed, all_runs, promoted, drift)
+        IO.write_report(spark.createDataFrame([("error", False, str(exc))],
+                                              "status string, drift_detected boolean, error string"),
+                        f"{out}/reports/drift", run_ts)
+    return JobResult(failed, all_runs, promoted, IO.latest_report(spark, f"{out}/reports/drift"))

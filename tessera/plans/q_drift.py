@@ -147,6 +147,12 @@ def retrain_decision(spark, sf):
 _MISSING_COLS = [c for c in S.CUSTOMER_COLUMNS if c != S.ID_COL]
 
 
+def _coerced_sides_sql() -> str:
+    cols = ", ".join(f"{O._to_number(c)} as {c}" if c == "TotalCharges" else c for c in _MISSING_COLS)
+    return (f"with r0 as ({TB.oracle_customer_view()}), c0 as ({TB.oracle_dirty_view()}),\n"
+            f"r as (select {cols} from r0), c as (select {cols} from c0)\n")
+
+
 def _missing_sql() -> str:
     rows = []
     for c in _MISSING_COLS:
@@ -155,9 +161,7 @@ def _missing_sql() -> str:
                     f"round(coalesce((select count_if({c} is null) / nullif(count(*), 0) from r), 0), 6) as reference_share, "
                     f"(select count_if({c} is null) from c) as current_nulls, "
                     f"round(coalesce((select count_if({c} is null) / nullif(count(*), 0) from c), 0), 6) as current_share")
-    cols_r = ", ".join(f"{O._to_number(c)} as {c}" if c == "TotalCharges" else c for c in _MISSING_COLS)
-    return (f"with r0 as ({TB.oracle_customer_view()}), c0 as ({TB.oracle_dirty_view()}),\n"
-            f"r as (select {cols_r} from r0), c as (select {cols_r} from c0)\n"
+    return (_coerced_sides_sql() +
             "select \"column\", cast(reference_nulls as bigint) as reference_nulls, reference_share, "
             "cast(current_nulls as bigint) as current_nulls, current_share from (\n"
             + "\nunion all\n".join(rows) + "\n)")
@@ -199,11 +203,12 @@ def drift_by_week_events(spark, sf):
     return D.windowed_drift(TB.table(spark, sf, "events"), "ts", "value", "event_type")
 
 
-_DIST_NUM = ["tenure", "MonthlyCharges", "TotalCharges"]
-_DIST_CAT = ["gender", "Contract", "PaymentMethod"]
+# all columns but the id
+_DIST_NUM = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+_DIST_CAT = [c for c in S.CUSTOMER_COLUMNS if c != S.ID_COL and c not in _DIST_NUM]
 
 
-def _dist_sql() -> str:
+def _dist_sql(test: str = "pvalue") -> str:
     num_parts, cat_parts = [], []
     for c in _DIST_NUM:
         num_parts.append(f"select '{c}' as feature, cast({c} as double) as v, 'r' as side from ref "
@@ -238,33 +243,53 @@ def _dist_sql() -> str:
             "sum(case when nr * ct.tk / ct.tr > 0 then (nk - nr * ct.tk / ct.tr) * (nk - nr * ct.tk / ct.tr) / (nr * ct.tk / ct.tr) "
             "when nk > 0 then cast('inf' as double) else 0.0 end) as chi2 "
             "from cn join ct on cn.feature = ct.feature group by cn.feature),\n"
-            "chp as (select *, case when dof <= 0 then 1.0 when chi2 <= 0 then 1.0 when chi2 > 200.0 then 0.0 "
-            "else least(1.0, greatest(0.0, 1.0 - list_sum(list_transform(range(0, 301), lambda n: "
+            "chp as (select *, case when dof <= 0 then 1.0 when chi2 <= 0 then 1.0 when chi2 = cast('inf' as double) then 0.0 "
+            "else least(1.0, greatest(0.0, 1.0 - list_sum(list_transform("
+            "range(0, cast(chi2 / 2.0 + 15 * sqrt(chi2) + 300 as bigint)), lambda n: "
             "exp(-chi2 / 2.0 + (dof / 2.0 + n) * ln(chi2 / 2.0) - lgamma(dof / 2.0 + n + 1)))))) end as pchi from ch),\n"
             "js as (select js0.feature, js0.js, chp.chi2, chp.pchi, chp.tr, chp.tk from js0 join chp on js0.feature = chp.feature),\n"
             "out as (select w4.feature, 'numeric' as kind, round(w1 / case when sdv = 0 then 1.0 else sdv end, 6) "
             "as wasserstein_normed, round(ks, 6) as ks_statistic, round(pv, 6) as ks_pvalue, "
             "cast(null as double) as jensen_shannon, cast(null as double) as chi2_statistic, "
             "cast(null as double) as chi2_pvalue, "
-            "case when least(tr, tk) <= 1000 then 'ks' else 'wasserstein' end as test, "
-            "coalesce(case when least(tr, tk) <= 1000 then pv < 0.05 "
-            "else w1 / case when sdv = 0 then 1.0 else sdv end > 0.1 end, false) as drifted "
+            + ("'ks' as test, coalesce(pv < 0.05, false) as drifted " if test == "pvalue" else
+               "'wasserstein' as test, coalesce(w1 / case when sdv = 0 then 1.0 else sdv end > 0.1, false) as drifted ") +
             "from w4 join sd on w4.feature = sd.feature\n"
             "union all select feature, 'categorical', cast(null as double), cast(null as double), "
             "cast(null as double), round(js, 6), round(chi2, 6), round(pchi, 6), "
-            "case when least(tr, tk) <= 1000 then 'chisquare' else 'jensen_shannon' end, "
-            "coalesce(case when least(tr, tk) <= 1000 then pchi < 0.05 else js > 0.1 end, false) from js)\n"
+            + ("'chisquare', coalesce(pchi < 0.05, false)" if test == "pvalue" else
+               "'jensen_shannon', coalesce(js > 0.1, false)") + " from js)\n"
             "select * from out")
 
 
 @register("dataset_drift_stats", oracle=_dist_sql())
 def dataset_drift_stats(spark, sf):
-    """Normed Wasserstein and KS (numeric), Jensen–Shannon (categorical)
-    between the reference slice and the shifted batch."""
+    """Normed Wasserstein and KS (numeric), Jensen–Shannon and chi-square
+    (categorical) of all columns but the id, between the reference slice and
+    the shifted batch; the p-values decide."""
     ref, cur = _sides(spark, sf, shift=True)
     return D.distribution_distances(ref, cur, _DIST_NUM, _DIST_CAT)
 
 
+@register("dataset_drift_distances", oracle=_dist_sql("distance"))
+def dataset_drift_distances(spark, sf):
+    """The same statistics; the distances decide."""
+    ref, cur = _sides(spark, sf, shift=True)
+    return D.distribution_distances(ref, cur, _DIST_NUM, _DIST_CAT, test="distance")
+
+
+@register("rows_with_missing", oracle=_coerced_sides_sql() + f"""
+select 'reference' as side, count(*) as n_rows,
+       count_if({" or ".join(f"{c} is null" for c in _MISSING_COLS)}) as rows_with_missing from r
+union all
+select 'current', count(*), count_if({" or ".join(f"{c} is null" for c in _MISSING_COLS)}) from c""")
+def rows_with_missing(spark, sf):
+    """Rows in which any column is missing: clean view and dirty feed."""
+    coerce = {"TotalCharges": E.to_number("TotalCharges")}
+    return D.rows_with_missing(TB.customers_raw(spark, sf).withColumns(coerce),
+                               TB.customers_dirty(spark, sf).withColumns(coerce), _MISSING_COLS)
+
+
 @register("drift_bands", oracle=f"""
 with d as ({_drift_sql("cur_shift", "num")}
 union all

@@ -19,13 +19,14 @@ def _train_test(spark, sf):
 
 @register("batch_score")
 def batch_score(spark, sf):
-    """Fit the logistic-regression pipeline on the train rows and score the
-    test rows: probability, decision, risk band, version and id."""
-    train, test = _train_test(spark, sf)
+    """Fit the logistic-regression pipeline on the train rows and score every
+    row: probability, decision, risk band, version and id."""
+    everyone = with_split(spark, sf).checkpoint(eager=True)
+    train = everyone.where(F.col("split") == "train")
     train_w = MD.with_weights(train)
     total_w = train_w.agg(F.sum("w_balanced")).first()[0]
     model = MD.fit(train_w, MD.model_configs(total_w)[0]["estimator"])
-    return MD.batch_score(model, test, version="1", name="LogisticRegression", run_ts=RUN_TS)
+    return MD.batch_score(model, everyone, version="1", name="LogisticRegression", run_ts=RUN_TS)
 
 
 @register("feature_importance_topk")

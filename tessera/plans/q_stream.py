@@ -1,6 +1,7 @@
-"""Streaming queries (rows-only checks). Inputs are written by Spark from
-the driver tables into the shared checkpoint folder, then consumed as
-streams with ``availableNow`` triggers."""
+"""Streaming queries. Inputs are written by Spark from the driver tables into
+the shared checkpoint folder, then consumed as streams with ``availableNow``
+triggers; which windows are closed follows from the data, so SQL can check
+them."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
 from ..operators import drift as D
 from ..operators import models as MD
 from ..session import scratch_path
@@ -42,25 +44,61 @@ def stream_score(spark, sf):
     return valid.unionByName(rejected)
 
 
-@register("stream_window_counts")
-def stream_window_counts(spark, sf):
-    """``events`` replayed as a file stream (one file per day); 7-day
-    windows with a 1-day watermark; only closed windows are emitted."""
+# Windows that the watermark (newest event less a day) has passed.
+_CLOSED = """
+ev as (select time_bucket(interval '7 days', ts, timestamp '1970-01-01') as window_start,
+              event_type as cat, cast(value as double) as x from events),
+closed as (select * from ev where window_start + interval '7 days'
+           <= (select max(ts) from events) - interval '1 day')"""
+
+
+def _replayed(spark, sf, parts: int | None = None):
+    """``events`` written as a file feed in event-time order and read back as
+    one stream: window aggregates of the closed windows."""
     root = scratch_path(spark, f"stream-events-{uuid.uuid4().hex}")
     ev = TB.table(spark, sf, "events")
-    ev.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").drop("day").schema
-    q = ST.start_window_counts(spark, f"{root}/in", schema, f"{root}/out", f"{root}/_checkpoint")
+    ordered = ev.repartitionByRange(parts, "ts") if parts else ev.repartitionByRange("ts")
+    ordered.sortWithinPartitions("ts").write.parquet(f"{root}/in")
+    q = ST.start_window_counts(spark, f"{root}/in", ev.schema, f"{root}/out", f"{root}/_checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-@register("stream_window_drift")
+@register("stream_window_counts", oracle=f"""
+with {_CLOSED}
+select window_start, window_start + interval '7 days' as window_end, cat as category, count(*) as n,
+       count(x) as n_value, round(avg(x), 4) as mean_value, round(var_pop(x), 4) as variance
+from closed group by window_start, cat""")
+def stream_window_counts(spark, sf):
+    """``events`` replayed as a file stream; 7-day windows with a 1-day
+    watermark; only closed windows are emitted, each with all its rows."""
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return _replayed(spark, sf).select(
+        ntz("window_start"), ntz("window_end"), "category", "n", "n_value",
+        E.rnd("mean_value", 4).alias("mean_value"),
+        E.rnd(F.col("squares") / F.col("n_value"), 4).alias("variance"))
+
+
+@register("stream_window_drift", oracle=f"""
+with {_CLOSED},
+pw as (select window_start, avg(x) as m, stddev_samp(x) as s from closed group by window_start),
+r as (select * from pw order by window_start limit 1),
+num as (select window_start, 'value' as feature,
+               abs(m - (select m from r)) / ((select s from r) + 1e-9) as score from pw),
+cats as (select distinct cat from closed where cat is not null),
+sh as (select w.window_start, cats.cat, count(c.cat) as n from (select distinct window_start from closed) w
+       cross join cats left join closed c on c.window_start = w.window_start and c.cat = cats.cat group by 1, 2),
+p as (select window_start, cat, n / sum(n) over (partition by window_start) as p from sh),
+tv as (select p.window_start, sum(abs(p.p - q.p)) / 2 as score
+       from p join p q on p.cat = q.cat and q.window_start = (select window_start from r) group by p.window_start)
+select window_start, feature, round(score, 4) as drift_score, coalesce(score > 0.3, false) as drifted
+from (select * from num union all select window_start, 'event_type', score from tv)""")
 def stream_window_drift(spark, sf):
     """Drift of each closed 7-day window of the ``events`` stream against
     the first window, computed from the streamed window aggregates."""
-    counts = stream_window_counts(spark, sf)
-    per_window = D.window_moments_from_sums(counts)
+    counts = _replayed(spark, sf)
+    per_window = D.window_moments(counts)
     cats = counts.where(F.col("category").isNotNull()).select(
         "window_start", F.col("category").alias("cat"), "n")
-    return D.score_windows(per_window, cats, "value", "event_type")
+    return D.score_windows(per_window, cats, "value", "event_type").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -47,7 +47,8 @@ def get_session(master: str | None = None, app_name: str = "tessera",
             builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
+    if not _already_set("spark.driver.memory", active, submitted):
+        builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -57,8 +58,9 @@ def get_session(master: str | None = None, app_name: str = "tessera",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value is used as is. Only when the setting is unset (local
-    tests) do we create a private scratch folder and register it.
+    The cluster's value is used as is. Only when the setting is unset and the
+    master is local (tests) do we create a private scratch folder and register
+    it; on a cluster a folder of one machine would lose data, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-ckpt-"))
     return sc.getCheckpointDir()

@@ -16,7 +16,8 @@ from .. import schemas as S
 
 # Text read as null in CSV input, as pandas does by default (a lone " "
 # stays a string).
-NA_VALUES = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "n/a", "-NaN", "-nan"]
+NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+             "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,7 +30,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def require_input(spark: SparkSession, path: str, label: str, run_first: str) -> None:
     """Raise ``FileNotFoundError`` naming the stage to run first."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"{label.capitalize()} dataset not found at '{path}'. Run {run_first} first.")
+        raise FileNotFoundError(f"no {label} data under '{path}'; the {run_first} stage writes it")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -71,8 +72,10 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def write_report(report: DataFrame, directory: str, run_ts: str) -> None:
-    """Append a (small) report table as JSON, stamped with ``run_ts``."""
-    report.withColumn("run_ts", F.lit(run_ts)).coalesce(1).write.mode("append").json(directory)
+    """Write a (small) report table as JSON under ``run_ts=<run_ts>``. A rerun
+    with the same stamp replaces its own rows, other runs' stay."""
+    (report.withColumn("run_ts", F.lit(run_ts)).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").json(directory))
 
 
 DRIFT_SUMMARY_SCHEMA = T.StructType([
@@ -85,6 +88,8 @@ DRIFT_SUMMARY_SCHEMA = T.StructType([
     T.StructField("reference_rows", T.LongType()),
     T.StructField("current_rows", T.LongType()),
     T.StructField("drift_threshold", T.DoubleType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("error", T.StringType()),
     T.StructField("run_ts", T.StringType()),
     T.StructField("_corrupt_record", T.StringType()),
 ])
@@ -92,18 +97,41 @@ DRIFT_SUMMARY_SCHEMA = T.StructType([
 
 def latest_report(spark: SparkSession, directory: str,
                   schema: T.StructType = DRIFT_SUMMARY_SCHEMA) -> DataFrame:
-    """Newest report row by ``run_ts``. Distinct results for "no directory"
-    (status ``no_reports_dir``) and "no report" (``no_report``); unparsable
-    lines are counted in ``parse_errors`` instead of raising."""
-    fields = [f.name for f in schema.fields if f.name != "_corrupt_record"]
+    """Newest report row by ``run_ts``, always one row of the same columns.
+    ``status``: ``no_reports_directory``, ``no_reports_found``, ``unreadable`` (no
+    line could be parsed), ``error`` (the newest report says so) or ``ok``. What
+    isn't known is false, zero or ``none``; unparsable lines are counted in
+    ``parse_errors`` instead of raising."""
+    fields = [f for f in schema.fields if f.name not in ("_corrupt_record", "status")]
+    fallback = {T.BooleanType: F.lit(False), T.LongType: F.lit(0), T.DoubleType: F.lit(0.0)}
+
+    def filled(row: DataFrame) -> DataFrame:
+        cols = [F.coalesce("method", F.lit("none")).alias("method") if f.name == "method"
+                else F.coalesce(F.col(f.name), fallback[type(f.dataType)].cast(f.dataType)).alias(f.name)
+                if type(f.dataType) in fallback else F.col(f.name) for f in fields]
+        return row.select("status", *cols, "parse_errors")
+
+    empty = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields],
+                                  F.lit(0).cast("long").alias("parse_errors"))
     if not path_exists(spark, directory):
-        return spark.createDataFrame([("no_reports_dir",)], "status string")
+        return filled(empty.withColumn("status", F.lit("no_reports_directory")))
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(directory).cache()
-    out = rows.agg(
-        F.max_by(F.struct(*fields), F.when(F.col("_corrupt_record").isNull(), F.col("run_ts"))).alias("r"),
-        F.count_if(F.col("_corrupt_record").isNotNull()).alias("parse_errors"))
-    return out.select(F.when(F.col("r.run_ts").isNull(), F.lit("no_report")).otherwise(F.lit("ok")).alias("status"),
-                      "r.*", "parse_errors")
+    good = F.col("_corrupt_record").isNull()
+    try:
+        newest, bad, n = rows.agg(
+            F.max_by(F.struct(*[f.name for f in schema.fields if f.name != "_corrupt_record"]),
+                     F.when(good, F.coalesce("run_ts", F.lit("")))),
+            F.count_if(~good), F.count(F.lit(1))).first()
+    finally:
+        rows.unpersist()
+    if newest is None:
+        return filled(empty.withColumn("parse_errors", F.lit(bad).cast("long"))
+                      .withColumn("status", F.lit("unreadable" if n else "no_reports_found")))
+    given = newest.asDict()
+    row = spark.createDataFrame([tuple(given[f.name] for f in fields)], T.StructType(
+        [T.StructField(f.name, f.dataType) for f in fields]))
+    return filled(row.withColumn("status", F.lit(given.get("status") or "ok"))
+                  .withColumn("parse_errors", F.lit(bad).cast("long")))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

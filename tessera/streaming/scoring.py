@@ -6,9 +6,8 @@
   violations. Both sinks are written under ``batch_id=<id>`` with overwrite,
   so a replayed batch after a failure rewrites the same files (idempotent).
 * ``start_window_counts`` — event-time tumbling windows with a watermark:
-  per (window, category) counts and per-window moment sums, append mode, so
-  only closed windows are emitted and late rows past the watermark are
-  dropped. The drift of a closed window is the batch function applied to
+  per (window, category) counts and moments, append mode, so only closed
+  windows are emitted and late rows past the watermark are dropped. The drift of a closed window is the batch function applied to
   these aggregates.
 """
 
@@ -17,12 +16,17 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions import expressions as E
 from ..operators import features as FE
 from ..operators import models as MD
 from ..operators import rules as R
 
+#: Column that holds a line that could not be parsed.
+RAW_LINE = "_corrupt_record"
+
 
 class ServingModel:
     """The serving model from the registry table: the newest Production
@@ -41,7 +45,7 @@ class ServingModel:
             snaps = snaps.where(F.col("snapshot") == last).drop("snapshot")
         row = REG.serving_version(snaps, self.name).first()
         if row is None:
-            raise RuntimeError(f"No versions found for model '{self.name}'. Run the training job first.")
+            raise RuntimeError(f"nothing is registered under '{self.name}' yet: train and register a model")
         if row["version"] != self.version:
             self.model = PipelineModel.load(f"{self.models_root.rstrip('/')}/{row['run_id']}")
             self.version = row["version"]
@@ -58,12 +62,18 @@ class _Fixed:
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, model,
                          valid_dir: str, rejected_dir: str, checkpoint_dir: str,
-                         version: str | None, name: str, run_ts: str, available_now: bool = True):
-    """``model`` is a fitted ``PipelineModel`` (with ``version``) or a
+                         version: str | None, name: str, run_ts: str, available_now: bool = True,
+                         max_files_per_trigger: int | None = None):
+    """Rejected rows keep the whole record, the line itself where it could not
+    be parsed, and the rules they break. ``model`` is a fitted ``PipelineModel`` (with ``version``) or a
     :class:`ServingModel` that follows the registry."""
     source = model if isinstance(model, ServingModel) else _Fixed(model, version)
-    schema = S.CLEAN_CUSTOMER_SCHEMA
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).json(source_dir)
+    # a line that is not JSON keeps its text, so that it can be replayed
+    schema = T.StructType([*S.CLEAN_CUSTOMER_SCHEMA.fields, T.StructField(RAW_LINE, T.StringType())])
+    reader = spark.readStream.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_LINE)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.json(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         version, model = source.current()
@@ -73,7 +83,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, model,
             scored = MD.batch_score(model, valid, version=version, name=name, run_ts=run_ts)
             scored.write.mode("overwrite").parquet(f"{valid_dir}/batch_id={batch_id}")
             (checked.where("not is_valid")
-             .select(S.ID_COL, "violations", "n_violations")
+             .select(*[f.name for f in schema.fields], "violations", "n_violations")
              .write.mode("overwrite").parquet(f"{rejected_dir}/batch_id={batch_id}"))
         finally:
             checked.unpersist()
@@ -86,22 +96,32 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, model,
 
 def window_counts(events: DataFrame, ts_col: str = "ts", category: str = "event_type",
                   value: str = "value", window: str = "7 days", watermark: str = "1 day") -> DataFrame:
-    """Watermarked tumbling-window aggregates; works on a stream or a table.
+    """Watermarked tumbling-window aggregates; works on a stream or a table:
+    rows, rows with a value, and mean and sum of squared deviations of the
+    values (null without values), which merge without cancellation.
     ``timestamp_ntz`` is cast to ``timestamp`` (UTC session) because
     watermarks need the latter."""
     ts = F.col(ts_col).cast("timestamp").alias(ts_col)
-    ev = events.select(ts, F.col(category).cast("string").alias("category"), F.col(value).cast("double").alias("value"))
+    x = E.nan_to_null(F.col(value).cast("double"))
+    ev = events.select(ts, F.col(category).cast("string").alias("category"), x.alias("value"))
     return (ev.withWatermark(ts_col, watermark)
             .groupBy(F.window(ts_col, window).alias("w"), "category")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum_value"),
-                 F.sum(F.col("value") * F.col("value")).alias("sum_sq"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"),
+                 F.avg("value").alias("mean_value"),
+                 (F.var_pop("value") * F.count("value")).alias("squares"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "category", "n", "sum_value", "sum_sq"))
+                    "category", "n", "n_value", "mean_value", "squares"))
 
 
 def start_window_counts(spark: SparkSession, source_dir: str, schema, sink_dir: str,
-                        checkpoint_dir: str, **kw):
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+                        checkpoint_dir: str, max_files_per_trigger: int | None = None, **kw):
+    """``max_files_per_trigger`` bounds a micro-batch. Leave it unset unless
+    files arrive in event-time order: between micro-batches the watermark
+    moves on, and rows that come later than it allows are dropped."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     return (window_counts(stream, **kw).writeStream.outputMode("append")
             .format("parquet").option("path", sink_dir)
             .option("checkpointLocation", checkpoint_dir)

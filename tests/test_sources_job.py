@@ -49,7 +49,9 @@ def test_load_or_generate_then_reads_back(spark):
 def test_latest_report_defaults_and_selection(spark):
     root = tempfile.mkdtemp(prefix="tessera-rep-")
     missing = IO.latest_report(spark, os.path.join(root, "none"))
-    assert missing.first()["status"] == "no_reports_dir"
+    given = missing.first().asDict()
+    assert given["status"] == "no_reports_directory" and given["method"] == "none"
+    assert given["drift_detected"] is False and given["drift_score"] == 0.0 and given["current_rows"] == 0
     d = os.path.join(root, "drift")
     os.makedirs(d)
     with open(os.path.join(d, "a.json"), "w") as f:
@@ -58,6 +60,16 @@ def test_latest_report_defaults_and_selection(spark):
         f.write("{not json\n")
     r = IO.latest_report(spark, d).first()
     assert r["status"] == "ok" and r["drift_score"] == 0.4 and r["parse_errors"] == 1
+    assert IO.latest_report(spark, d).columns == missing.columns
+    e = os.path.join(root, "bad")
+    os.makedirs(e)
+    with open(os.path.join(e, "a.json"), "w") as f:
+        f.write("{not json\n")
+    assert IO.latest_report(spark, e).first()["status"] == "unreadable"
+    IO.write_report(spark.createDataFrame([("error", False, "x" * 900)],
+                                          "status string, drift_detected boolean, error string"), e, "2024")
+    r = IO.latest_report(spark, e).first()
+    assert (r["status"], len(r["error"]), r["method"]) == ("error", 900, "none")
 
 
 def test_training_job_end_to_end(spark):
@@ -73,6 +85,28 @@ def test_training_job_end_to_end(spark):
     assert os.path.isdir(os.path.join(out, "models"))
 
 
+def test_job_rerun_replaces_its_own_rows(spark, monkeypatch):
+    from tessera.operators import drift as D
+    out = tempfile.mkdtemp(prefix="tessera-rerun-")
+    raw = SY.generate_customers(spark, 1200, seed=5).withColumn("load_order", F.lit(1))
+    run = lambda ts: run_training_job(spark, raw, out, ts, model_names=["LogisticRegression"])
+    run("2024-01-01T00:00:00")
+    validation = spark.read.json(f"{out}/reports/validation").count()
+    run("2024-02-01T00:00:00")
+
+    def broken(*a, **k):
+        raise RuntimeError("no reference " + "x" * 600)
+    monkeypatch.setattr(D, "drift_report", broken)
+    res = run("2024-02-01T00:00:00")
+    assert {r["version"]: r["stage"] for r in res.versions.collect()} == {1: "Archived", 2: "Production"}
+    assert res.runs.count() == res.runs.select("run_id").distinct().count() == 2
+    assert spark.read.json(f"{out}/reports/validation").count() == 2 * validation
+    latest = res.drift.first()
+    assert latest["status"] == "error" and latest["drift_detected"] is False and len(latest["error"]) > 600
+    for report in ("ingestion", "validation", "training", "evaluation", "drift"):
+        assert spark.read.json(f"{out}/reports/{report}").count() > 0
+
+
 def test_stream_follows_the_registry(spark):
     from tessera.streaming import scoring as ST
     out = tempfile.mkdtemp(prefix="tessera-serve-")
