@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bitslice, bpe, layout_text, mixing, pii, reshard, secrets, simhash, toxicity
 from .common import table
+from .span_sql import PII, SECRETS
 
 
 def tokenizer_path() -> str:
@@ -134,4 +135,6 @@ r AS (
   FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op8_secret_ownership": SECRETS,
+    "op10_pii": PII,
 }
