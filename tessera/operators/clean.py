@@ -1,11 +1,11 @@
 """Typed cleaning of a raw customer table: coerce, fill, strip, remap,
 deduplicate (keep first), cast — plus the cleaning report.
 
-Everything is one narrow projection followed by one hash aggregate keyed on
-the id. The aggregate keeps, per id, the row with the smallest order key
-(``min_by`` over a struct), so the choice is deterministic whatever the
-partitioning, and its partial (map-side) phase collapses hot ids before the
-shuffle.
+Everything is one narrow projection followed by one aggregate keyed on the
+id. It keeps, per id, the smallest row (``min`` over one struct that starts with
+the order columns, so each column is carried once); the choice is deterministic
+whatever the partitioning, and the partial (map-side) phase collapses hot ids
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -56,10 +56,9 @@ def _deduplicated(prepared: DataFrame, data_cols: list[str], order_cols: list[st
                   id_col: str) -> DataFrame:
     """One row per id: the first by (order_cols, then all values), plus the
     number of copies and of missing charges seen for that id."""
-    row = F.struct(*[F.col(c) for c in data_cols])
-    key = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in data_cols])
+    row = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in data_cols])
     return (prepared.groupBy(id_col)
-            .agg(F.min_by(row, key).alias("_row"),
+            .agg(F.min(row).alias("_row"),
                  F.count(F.lit(1)).alias("_copies"),
                  F.count_if(F.col("_charges_missing")).alias("_missing")))
 
@@ -81,20 +80,29 @@ def _final_casts(df: DataFrame, strict: bool) -> DataFrame:
 
 def clean_customers(raw: DataFrame, order_cols: list[str] | None = None,
                     id_col: str = S.ID_COL, charges_col: str = "TotalCharges",
-                    label_col: str = S.TARGET_COL, strict: bool = False) -> DataFrame:
+                    label_col: str = S.TARGET_COL, strict: bool = False,
+                    keep_order: bool = False) -> DataFrame:
     """Clean a raw customer table.
 
     ``order_cols`` name the columns that carry the original row order (for
-    example ``load_order``); the first row per id in that order is kept.
-    They are dropped from the output. With no order column the kept row is
-    the smallest by value, which is still deterministic.
+    example ``load_order``); the first row per id in that order is kept. They
+    must be there, and are dropped from the output unless ``keep_order`` is
+    set. With no order column the kept row is the smallest by value, which is
+    still deterministic.
     """
-    order_cols = [c for c in (order_cols or []) if c in raw.columns]
+    order_cols = _order(raw, order_cols)
     data_cols = [c for c in raw.columns if c not in order_cols]
     prepared = _prepared(raw, order_cols, id_col, charges_col, label_col)
     dedup = _deduplicated(prepared, data_cols, order_cols, id_col)
-    out = dedup.select(*[F.col("_row")[c].alias(c) for c in data_cols])
-    return _final_casts(out, strict)
+    kept = data_cols + (order_cols if keep_order else [])
+    return _final_casts(dedup.select(*[F.col("_row")[c].alias(c) for c in kept]), strict)
+
+
+def _order(raw: DataFrame, order_cols: list[str] | None) -> list[str]:
+    absent = [c for c in order_cols or [] if c not in raw.columns]
+    if absent:
+        raise ValueError(f"no order column {', '.join(absent)}: pass order_cols=[] for tables without a row order")
+    return list(order_cols or [])
 
 
 def cleaning_report(raw: DataFrame, order_cols: list[str] | None = None,
@@ -106,7 +114,7 @@ def cleaning_report(raw: DataFrame, order_cols: list[str] | None = None,
     Computed from the same single aggregate as the cleaning itself, so the
     raw side and the clean side cost one shuffle together.
     """
-    order_cols = [c for c in (order_cols or []) if c in raw.columns]
+    order_cols = _order(raw, order_cols)
     data_cols = [c for c in raw.columns if c not in order_cols]
     prepared = _prepared(raw, order_cols, id_col, charges_col, label_col)
     dedup = _deduplicated(prepared, data_cols, order_cols, id_col)
@@ -125,6 +133,9 @@ def cleaning_report(raw: DataFrame, order_cols: list[str] | None = None,
         F.count_if(kept[label_col] == "No").alias("churn_no"),
         F.lit(len(data_cols)).alias("n_columns"),
         F.coalesce(F.sum(null_cells), F.lit(0)).cast("bigint").alias("null_cells_after"),
+        F.concat_ws(",", *[F.when(F.count_if(kept[c].isNull()) > 0,
+                                  F.concat(F.lit(f"{c}="), F.count_if(kept[c].isNull()).cast("string")))
+                           for c in data_cols]).alias("nulls_by_column"),
     )
 
 
@@ -133,14 +144,8 @@ def check_required_columns(df: DataFrame, required=None) -> None:
     required = required or S.CUSTOMER_COLUMNS
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Schema validation failed. Missing columns: {missing}")
+        raise ValueError(f"the table lacks {len(missing)} required columns: {', '.join(missing)}")
 
 
 def label_distribution(clean: DataFrame, label_col: str = S.TARGET_COL) -> DataFrame:
     return clean.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-
-
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Counts per value, nulls excluded."""
-    return (df.where(F.col(column).isNotNull())
-            .groupBy(column).agg(F.count(F.lit(1)).alias("n")))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import ensure_checkpoint_dir
 from ..functions import expressions as E
 from . import prefix
 
@@ -339,6 +340,9 @@ def windowed_drift(df: DataFrame, ts_col: str, numeric: str, categorical: str,
     per_window = ev.groupBy("window_start").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
     counts = (ev.where(F.col("cat").isNotNull()).groupBy("window_start", "cat")
               .agg(F.count(F.lit(1)).alias("n")))
+    # a row per window (and category): read by several branches below
+    ensure_checkpoint_dir(df.sparkSession)
+    per_window, counts = per_window.checkpoint(), counts.checkpoint()
     return score_windows(per_window, counts, numeric, categorical, threshold)
 
 

@@ -47,7 +47,8 @@ def _listing(arr: str, n: str) -> Column:
 
 
 # Distinct values printed per list (every distinct value is
-# counted), and hash slices a column's values are ranked in first.
+# counted here, and listed without a limit by ``rules.listed_values``), and hash
+# slices a column's values are ranked in first.
 LIST_VALUES = 1000
 LIST_SLICES = 64
 
@@ -626,5 +627,5 @@ def gate(report: DataFrame, fail_on_error: bool = True) -> int:
     raise when asked to. Reads one number, never the data."""
     failed = report.where(~F.col("success")).count()
     if failed and fail_on_error:
-        raise ValidationFailed(f"Data validation failed: {failed} expectation(s) did not pass.")
+        raise ValidationFailed(f"{failed} rules of the suite are broken")
     return failed

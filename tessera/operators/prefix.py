@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+_BUCKET_ROWS = 1_000_000    # rows of narrow keys a task ranks
+
+
 def _buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """Buckets for the counted rows, at least one per shuffle partition."""
     if n_buckets:
         return n_buckets
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, -(-df.count() // _BUCKET_ROWS))
 
 
 def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] = (),
@@ -43,7 +47,7 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
     # the range bounds are sampled in one job and the rows written in
     # another: keep the narrow projection so the input is computed once
     narrow = df.select(*keys, *value_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (narrow.repartitionByRange(_buckets(df, n_buckets), *keys)
+    ranged = (narrow.repartitionByRange(_buckets(narrow, n_buckets), *keys)
               .withColumn("_bucket", F.spark_partition_id())
               .checkpoint(eager=True))
     narrow.unpersist()
@@ -57,7 +61,8 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
         *[F.coalesce(F.sum(f"__tot_{v}").over(before), F.lit(0)).alias(f"__offv_{v}") for v in value_cols])
     inside = Window.partitionBy(*grp).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return (ranged.join(offsets, grp)
+    # one row per bucket and group
+    return (ranged.join(F.broadcast(offsets), grp)
             .select(*keys, *value_cols,
                     (F.col("__off_rows") + F.row_number().over(Window.partitionBy(*grp).orderBy(*order_cols))).alias("_rank"),
                     *[(F.col(f"__offv_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in value_cols]))
@@ -138,8 +143,9 @@ def nth_key(df: DataFrame, order_col: str, n: int, n_buckets: int | None = None,
 
 
 def first_n(df: DataFrame, order_col: str, n: int, total: int | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest ``order_col`` (a unique key), as a
-    filter on the original frame: no shuffle of full rows."""
+    """The ``n`` rows with the smallest ``order_col`` (a unique key; rows tied
+    with the n-th all stay), as a filter on the original frame: no shuffle of
+    full rows."""
     total = df.count() if total is None else total
     if n >= total:
         return df

@@ -33,7 +33,7 @@ def medians(df: DataFrame, cols=None) -> DataFrame:
     counts = (_unpivot(df, cols, "double").where(F.col("value").isNotNull() & ~F.isnan("value"))
               .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     cum = prefix.running_totals(counts, ["value"], ["n"], partition_cols=["feature"])
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
+    totals = cum.groupBy("feature").agg(F.sum("n").alias("total"))
     lo_pos = F.floor((F.col("total") + 1) / 2)
     hi_pos = F.ceil((F.col("total") + 1) / 2)
     # one row per feature (bounded by the column list): broadcast, so the

@@ -59,6 +59,17 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("is_valid"), checked.where("not is_valid")
 
 
+def listed_values(df: DataFrame, rules) -> DataFrame:
+    """(column, value, expected, n) for every non-null value of the columns of
+    in-set rules: the whole of what a report prints the first values of."""
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                 F.col(c).cast("string").isin([str(v) for v in vals]).alias("expected"))
+        for c, vals in rules])
+    return (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+            .groupBy("column", "value", "expected").agg(F.count(F.lit(1)).alias("n")))
+
+
 def unexpected_values(df: DataFrame, rules) -> DataFrame:
     """(column, value, n) for every value outside the allowed set of its
     column. All columns are unpivoted into one stream and filtered before

@@ -69,8 +69,12 @@ select cast((select count(*) from prep) as bigint) as rows_before,
        cast((select count_if(charges_missing) from prep) as bigint) as missing_total_charges_imputed,
        cast((select count_if(Churn = 'Yes') from clean) as bigint) as churn_yes,
        cast((select count_if(Churn = 'No') from clean) as bigint) as churn_no,
-       21 as n_columns,
-       cast(0 as bigint) as null_cells_after
+       (select count(*) from (describe clean))::int as n_columns,
+       cast((select """ + " + ".join(f"count_if({c} is null)" for c in S.CUSTOMER_COLUMNS) + """ from clean) as bigint)
+         as null_cells_after,
+       (select concat_ws(',', """ + ", ".join(
+           f"case when count_if({c} is null) > 0 then '{c}=' || count_if({c} is null) end" for c in S.CUSTOMER_COLUMNS) + """)
+        from clean) as nulls_by_column
 """)
 def cleaning_report(spark, sf):
     return C.cleaning_report(TB.customers_dirty(spark, sf), order_cols=["load_order"])
@@ -136,7 +140,8 @@ def table_shape(spark, sf):
 
 
 @register("preview_head", oracle=O.with_ctes(O.clean_ctes(True)) +
-          "select * from clean order by customerID limit 3")
+          "select clean.* from clean join firsts using (customerID) where rn = 1 order by load_order limit 3")
 def preview_head(spark, sf):
-    """First three cleaned rows in id order (the limit is the feature)."""
-    return clean_dirty(spark, sf).orderBy("customerID").limit(3)
+    """First three cleaned rows in file order (the limit is the feature)."""
+    clean = C.clean_customers(TB.customers_dirty(spark, sf), order_cols=["load_order"], keep_order=True)
+    return clean.orderBy("load_order").limit(3).drop("load_order")

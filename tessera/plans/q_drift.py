@@ -23,17 +23,20 @@ def reference_slice_of(clean):
 
 
 def shifted(df):
-    """Current batch with a deliberate shift (charges +80, tenure +60, every
-    contract two-year) — the drifting case of the monitor tests."""
-    return df.withColumns({"MonthlyCharges": F.col("MonthlyCharges") + 80.0,
-                           "tenure": F.col("tenure") + 60,
-                           "Contract": F.lit("Two year")})
+    """Current batch with a deliberate shift: dearer, longer and all on one
+    contract, so that several features drift."""
+    return df.withColumns({"MonthlyCharges": F.col("MonthlyCharges") + 95.0,
+                           "tenure": F.col("tenure") + 48,
+                           "Contract": F.lit("One year")})
 
 
-def _sides(spark, sf, shift=False):
+def _sides(spark, sf, shift=False, columns=None):
     # the cleaned table feeds a count, the rank cut and both drift sides:
-    # materialise it once in the shared checkpoint folder (lineage cut)
-    clean = clean_base(spark, sf).checkpoint(eager=True)
+    # materialise the columns needed once in the shared checkpoint folder
+    clean = clean_base(spark, sf)
+    if columns:
+        clean = clean.select(S.ID_COL, *columns)
+    clean = clean.checkpoint(eager=True)
     ref = reference_slice_of(clean)
     return ref, (shifted(clean) if shift else clean)
 
@@ -42,8 +45,8 @@ _SLICE_CTES = (O.clean_ctes(False) + """,
 ref as (select * from clean qualify row_number() over (order by customerID)
         <= greatest(1000, (select count(*) from clean) // 5)),
 cur0 as (select * from clean),
-cur_shift as (select * replace (MonthlyCharges + 80.0 as MonthlyCharges, tenure + 60 as tenure,
-                                'Two year' as Contract) from clean)""")
+cur_shift as (select * replace (MonthlyCharges + 95.0 as MonthlyCharges, tenure + 48 as tenure,
+                                'One year' as Contract) from clean)""")
 
 
 def _num_sql(cur: str) -> str:
@@ -106,13 +109,13 @@ _CAT_COLS = ["feature", "total_variation_distance", "drift_score", "drifted"]
 
 @register("drift_numeric", oracle=_drift_sql("cur0", "num"))
 def drift_numeric(spark, sf):
-    ref, cur = _sides(spark, sf)
+    ref, cur = _sides(spark, sf, columns=S.DRIFT_NUMERICAL)
     return D.numeric_drift(ref, cur).select(*_NUM_COLS)
 
 
 @register("drift_categorical", oracle=_drift_sql("cur0", "cat"))
 def drift_categorical(spark, sf):
-    ref, cur = _sides(spark, sf)
+    ref, cur = _sides(spark, sf, columns=S.DRIFT_CATEGORICAL)
     return D.categorical_drift(ref, cur).select(*_CAT_COLS)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..operators import models as MD
 from ..operators import preprocess as PP
 from ..operators import split as SP
 from . import oracle as O
@@ -17,10 +19,13 @@ def labelled(spark, sf):
     return features_base(spark, sf).withColumn("label", E.encode_label(S.TARGET_COL))
 
 
-def with_split(spark, sf):
+def with_split(spark, sf, columns=None):
     # read several times (class counts, boundary rows, the split itself):
-    # materialise once in the shared checkpoint folder
-    df = labelled(spark, sf).checkpoint(eager=True)
+    # materialise the columns needed once in the shared checkpoint folder
+    df = labelled(spark, sf)
+    if columns is not None:
+        df = df.select(S.ID_COL, "label", *columns)
+    df = df.checkpoint(eager=True)
     return df.withColumn("split", SP.split_column(df))
 
 
@@ -42,7 +47,7 @@ _NUM = PP.NUM_FEATURES
 
 @register("stratified_split", oracle="with " + _SPLIT_CTES + "\nselect customerID, label, split from splitted")
 def stratified_split(spark, sf):
-    return with_split(spark, sf).select("customerID", "label", "split")
+    return with_split(spark, sf, []).select("customerID", "label", "split")
 
 
 def _impute_sql() -> str:
@@ -83,7 +88,7 @@ def _scaled_sql() -> str:
 def scaled_numeric(spark, sf):
     """Median-imputed, standard-scaled numeric features (train statistics,
     population deviation) for every row."""
-    df = with_split(spark, sf)
+    df = with_split(spark, sf, _NUM)
     train = df.where(F.col("split") == "train")
     med = {r["feature"]: r["median"] for r in PP.medians(train).collect()}
     stats = PP.moments(train, _NUM, med)
@@ -116,17 +121,44 @@ def _long_sql() -> str:
 def one_hot_long(spark, sf):
     """Active one-hot slot per customer and categorical feature (vocabulary
     fitted on train, applied to all rows; unknown levels → no slot)."""
-    df = with_split(spark, sf)
+    df = with_split(spark, sf, S.CATEGORICAL_FEATURES)
     vocab = PP.vocabulary(df.where(F.col("split") == "train"))
     return PP.one_hot_long(df, vocab)
 
 
+def _vector_sql() -> str:
+    numbers = " union all ".join(f"select customerID, 'numerical__{c}' as name, numerical__{c} as value from scaled"
+                                 for c in _NUM)
+    filled = " union all ".join(
+        f"select customerID, '{c}' as feature, coalesce(cast({c} as varchar), (select v from (select {c} as v, count(*) as n "
+        f"from train where {c} is not null group by {c}) order by n desc, v limit 1)) as value from splitted"
+        for c in S.CATEGORICAL_FEATURES)
+    head, _, scaled = _scaled_sql().rpartition("\nselect customerID, split")
+    voc = _vocab_sql().split(",\nlv as (", 1)[1]
+    return (head + ",\nscaled as (select customerID, split" + scaled + "),\nlv as (" + voc
+            + f", al as ({filled})\n{numbers}\nunion all\n"
+            "select al.customerID, voc.name, 1.0 from al join voc on al.feature = voc.feature and al.value = voc.value")
+
+
+@register("feature_vector_long", oracle=_vector_sql())
+def feature_vector_long(spark, sf):
+    """The vector that the models read, for every row, as (name, value): all
+    numeric slots and the one-hot slots that are set."""
+    df = with_split(spark, sf, [*_NUM, *S.CATEGORICAL_FEATURES])
+    prep = MD.fit_preprocessing(df.where(F.col("split") == "train"))
+    names = F.array(*[F.lit(n) for n in MD.feature_names(prep)])
+    slots = F.arrays_zip(names.alias("name"), vector_to_array("features").alias("value"))
+    return (prep.transform(df).select(S.ID_COL, F.inline(slots))
+            .where(F.col("name").startswith("numerical__") | (F.col("value") != 0))
+            .select(S.ID_COL, "name", E.rnd("value", 6).alias("value")))
+
+
 @register("class_weights", oracle="with " + _SPLIT_CTES + """
 select label, cast(count(*) as bigint) as n,
        round((select count(*) from train) / (2.0 * count(*)), 6) as weight
 from train group by label""")
 def class_weights(spark, sf):
-    train = with_split(spark, sf).where(F.col("split") == "train")
+    train = with_split(spark, sf, []).where(F.col("split") == "train")
     return PP.class_weights(train)
 
 

@@ -42,11 +42,9 @@ _SCORERS_SQL = {
 def predictions(spark, sf):
     """Long table (customerID, model, label, score, prediction)."""
     df = labelled(spark, sf)
-    parts = [df.select("customerID", F.lit(m).alias("model"), "label", s.cast("double").alias("score"))
-             for m, s in _scorers().items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    scores = F.array(*[F.struct(F.lit(m).alias("model"), s.cast("double").alias("score"))
+                       for m, s in _scorers().items()])
+    out = df.select("customerID", "label", F.inline(scores)).select("customerID", "model", "label", "score")
     return out.withColumn("prediction", E.decision("score").cast("int"))
 
 

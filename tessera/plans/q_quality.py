@@ -91,6 +91,22 @@ def unexpected_values(spark, sf):
     return R.unexpected_values(clean_dirty(spark, sf), S.IN_SET_RULES)
 
 
+def _listed_sql() -> str:
+    parts = []
+    for c, vals in S.IN_SET_RULES:
+        allowed = ", ".join(f"'{v}'" for v in vals)
+        parts.append(f"select '{c}' as \"column\", cast({c} as varchar) as value, "
+                     f"cast({c} as varchar) in ({allowed}) as expected from clean where {c} is not null")
+    return (O.with_ctes(O.clean_ctes(True)) + "select \"column\", value, expected, count(*) as n from (\n"
+            + "\nunion all\n".join(parts) + "\n) group by all")
+
+
+@register("in_set_values", oracle=_listed_sql())
+def in_set_values(spark, sf):
+    """Every value that the in-set rules saw, expected or not, with its count."""
+    return R.listed_values(clean_dirty(spark, sf), S.IN_SET_RULES)
+
+
 @register("record_rules_quarantine", oracle=O.with_ctes(O.clean_ctes(True)) + R.request_rules_sql("clean"))
 def record_rules_quarantine(spark, sf):
     """Per-record scoring rules: violations listed per row, valid flag."""

@@ -43,7 +43,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         reader = reader.schema(schema)
     if fmt == "csv":
         na = NA_VALUES
-        df = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = (reader.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
+              .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False).csv(path))
         # CSV has one nullValue option; map the other NA words per column.
         return df.select(*[F.when(F.col(c).cast("string").isin(na), F.lit(None)).otherwise(F.col(c)).alias(c)
                            if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)

@@ -82,14 +82,14 @@ orig as (
     case when k % 79 = 0 then 0.0 else MonthlyCharges end as MonthlyCharges,
     TotalCharges,
     case when k % 83 = 0 then (case when Churn = 'Yes' then '1' else '0' end) else Churn end as Churn,
-    1 as load_order
+    k as load_order
   from n),
 dup as (
   select concat(' ', customerID) as customerID, gender, SeniorCitizen, Partner, Dependents,
     tenure, PhoneService, MultipleLines, InternetService, OnlineSecurity, OnlineBackup,
     DeviceProtection, TechSupport, StreamingTV, StreamingMovies, Contract,
     PaperlessBilling, PaymentMethod, MonthlyCharges, ' ' as TotalCharges,
-    'Maybe' as Churn, 2 as load_order
+    'Maybe' as Churn, 1000000000 + k as load_order
   from n where k % 100 = 0)
 select * from orig
 union all
@@ -118,7 +118,7 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw customers with duplicates, padding and bad values, plus
-    ``load_order`` (1 = original file position, 2 = appended copy)."""
+    ``load_order`` (position in the file; appended copies come last)."""
     return spark.sql(
         dirty_view_sql(CUSTOMER_VIEW_SQL, "char(9)"),
         customer=table(spark, sf_dir, "customer"),

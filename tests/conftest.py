@@ -28,13 +28,13 @@ def _row(cid, gender, senior, partner, dep, tenure, phone, lines, internet, sec,
 
 
 SAMPLE_ROWS = [
-    _row("C001", "Male", 0, "Yes", "No", 12, "Yes", "No", "DSL", "Yes", "No", "No", "No", "No", "No",
-         "Month-to-month", "Yes", "Electronic check", 29.85, "357.20", "No"),
-    _row("C002", "Female", 1, "No", "No", 0, "Yes", "Yes", "Fiber optic", "No", "Yes", "Yes", "No", "Yes",
-         "Yes", "One year", "No", "Mailed check", 56.95, " ", "No"),
-    _row("C003", "Male", 0, "Yes", "Yes", 60, "No", "No phone service", "No", "No internet service",
+    _row("K-31", "Female", 1, "No", "Yes", 7, "Yes", "Yes", "Fiber optic", "No", "No", "Yes", "No", "Yes", "No",
+         "One year", "No", "Credit card (automatic)", 81.40, "569.80", "No"),
+    _row("K-08", "Male", 0, "No", "No", 0, "No", "No phone service", "DSL", "Yes", "Yes", "No", "Yes", "No", "No",
+         "Two year", "Yes", "Mailed check", 33.25, " ", "No"),
+    _row("K-77", "Male", 0, "Yes", "No", 41, "Yes", "No", "No", "No internet service", "No internet service",
          "No internet service", "No internet service", "No internet service", "No internet service",
-         "No internet service", "Two year", "Yes", "Bank transfer (automatic)", 53.85, "3227.10", "Yes"),
+         "Month-to-month", "No", "Electronic check", 19.90, "815.90", "Yes"),
 ]
 
 
@@ -49,7 +49,7 @@ def dirty_raw(spark):
     """Sample plus a repeat of the first row appended last; the first row's
     gender padded with spaces and a tab; load order recorded."""
     rows = [list(r) for r in SAMPLE_ROWS] + [list(SAMPLE_ROWS[0])]
-    rows[0][1] = "  Male\t "
+    rows[0][1] = "  Female\t "
     rows[3][20] = "Yes"  # the appended copy differs, so "first" is observable
     data = [tuple(r) + (i,) for i, r in enumerate(rows)]
     schema = T.StructType(S.RAW_CUSTOMER_SCHEMA.fields + [T.StructField("load_order", T.IntegerType())])
@@ -57,17 +57,17 @@ def dirty_raw(spark):
 
 
 VALID_ROWS = [
-    ("C001", "Male", 0, "Yes", "No", 12, "Yes", "No", "DSL", "Yes", "No", "No", "No", "No", "No",
-     "Month-to-month", "Yes", "Electronic check", 29.85, 357.20, "No"),
-    ("C002", "Female", 1, "No", "No", 1, "Yes", "Yes", "Fiber optic", "No", "Yes", "Yes", "No", "Yes", "Yes",
-     "One year", "No", "Mailed check", 56.95, 56.95, "No"),
-    ("C003", "Male", 0, "Yes", "Yes", 60, "No", "No phone service", "No", "No internet service",
+    ("K-31", "Female", 1, "No", "Yes", 7, "Yes", "Yes", "Fiber optic", "No", "No", "Yes", "No", "Yes", "No",
+     "One year", "No", "Credit card (automatic)", 81.40, 569.80, "No"),
+    ("K-08", "Male", 0, "No", "No", 2, "No", "No phone service", "DSL", "Yes", "Yes", "No", "Yes", "No", "No",
+     "Two year", "Yes", "Mailed check", 33.25, 66.50, "No"),
+    ("K-77", "Male", 0, "Yes", "No", 41, "Yes", "No", "No", "No internet service", "No internet service",
      "No internet service", "No internet service", "No internet service", "No internet service",
-     "No internet service", "Two year", "Yes", "Bank transfer (automatic)", 53.85, 3227.10, "Yes"),
-    ("C004", "Female", 0, "No", "Yes", 24, "Yes", "No", "DSL", "Yes", "Yes", "No", "Yes", "No", "No",
-     "Month-to-month", "No", "Credit card (automatic)", 42.30, 1015.20, "No"),
-    ("C005", "Male", 1, "Yes", "No", 5, "Yes", "Yes", "Fiber optic", "No", "No", "Yes", "No", "Yes", "Yes",
-     "One year", "Yes", "Electronic check", 70.00, 350.00, "Yes"),
+     "Month-to-month", "No", "Electronic check", 19.90, 815.90, "Yes"),
+    ("K-12", "Female", 0, "Yes", "Yes", 66, "Yes", "Yes", "DSL", "Yes", "No", "Yes", "Yes", "Yes", "No",
+     "Two year", "Yes", "Bank transfer (automatic)", 74.15, 4893.90, "No"),
+    ("K-90", "Female", 0, "No", "No", 13, "Yes", "No", "Fiber optic", "No", "Yes", "No", "No", "No", "Yes",
+     "Month-to-month", "Yes", "Electronic check", 88.60, 1151.80, "Yes"),
 ]
 
 
@@ -79,8 +79,8 @@ def valid_clean(spark):
 @pytest.fixture
 def invalid_clean(spark):
     rows = [list(r) for r in VALID_ROWS]
-    rows[0][20] = "Maybe"
-    rows[1][5] = -5
-    rows[2][19] = None
-    rows[3][15] = "Unknown"
+    rows[4][20] = "Perhaps"
+    rows[0][5] = -3
+    rows[1][19] = None
+    rows[2][15] = "Weekly"
     return spark.createDataFrame([tuple(r) for r in rows], S.CLEAN_CUSTOMER_SCHEMA)

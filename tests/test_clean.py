@@ -13,8 +13,8 @@ def _by_id(df):
 
 def test_missing_total_charges_imputed_with_tenure_times_monthly(sample_raw):
     clean = _by_id(C.clean_customers(sample_raw))
-    assert clean["C002"]["TotalCharges"] == 0.0  # tenure 0 × 56.95
-    assert clean["C001"]["TotalCharges"] == pytest.approx(357.20)
+    assert clean["K-08"]["TotalCharges"] == 0.0  # tenure 0 × 33.25
+    assert clean["K-31"]["TotalCharges"] == pytest.approx(569.80)
     rep = C.cleaning_report(sample_raw).first()
     assert rep["missing_total_charges_before"] == 1
     assert rep["missing_total_charges_imputed"] == 1
@@ -25,8 +25,8 @@ def test_duplicate_removed_first_row_kept_and_stripped(dirty_raw):
     clean = C.clean_customers(dirty_raw, order_cols=["load_order"])
     rows = _by_id(clean)
     assert len(rows) == 3
-    assert rows["C001"]["gender"] == "Male"          # spaces and tab stripped
-    assert rows["C001"]["Churn"] == "No"             # first copy kept, not the appended one
+    assert rows["K-31"]["gender"] == "Female"          # spaces and tab stripped
+    assert rows["K-31"]["Churn"] == "No"             # first copy kept, not the appended one
     rep = C.cleaning_report(dirty_raw, order_cols=["load_order"]).first()
     assert rep["duplicates_removed"] == 1
     assert rep["rows_before"] == 4 and rep["rows_after"] == 3

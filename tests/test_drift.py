@@ -34,7 +34,7 @@ def test_similar_data_does_not_drift(spark, reference):
 
 
 def test_heavy_drift_is_found(spark, reference):
-    cur = _customers(spark, 500, 7, shift=80.0, contract="Two year")
+    cur = _customers(spark, 500, 7, shift=95.0, contract="One year")
     rep = D.drift_report(reference, cur).first()
     assert rep["drift_detected"]
     assert rep["drifted_features"].split(",")[:2] == ["tenure", "MonthlyCharges"]

@@ -20,7 +20,7 @@ def test_valid_table_passes_everything_but_min_rows(valid_clean):
 def test_invalid_table_fails_the_right_rules(invalid_clean):
     rows, _ = _report(invalid_clean, X.customer_suite(min_rows=5))
     assert not rows[("expect_column_values_to_be_in_set", "Churn")]["success"]
-    assert rows[("expect_column_values_to_be_in_set", "Churn")]["details"] == "Unexpected values: ['Maybe']"
+    assert rows[("expect_column_values_to_be_in_set", "Churn")]["details"] == "Unexpected values: ['Perhaps']"
     assert not rows[("expect_column_values_to_be_between", "tenure")]["success"]
     assert rows[("expect_column_values_to_be_between", "tenure")]["details"] == "1 values outside [0, None]"
     assert not rows[("expect_column_values_to_not_be_null", "TotalCharges")]["success"]
@@ -31,8 +31,8 @@ def test_invalid_table_fails_the_right_rules(invalid_clean):
 def test_observed_values_text(valid_clean):
     rows, _ = _report(valid_clean)
     assert rows[("expect_column_values_to_be_in_set", "gender")]["observed_value"] == "['Female', 'Male']"
-    assert rows[("expect_column_values_to_be_between", "MonthlyCharges")]["observed_value"] == "min=29.85, max=70.00"
-    assert rows[("expect_column_mean_to_be_between", "tenure")]["observed_value"] == "20.4000"
+    assert rows[("expect_column_values_to_be_between", "MonthlyCharges")]["observed_value"] == "min=19.90, max=88.60"
+    assert rows[("expect_column_mean_to_be_between", "tenure")]["observed_value"] == "25.8000"
     assert rows[("expect_column_values_to_be_of_type", "tenure")]["observed_value"] == "int"
 
 

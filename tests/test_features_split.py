@@ -9,21 +9,21 @@ from tessera.operators import split as SP
 from tessera.plans.q_clean import features_base
 from tests.conftest import SF_MEDIUM
 
-VALID_CUSTOMER = dict(gender="Male", SeniorCitizen=0, Partner="Yes", Dependents="No", tenure=12,
-                      PhoneService="Yes", MultipleLines="No", InternetService="DSL", OnlineSecurity="No",
-                      OnlineBackup="Yes", DeviceProtection="No", TechSupport="No", StreamingTV="No",
-                      StreamingMovies="No", Contract="Month-to-month", PaperlessBilling="Yes",
-                      PaymentMethod="Electronic check", MonthlyCharges=29.85, TotalCharges=357.20)
+VALID_CUSTOMER = dict(gender="Female", SeniorCitizen=1, Partner="No", Dependents="Yes", tenure=7,
+                      PhoneService="Yes", MultipleLines="Yes", InternetService="Fiber optic", OnlineSecurity="No",
+                      OnlineBackup="No", DeviceProtection="Yes", TechSupport="No", StreamingTV="No",
+                      StreamingMovies="No", Contract="One year", PaperlessBilling="No",
+                      PaymentMethod="Credit card (automatic)", MonthlyCharges=81.40, TotalCharges=569.80)
 
 
-def test_engineered_features_of_the_reference_customer(spark):
+def test_engineered_features_of_one_customer(spark):
     df = spark.createDataFrame([tuple(VALID_CUSTOMER.values())], S.REQUEST_SCHEMA)
     r = FE.engineer_features(df).first()
-    assert r["tenure_months_squared"] == 144.0
-    assert r["avg_monthly_spend"] == pytest.approx(357.20 / 13)
+    assert r["tenure_months_squared"] == 49.0
+    assert r["avg_monthly_spend"] == pytest.approx(569.80 / 8)
     assert r["has_any_addon"] == 1
-    assert r["services_count"] == 3
-    assert r["is_long_term_contract"] == 0
+    assert r["services_count"] == 4
+    assert r["is_long_term_contract"] == 1
 
 
 def test_feature_nulls_behave_like_pandas_isin(spark):

@@ -106,3 +106,19 @@ def test_preprocessing_names_width_and_unknown_levels(spark, tmp_path):
     MD.save(model, str(tmp_path / "m"))
     again = MD.load(str(tmp_path / "m")).transform(odd).collect()
     assert [r["features"] for r in again] == [r["features"] for r in model.transform(odd).collect()]
+
+
+def test_clean_keeps_file_order_and_asks_for_it(spark, dirty_raw):
+    from tessera.operators import clean as C
+    kept = C.clean_customers(dirty_raw, order_cols=["load_order"], keep_order=True)
+    assert [r["customerID"] for r in kept.orderBy("load_order").collect()] == ["K-31", "K-08", "K-77"]
+    with pytest.raises(ValueError, match="no order column"):
+        C.clean_customers(dirty_raw.drop("load_order"), order_cols=["load_order"])
+
+
+def test_every_listed_value_is_counted(spark):
+    df = spark.range(5000).selectExpr("cast(id as string) as c").unionByName(
+        spark.createDataFrame([("1",), (None,)], "c string"))
+    got = RU.listed_values(df, [("c", ["1", "2"])])
+    assert got.count() == 5000
+    assert {(r["value"], r["n"]) for r in got.where("expected").collect()} == {("1", 2), ("2", 1)}

@@ -60,11 +60,11 @@ def test_risk_band_edges(spark, score, band, decision):
 
 
 def test_record_rules_quarantine(spark):
-    good = (("Male", 0, "Yes", "No", 12, "Yes", "No", "DSL", "No", "Yes", "No", "No", "No", "No",
-             "Month-to-month", "Yes", "Electronic check", 29.85, 357.20))
+    good = (("Female", 1, "No", "Yes", 7, "Yes", "Yes", "Fiber optic", "No", "No", "Yes", "No", "Yes", "No",
+             "One year", "No", "Credit card (automatic)", 81.40, 569.80))
     bad = [list(good) for _ in range(4)]
-    bad[0][0] = "Unknown"
-    bad[1][14] = "Quarterly"
+    bad[0][0] = "other"
+    bad[1][14] = "Weekly"
     bad[2][4] = -1
     bad[3][17] = None
     df = spark.createDataFrame([good] + [tuple(b) for b in bad], S.REQUEST_SCHEMA).withColumn(
