@@ -144,7 +144,7 @@ def _entries(rows: DataFrame, k: int, n: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
-           list_rows: int = 512, replicas: int = 4, boundary: float = 0.1, reach: float = 0.2, beam: int = 8,
+           list_rows: int = 512, replicas: int = 4, boundary: float = 0.1, reach: float = 0.15, beam: int = 8,
            sample_rows: int = 32_768, max_lists: int = 4_096, cell_rows: int = 1 << 14,
            chunk_rows: int = 1_024) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row that ``is_query`` holds
