@@ -5,10 +5,12 @@ those that SQL can express; the others are tested against brute force."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import ann, bitslice, bpe, layout_text, mixing, pii, reshard, secrets, simhash, toxicity
 from .common import table
 from .span_sql import PII, SECRETS
@@ -49,7 +51,8 @@ SHARDS = 8
 
 def op6_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.xxhash64("source"), F.lit(SHARDS))
-    return reshard.plan(table(spark, sf_dir, "documents"), old, SHARDS, SHARDS).select(
+    out = scratch_path(spark, f"reshard-{uuid.uuid4().hex}")
+    return reshard.resharded(table(spark, sf_dir, "documents"), old, SHARDS, SHARDS, out).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

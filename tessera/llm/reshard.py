@@ -20,7 +20,7 @@ Defined cases: a null text has size 1 (no bytes plus one) and a null checksum.
 Rows with null or repeated doc_ids are placed like any, in order of checksum and
 size; which of two equal rows gets which slot makes no difference. An empty
 table gives an empty result. Extra columns are ignored by ``plan`` and kept by
-``rewrite``.
+``rewrite``, which refuses a table with a ``shard`` or ``slot`` of its own.
 """
 
 from __future__ import annotations
@@ -86,10 +86,17 @@ def even_room(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
-    return docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+def _size() -> Column:
+    return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+
+
+def _checksum() -> Column:
+    return F.crc32(F.col("text").cast("binary"))
+
+
+def sized(docs: DataFrame, old_shard: Column, *more: str) -> DataFrame:
+    return docs.select("doc_id", _size().alias("size"), _checksum().alias("text_crc32"),
+                       old_shard.cast("int").alias("old_shard"), *more)
 
 
 def _place(rows: DataFrame, n_old: int, shards: int, blocks: int, room: list[int] | None,
@@ -152,12 +159,47 @@ def moved_bytes(planned: DataFrame) -> DataFrame:
 
 def rewrite(docs: DataFrame, planned: DataFrame, n_old: int, shards: int, out: str) -> list[int]:
     """Write the files of the shards that change: those that lose or gain rows.
-    ``docs`` must have unique doc_ids. Returns the shards written, each in its own
-    folder ``shard=<n>`` of ``out``; the other shards' files stay as they are."""
+    Returns the shards written, each in its own folder ``shard=<n>`` of ``out``,
+    with the columns of ``docs`` and ``slot``; the other shards' files stay as
+    they are. ``planned`` (settled) is the plan of ``docs``. Its entries and the
+    rows meet by doc_id, size and checksum, the n-th of equal entries with the n-th
+    of equal rows, so null and repeated doc_ids arrive once for each row. A shard
+    has a file from each task, sorted by ``slot``, which numbers its rows across them."""
+    if taken := {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns of its own named {sorted(taken)}")
     moves = moved_bytes(planned).where("old_shard <> shard").select("old_shard", "shard").collect()  # n_old * shards
     changed = sorted({r.shard for r in moves} | {r.old_shard for r in moves if r.old_shard < shards})
-    to = planned.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    (docs.join(to, F.col("doc_id") == F.col("__id")).drop("__id")
-     .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
+    if not changed:
+        return changed
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    wide = docs.select(
+        F.col("doc_id").alias("__id"), _size().alias("__size"), _checksum().alias("__crc"),
+        F.lit(1).alias("__side"), F.xxhash64(*columns).alias("__order"),
+        F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"),
+        F.struct(*columns).alias("__row"))
+    narrow = planned.select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"),
+        F.lit(0).alias("__side"),
+        (F.col("shard").cast("long") * (1 << 40) + F.col("slot")).alias("__order"), "shard", "slot",
+        F.lit(None).cast(wide.schema["__row"].dataType).alias("__row"))
+    equal = ["__id", "__size", "__crc"]
+    nth = F.row_number().over(Window.partitionBy(*equal, "__side").orderBy("__order"))
+    # one exchange of texts for both windows and the write: an entry stands right before its row
+    met = Window.partitionBy(*equal).orderBy("__nth", "__side")
+    both = narrow.unionByName(wide).repartition(*equal).withColumn("__nth", nth)
+    (both.select("__side", "__row", F.lag("shard").over(met).alias("shard"), F.lag("slot").over(met).alias("slot"))
+     .where((F.col("__side") == 1) & F.col("shard").isin(changed)).select("__row.*", "shard", "slot")
+     .sortWithinPartitions("shard", "slot")
      .write.mode("overwrite").partitionBy("shard").parquet(out))
     return changed
+
+
+def resharded(docs: DataFrame, old_shard: Column, n_old: int, shards: int, out: str, **options) -> DataFrame:
+    """Plan, rewrite into ``out``, and read back: the columns of ``plan``, from the
+    texts in the rewritten shards and, for shards whose files stay, from the plan."""
+    planned = settled(plan(docs, old_shard, n_old, shards, **options))
+    changed = rewrite(docs, planned, n_old, shards, out)
+    if not changed:
+        return planned
+    kept = planned.where(~F.col("shard").isin(changed))
+    return sized(docs.sparkSession.read.parquet(out), old_shard, "shard", "slot").unionByName(kept)
