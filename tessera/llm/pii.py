@@ -3,7 +3,7 @@ words nearby adjust their score. Built-in functions only.
 
 Kinds, in the order they are listed: ``email``, ``ip``, ``card`` (Luhn) and
 ``phone`` are the base kinds, whose passing matches are always spans. Two more
-kinds add spans: ``iban`` (mod-97 must hold) and ``ssn`` (ddd-dd-dddd), both only
+kinds add spans: ``iban`` (its country's length, mod-97 must hold) and ``ssn`` (ddd-dd-dddd), both only
 when their score reaches ``threshold``. A score starts at the kind's own value
 and rises by ``near`` when one of the kind's context words stands within
 ``window`` characters before or after the span, on either side.
@@ -25,7 +25,17 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Length of an account number -> the countries that use it: the IBAN registry, then those that use one unregistered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+_KNOWN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+#: Group 1 is the number: as long as its country's are, or up to the last word's end for other codes.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_KNOWN}|{_OTHER})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -110,7 +120,7 @@ def with_spans(docs: DataFrame, base: str, all_spans: str, window: int = 40, nea
                threshold: float = 0.5) -> DataFrame:
     """``docs`` with two columns: the base spans, and all spans with scores."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    more = F.concat(find(text, IBAN, "iban", 4, _iban), find(text, SSN, "ssn", 5, lambda m: F.lit(True)))
+    more = F.concat(find(text, IBAN, "iban", 4, _iban, ahead=True), find(text, SSN, "ssn", 5, lambda m: F.lit(True)))
     return (docs.withColumn(base, base_spans(text)).withColumn("__more", more)
             .withColumn(all_spans, F.concat(
                 scored(text, F.col(base), window, near),

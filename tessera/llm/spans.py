@@ -21,20 +21,27 @@ SPAN = "struct<start:int,place:int,end:int,kind:string,value:string>"
 
 
 def find(text: Column, pattern: str, kind: str, place: int, passes: Callable[[Column], Column],
-         value: Callable[[Column], Column] = lambda m: m) -> Column:
+         value: Callable[[Column], Column] = lambda m: m, ahead: bool = False) -> Column:
     """Array of ``SPAN`` of the matches that ``passes`` holds for; ``place``
-    orders kinds that start at the same offset."""
+    orders kinds that start at the same offset. With ``ahead`` the span is the
+    pattern's group 1, caught by a look-ahead from the match's start, so that
+    a span that doesn't pass hides none that starts inside it."""
     none = F.array().cast(f"array<{SPAN}>")
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(gaps, hits, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    if ahead:
+        steps = F.zip_with(steps, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x, s: F.struct(
+            x["gap"].alias("gap"), x["m"].alias("m"), s.alias("s")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["gap"]
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))  # the last gap has no match behind it
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"),
-                        F.lit(kind).alias("kind"), value(x["m"]).alias("value")).cast(SPAN)
-        good = x["m"].isNotNull() & passes(x["m"])
+        m = x["s"] if ahead else x["m"]
+        stop = start + F.length(m) if ahead else end
+        span = F.struct(start.alias("start"), F.lit(place).alias("place"), stop.alias("end"),
+                        F.lit(kind).alias("kind"), value(m).alias("value")).cast(SPAN)
+        good = m.isNotNull() & passes(m)
         return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
                         .alias("out"))
 

@@ -43,6 +43,21 @@ def test_pii_checksums_context_and_added_spans(spark):
     assert got[2] == ("ssn:4:15", "0.5") and got[4] == ("card:5:21", "0.9")
 
 
+def test_iban_ends_where_its_country_says(spark):
+    own, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    uk, norway = "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    texts = {f"{own} Please": [(0, 22)], f"{spaced} BIC COBADEFF": [(0, 27)], f"{uk} 1000 EUR": [(0, 27)],
+             f"{own} 1234": [(0, 22)], f"{norway} AND {uk}": [(0, 18), (23, 50)], f"AB12 {spaced} X": [(5, 32)],
+             f"ES12 {spaced}.": [(5, 32)], f"{own}0": [], f"x{own}": [], f"{own[:-1]}1 BIC": [],
+             f"{spaced} {uk} {own}": [(0, 27), (28, 55), (56, 78)]}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.found if s["kind"] == "iban"]
+           for r in pii.find_pii(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "<iban> Please" and clean[1] == "<iban> BIC COBADEFF" and clean[2] == "<iban> 1000 EUR"
+
+
 def test_pii_redaction_keeps_columns_and_clean_rows(odd, none):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes
