@@ -7,8 +7,10 @@ emits all visible text: blocks start new lines, paragraphs, headings, lists and
 tables stand between blank lines, list items get a bullet or number and are
 indented by depth, ``pre`` keeps its spacing, table cells are padded so that
 columns line up. Head, scripts, styles, templates, comments, ``hidden`` elements
-and those styled ``display:none`` or ``visibility:hidden`` stay out, as does the
-body of a closed ``details``.
+and those styled ``display:none`` or ``visibility:hidden`` stay out, as do the
+body of a closed ``details`` and ``noscript`` (as where scripts run). Of ``svg``
+its text elements are read, of ``math`` all but annotations, of inputs that are
+buttons the label.
 
 Both steps use stacks of their own, so nesting of any depth is fine.
 
@@ -29,18 +31,27 @@ from pyspark.sql import functions as F
 
 from .common import modest_batches
 
+#: Quotes delimit a value only right after its "="; elsewhere they are characters like others.
+_VALUE = r"(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))"
+_ATTRIBUTE = rf"([^\s/>][^\s/>=]*)(?:\s*+=\s*+{_VALUE}?)?"
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z)|</[^>]*(?:>|\Z)",
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[\s/]++|"
+    + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE) + r")*+)(?P<close>>|\Z)|</[^>]*(?:>|\Z)",
     re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+ATTRIBUTE = re.compile(_ATTRIBUTE)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 UNSEEN = frozenset("head script style template iframe noembed noframes noscript title datalist object "
-                   "audio video canvas svg math area base col colgroup link meta param source track".split())
+                   "audio video canvas annotation annotation-xml area base col colgroup "
+                   "link meta param source track".split())
+#: Parts of an svg that aren't drawn where they stand, and those that show text.
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+SVG_TEXT = frozenset({"text", "foreignobject"})
+BUTTONS = frozenset({"submit", "reset", "button"})
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
                   "option p pre search section summary table ul caption tr td th thead tbody tfoot".split())
@@ -79,8 +90,8 @@ class Node:
 
 def _attributes(rest: str) -> dict[str, str]:
     out: dict[str, str] = {}
-    for name, value in ATTRIBUTE.findall(rest):
-        out.setdefault(name.lower(), unescape(value.strip("\"'")) if value else "")
+    for name, *values in ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), unescape("".join(values)))
     return out
 
 
@@ -134,12 +145,14 @@ def parse(html: str) -> Node:
                 pop_to(i)
         node = Node(tag, _attributes(m["rest"]) if m["rest"].strip(" /\n\t") else {})
         stack[-1].children.append(node)
-        if tag in RAW:
+        ended = m["rest"].endswith("/") and (
+            tag in ("svg", "math") or bool(open_tags.get("svg") or open_tags.get("math")))
+        if tag in RAW and not ended:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             body = html[at:end.start()]
             node.children.append(unescape(body) if tag in ("title", "textarea") else body)
             at = end.end()
-        elif tag not in VOID and not (m["rest"].endswith("/") and tag in ("svg", "math")):
+        elif tag not in VOID and not ended:
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < n:
@@ -256,6 +269,20 @@ def _table(node: Node, depth: int) -> str:
     return "\n".join(head + lines)
 
 
+def _drawn(svg: Node) -> list:
+    """The elements of an svg that show text, a blank between them."""
+    out, queue = [], list(reversed(svg.children))
+    while queue:
+        x = queue.pop()
+        if isinstance(x, str) or hidden(x) or x.tag in SVG_UNSEEN:
+            continue
+        if x.tag in SVG_TEXT:
+            out += [" ", x]
+        else:
+            queue += reversed(x.children)
+    return [*out, " "] if out else out
+
+
 def render(root: Node, depth: int = 0) -> str:
     """Visible text of a tree. Tables in more than 20 tables are read as plain blocks."""
     page, pre = _Page(), 0
@@ -306,7 +333,9 @@ def render(root: Node, depth: int = 0) -> str:
                 todo.append((tag, sort))
             elif tag in ("td", "th"):
                 page.text(" ")
-            children = x.children
+            elif tag == "input" and x.attrs.get("type", "").strip().lower() in BUTTONS:
+                page.text(x.attrs.get("value", ""))
+            children = _drawn(x) if tag == "svg" else x.children
             if tag == "details" and "open" not in x.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             todo += reversed(children)

@@ -300,6 +300,22 @@ def test_page_text_cases(spark):
     assert layout_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<a title=Don't>Hello</a> and it's <b>fine</b>", "Hello and it's fine"),
+    ("<p class=\"x\"\">one</p> \"two\"<p>three", 'one\n\n"two"\n\nthree'),
+    ("<a href=x=\"y>a</a> \"b\"", 'a "b"'), ("<p 'x>a</p>it's", "a\n\nit's"),
+    ("<a title = 'x>y' href=/p/>l</a>", "l"), ("<i title=>a</i>b", "ab"), ("a<b title=\"x>y", "a"),
+    ("<p class=\"x\"hidden>no</p><p title=it's hidden>no</p>z", "z"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds", "x=1 holds"),
+    ("a<svg><title>t</title><defs/><g><rect/><text>North <tspan>Sea</tspan></text></g><text>B</text>"
+     "<defs><text>no</text></defs></svg>c", "a North Sea B c"),
+    ("<input type=submit value='Send it'> <input type=hidden value=h><input value=typed>"
+     "<input type=Button value=OK>", "Send it OK"),
+])
+def test_page_text_of_quotes_math_svg_and_buttons(html, want):
+    assert layout_text.text_of(html) == want
+
+
 def test_page_text_of_the_table(spark):
     """Every visible word of the simple pages is there, in order, no other."""
     import re
