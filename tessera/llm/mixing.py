@@ -7,11 +7,11 @@ table of sources sorted by cap over weight).
 
 Sample: a source whose target is r times its words takes every document
 floor(r) times (certain whole copies); the rest, r - floor(r) = p, is the
-inclusion probability of one more copy, different from source to source (and
-from document to document when ``weight`` gives documents unequal chances within
-their source). Documents are ranked by u/(1-u) over p/(1-p), u being uniform and
-a hash of the doc_id (random odds over inclusion odds), and taken in this order
-until the source's words are reached: the size is fixed, in words. The document
+inclusion probability of one more copy, different from source to source. Documents
+are ranked within their source by u/(1-u) over p/(1-p), u being uniform and a hash
+of the doc_id (random odds over inclusion odds). As p is one constant within a
+source, this is the order of the hash alone: an equal-probability draw. Documents
+are taken in this order until the source's words are reached: the size is fixed, in words. The document
 on the boundary gives only the words that are still missing.
 
 A source may hold any share of all rows: ranks are cut into ``buckets`` equal
