@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bitslice, bpe, layout_text, mixing, pii, reshard, secrets, simhash, toxicity
+from . import (ann, bitslice, bpe, conv_repair, conv_sql, conv_trie, layout_text, mixing, pii, reshard, secrets,
+               simhash, toxicity, url_rules)
 from .common import table
 from .span_sql import PII, SECRETS
 
@@ -77,9 +78,44 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+#: op11: the curated rules, as verdict, host and path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/"))
+
+
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with a label: the verdict of the curated rule that fits; elsewhere bad
+    where the document that the page shows (the number in its path) is labelled toxic or
+    of no quality."""
+    url = F.col("url")
+    verdict = url_rules.curated(url_rules.host(url), url_rules.path(url), URL_RULES)[1]
+    number = F.nullif(F.regexp_extract(url_rules.path(url), r"^/[^/]+/([0-9]+)", 1), F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(
+        "url", verdict.alias("verdict"), number.try_cast("long").alias("doc_id"))
+    marks = (table(spark, sf_dir, "labels").where("doc_id is not null")
+             .groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("marked")))
+    return pages.join(marks, "doc_id", "left").select(
+        "url", F.coalesce(F.col("verdict") == "block", "marked").alias("bad"))
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = url_rules.mine(url_labels(spark, sf_dir))
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES, mined)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conv_repair.report(conversations, conv_repair.damage(conversations))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_balanced_posting_lists, op3_toxicity, op4_html_text, op5_bit_sliced_topk,
-    op6_min_cost_resharding, op7_simhash_near_dedup, op8_secret_ownership, op9_bpe, op10_pii)}
+    op6_min_cost_resharding, op7_simhash_near_dedup, op8_secret_ownership, op9_bpe, op10_pii,
+    op11_url_rules, op12_conversation_trie, op13_conversation_repair)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -140,4 +176,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op8_secret_ownership": SECRETS,
     "op10_pii": PII,
+    "op12_conversation_trie": conv_sql.TRIE,
+    "op13_conversation_repair": conv_sql.REPAIR,
 }
