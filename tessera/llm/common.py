@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, for a helper column."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

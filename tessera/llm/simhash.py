@@ -26,8 +26,8 @@ row. Nothing but counters reaches the driver.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero
 and links like any other; a text of fewer words than a shingle is one shingle of
-all its words. Rows with a null doc_id get a fingerprint, and the component of
-the documents with the same fingerprint; they don't carry links on to others.
+all its words. Rows with a null doc_id link like any other; a component's id is the
+least doc_id in it, null if none of its rows has one.
 Repeated rows are repeated in the result. Extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, settled, small_side
+from .common import arrow_rows, free_name, settled, small_side
 from .components import smallest_reachable
 
 _LANES = np.uint64(0x0101010101010101)
@@ -153,10 +153,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, bi
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
     with arrow_rows(docs.sparkSession, 1_000):  # bounds what a worker holds of long texts
         prints = settled(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = near_links(nodes.where("node is not null"), max_distance, big_bucket)
-    roots = smallest_reachable(links)
-    groups = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # fingerprints link, whoever holds them; a component is named by its least doc_id
+    roots = smallest_reachable(near_links(nodes.select("fp", F.col("fp").alias("node")), max_distance, big_bucket))
+    linked = settled(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    groups = linked.join(named, "root").select("fp", "component_id").unionByName(alone)
     return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -166,14 +169,15 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> Dat
     smallest doc_id; rows without a doc_id, which can't be named, stay. Rows
     that share a doc_id are one document, of which one row stays."""
     found = settled(near_duplicates(docs, shingle, max_distance).where("doc_id is not null"))
+    own = free_name(docs, "id")
     per_id = found.groupBy("doc_id").agg(
         F.max(F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0)).alias("stays"),
         F.count(F.lit(1)).alias("rows"))
-    named = settled(per_id.where("stays = 0 or rows > 1")).withColumnRenamed("doc_id", "__id")
-    gone = small_side(named.where("stays = 0").select("__id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = small_side(named.where("stays = 1").select("__id"))
+    named = settled(per_id.where("stays = 0 or rows > 1")).withColumnRenamed("doc_id", own)
+    gone = small_side(named.where("stays = 0").select(own))
+    left = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
+    repeated = small_side(named.where("stays = 1").select(own))
     if not repeated.count():
         return left
-    once = left.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    once = left.join(repeated, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, F.col("doc_id") == F.col(own), "left_anti").unionByName(once)
