@@ -7,14 +7,15 @@ costs one (or what ``cost`` says). It is solved over the shards, of which there
 are few, by successive cheapest paths; the flow moves the fewest bytes.
 
 Rows then follow the flow in blocks: every old shard is cut into blocks by a
-hash of the doc_id, block sizes summed, and the shard's bytes laid out block by
+hash of doc_id, checksum and size (so that rows without an id spread, too), block sizes summed, and the shard's bytes laid out block by
 block on a line that the flow divides into stretches, one per new shard. A block
 inside a stretch moves whole; where a stretch ends inside a block, the row in
 whose middle it ends decides. So a new shard misses its capacity by half a row
 for each stretch at most. Slots number a shard's rows by old shard, block and
 doc_id, from sums per block. No step needs a shard's rows in one task: ``blocks``
 grows with the rows, and an old shard that holds a third of them has as many
-blocks as any. Texts aren't shuffled for the plan; ``rewrite`` moves them once.
+blocks as any. Texts aren't shuffled for the plan; ``rewrite`` moves those of the shards
+that change, once.
 
 Defined cases: a null text has size 1 (no bytes plus one) and a null checksum.
 Rows with null or repeated doc_ids are placed like any, in order of checksum and
@@ -30,7 +31,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, small_side
+from .common import free_name, settled, small_side
 
 
 def cheapest_flow(supply: list[int], room: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -103,7 +104,7 @@ def _place(rows: DataFrame, n_old: int, shards: int, blocks: int, room: list[int
            cost: list[list[int]] | None) -> DataFrame:
     """``rows``: doc_id, size, text_crc32, old_shard, settled. Adds block and shard."""
     spark = rows.sparkSession
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     sums = settled(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")))
     supply = [0] * n_old
     for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect():  # one row per old shard
@@ -157,38 +158,43 @@ def moved_bytes(planned: DataFrame) -> DataFrame:
     return planned.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def rewrite(docs: DataFrame, planned: DataFrame, n_old: int, shards: int, out: str) -> list[int]:
+def rewrite(docs: DataFrame, planned: DataFrame, n_old: int, shards: int, out: str,
+            old_shard: Column | None = None) -> list[int]:
     """Write the files of the shards that change: those that lose or gain rows.
     Returns the shards written, each in its own folder ``shard=<n>`` of ``out``,
-    with the columns of ``docs`` and ``slot``; the other shards' files stay as
-    they are. ``planned`` (settled) is the plan of ``docs``. Its entries and the
+    with the columns of ``docs``, ``slot`` and the shard each row came from; the other
+    shards' files stay as they are, and with ``old_shard`` (as given to ``plan``) their rows
+    aren't shuffled. ``planned`` (settled) is the plan of ``docs``. Its entries and the
     rows meet by doc_id, size and checksum, the n-th of equal entries with the n-th
     of equal rows, so null and repeated doc_ids arrive once for each row. A shard
     has a file from each task, sorted by ``slot``, which numbers its rows across them."""
-    if taken := {"shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has columns of its own named {sorted(taken)}")
     moves = moved_bytes(planned).where("old_shard <> shard").select("old_shard", "shard").collect()  # n_old * shards
     changed = sorted({r.shard for r in moves} | {r.old_shard for r in moves if r.old_shard < shards})
     if not changed:
         return changed
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if old_shard is not None:  # who leaves or enters a shard changes it: all others stay where they are
+        docs = docs.where(old_shard.isin(changed) | (old_shard >= shards))
+        planned = planned.where(F.col("old_shard").isin(changed) | (F.col("old_shard") >= shards))
+    columns = [F.col(f"`{c}`").alias(free_name(docs, c.lower()) if c.lower() in ("shard", "slot") else c)
+               for c in docs.columns]
     wide = docs.select(
         F.col("doc_id").alias("__id"), _size().alias("__size"), _checksum().alias("__crc"),
         F.lit(1).alias("__side"), F.xxhash64(*columns).alias("__order"),
         F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"),
-        F.struct(*columns).alias("__row"))
+        F.lit(None).cast("int").alias("from"), F.struct(*columns).alias("__row"))
     narrow = planned.select(
         F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"),
         F.lit(0).alias("__side"),
         (F.col("shard").cast("long") * (1 << 40) + F.col("slot")).alias("__order"), "shard", "slot",
-        F.lit(None).cast(wide.schema["__row"].dataType).alias("__row"))
+        F.col("old_shard").alias("from"), F.lit(None).cast(wide.schema["__row"].dataType).alias("__row"))
     equal = ["__id", "__size", "__crc"]
     nth = F.row_number().over(Window.partitionBy(*equal, "__side").orderBy("__order"))
     # one exchange of texts for both windows and the write: an entry stands right before its row
     met = Window.partitionBy(*equal).orderBy("__nth", "__side")
     both = narrow.unionByName(wide).repartition(*equal).withColumn("__nth", nth)
-    (both.select("__side", "__row", F.lag("shard").over(met).alias("shard"), F.lag("slot").over(met).alias("slot"))
-     .where((F.col("__side") == 1) & F.col("shard").isin(changed)).select("__row.*", "shard", "slot")
+    (both.select("__side", "__row", *[F.lag(c).over(met).alias(c) for c in ("shard", "slot", "from")])
+     .where((F.col("__side") == 1) & F.col("shard").isin(changed))
+     .select("__row.*", "shard", "slot", F.col("from").alias(free_name(docs, "from")))
      .sortWithinPartitions("shard", "slot")
      .write.mode("overwrite").partitionBy("shard").parquet(out))
     return changed
@@ -198,8 +204,9 @@ def resharded(docs: DataFrame, old_shard: Column, n_old: int, shards: int, out:
     """Plan, rewrite into ``out``, and read back: the columns of ``plan``, from the
     texts in the rewritten shards and, for shards whose files stay, from the plan."""
     planned = settled(plan(docs, old_shard, n_old, shards, **options))
-    changed = rewrite(docs, planned, n_old, shards, out)
+    changed = rewrite(docs, planned, n_old, shards, out, old_shard)
     if not changed:
         return planned
     kept = planned.where(~F.col("shard").isin(changed))
-    return sized(docs.sparkSession.read.parquet(out), old_shard, "shard", "slot").unionByName(kept)
+    written = docs.sparkSession.read.parquet(out)
+    return sized(written, F.col(free_name(docs, "from")), "shard", "slot").unionByName(kept)
