@@ -21,14 +21,18 @@ blocks' results are merged in groups.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do those whose length isn't the table's usual one
-or rows without an id. A row that repeats both id and vector counts once. Scores
-beyond 62 bits raise an error. An empty table gives an empty result; extra columns
-are ignored.
+or rows without an id. A row that repeats both id and vector counts once. Vectors with
+a component too large for 64-bit sums stand in blocks and chunks of their own, whose
+scores are whole-number products of any length; a score that a long can't hold is its end
+(2^63 - 1, or its negative), and such rows rank as ties. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +45,36 @@ from .vectors import matrix, sound, usual_length
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+MOST = 2 ** 63 - 1
+
+
 def quantised(vectors: np.ndarray, scale: float) -> np.ndarray:
-    scaled = np.floor(scale * vectors.astype(np.float64))
-    if scaled.size and np.abs(scaled).max() >= 2.0 ** 62:
-        raise ValueError("a quantised component has more than 62 bits")
-    return scaled.astype(np.int64)
+    return np.floor(scale * vectors.astype(np.float64)).astype(np.int64)
+
+
+def component_limit(dims: int, scale: float) -> float:
+    """Components below it have products whose sums, and the slices' complements, fit in 62 bits."""
+    return 2.0 ** ((56 - dims.bit_length()) // 2) / scale
+
+
+def whole_numbers(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """``quantised`` for components of any size: Python integers."""
+    by = Fraction(scale)
+    return np.array([[math.floor(Fraction(x) * by) for x in row] for row in vectors.tolist()],
+                    object).reshape(vectors.shape)
+
+
+class LargeBlock:
+    """A block with large components: its scores are computed number by number."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+
+    def best(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        score = np.array([max(-MOST, min(MOST, int(s))) for s in self.values.dot(query.astype(object))], np.int64)
+        order = np.lexsort([self.ids, -score])
+        order = order[self.ids[order] != own][:k]
+        return self.ids[order], score[order]
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +101,14 @@ class BlockIndex:
         self.rows[:len(ids)] = 1
         self.rows = np.packbits(self.rows, bitorder="little").view(np.uint64)
 
+    def values(self) -> np.ndarray:
+        """The rows' whole numbers, read back from the slices."""
+        out = np.repeat(self.low[None], len(self.ids), axis=0)
+        for b in range(self.bits):
+            plain = np.unpackbits(self.slices[0, :, b].copy().view(np.uint8), axis=-1, bitorder="little")
+            out += plain[:, :len(self.ids)].T.astype(np.int64) << b
+        return out
+
     def scores(self, query: np.ndarray) -> tuple[np.ndarray, int]:
         """Bit slices (weights, words) of all rows' scores less a constant, and that constant."""
         negative, size = query < 0, np.abs(query)
@@ -149,32 +186,53 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     result = "query_id long, best array<struct<less:long,id:long>>"
     if not n:
         return _ranked(spark.createDataFrame([], result), k)
-    rows = rows.where(F.size("vec") == dims)
-    n_blocks = -(-n // block_rows)
+    limit = component_limit(dims, scale)
+    rows = rows.where(F.size("vec") == dims).withColumn("large", F.exists("vec", lambda x: F.abs(x) >= limit))
+    n_large = rows.where("large").count()
+    # blocks of large vectors are numbered after the others
+    n_plain = -(-(n - n_large) // block_rows)
+    n_blocks = n_plain + -(-n_large // block_rows)
 
-    def pack_block(t: pa.Table) -> pa.Table:
-        ids, x = t["id"].to_numpy(), quantised(matrix(t["vec"], dims), scale)
+    def distinct(t: pa.Table, large: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and quantised (or, of large ones, original) vectors without repeated rows."""
+        ids, x = t["id"].to_numpy(), matrix(t["vec"], dims).astype(np.float64)
+        x = x.view(np.int64) if large else quantised(x, scale)
         keyed = np.unique(np.column_stack([ids, x]), axis=0)
-        ids, x = keyed[:, 0].copy(), keyed[:, 1:]
-        low, slices = slices_of(x)
+        return keyed[:, 0].copy(), np.ascontiguousarray(keyed[:, 1:])
+
+    def pack_block(t: pa.Table) -> pa.Table:
+        large = t["block"][0].as_py() >= n_plain
+        ids, x = distinct(t, large)
+        low, slices = (np.zeros(0, np.int64), x) if large else slices_of(x)
         return pa.table({"block": t["block"][:1], "ids": [ids.tobytes()], "low": [low.tobytes()],
-                         "bits": pa.array([slices.shape[1]], pa.int32()), "slices": [slices.tobytes()]})
+                         "bits": pa.array([0 if large else slices.shape[1]], pa.int32()), "slices": [slices.tobytes()]})
 
     def pack_chunk(t: pa.Table) -> pa.Table:
-        x = quantised(matrix(t["vec"], dims), scale)
-        keyed = np.unique(np.column_stack([t["id"].to_numpy(), x]), axis=0)
-        return pa.table({"chunk": t["chunk"][:1], "queries": [keyed.tobytes()]})
+        large = t["large"][0].as_py()
+        ids, x = distinct(t, large)
+        return pa.table({"chunk": t["chunk"][:1], "large": t["large"][:1],
+                         "queries": [np.column_stack([ids, x]).tobytes()]})
+
+    def raw(values: np.ndarray) -> np.ndarray:
+        return whole_numbers(np.ascontiguousarray(values).view(np.float64), scale)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = None, None
+        held, index, exact = None, None, None
         for batch in batches:
             for r in batch.to_pylist():
                 if r["block"] != held:
-                    held = r["block"]
-                    index = BlockIndex(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["low"], np.int64),
-                                       np.frombuffer(r["slices"], np.uint64).reshape(dims, r["bits"], -1))
+                    held, exact = r["block"], None
+                    ids = np.frombuffer(r["ids"], np.int64)
+                    index = LargeBlock(ids, raw(np.frombuffer(r["slices"], np.int64).reshape(-1, dims))) if not r[
+                        "bits"] else BlockIndex(ids, np.frombuffer(r["low"], np.int64),
+                                                np.frombuffer(r["slices"], np.uint64).reshape(dims, r["bits"], -1))
                 queries = np.frombuffer(r["queries"], np.int64).reshape(-1, dims + 1)
-                found = [index.best(q[1:], k, int(q[0])) for q in queries]
+                vectors, here = queries[:, 1:], index
+                if r["large"]:
+                    vectors = raw(vectors)
+                    if r["bits"]:
+                        here = exact = exact or LargeBlock(ids, index.values().astype(object))
+                found = [here.best(v, k, int(q)) for q, v in zip(queries[:, 0].tolist(), vectors)]
                 yield pa.RecordBatch.from_pydict(
                     {"query_id": queries[:, 0], "block": np.full(len(queries), held, np.int32),
                      "best": [[{"less": -s, "id": i} for i, s in zip(ids.tolist(), score.tolist())]
@@ -182,19 +240,24 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                     schema=pa.schema([("query_id", pa.int64()), ("block", pa.int32()),
                                       ("best", pa.list_(pa.struct([("less", pa.int64()), ("id", pa.int64())])))]))
 
-    def dealt(frame: DataFrame, name: str, parts: int) -> DataFrame:
-        return frame.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    def dealt(frame: DataFrame, name: str, plain: int, parts: int) -> DataFrame:
+        """Plain vectors to the first ``plain`` numbers, large ones to the others."""
+        def at(n: int) -> Column:
+            return F.pmod(F.xxhash64("id"), F.lit(max(n, 1)))
+        return frame.withColumn(name, F.when(F.col("large"), plain + at(parts - plain)).otherwise(at(plain)).cast("int"))
 
-    index = settled(dealt(rows.select("id", "vec"), "block", n_blocks).groupBy("block")
+    index = settled(dealt(rows.select("id", "vec", "large"), "block", n_plain, n_blocks).groupBy("block")
                     .applyInArrow(pack_block, "block int, ids binary, low binary, bits int, slices binary"))
     asked = rows.where("asks")
-    n_chunks = max(1, -(-asked.count() // chunk_rows))
-    chunks = settled(dealt(asked.select("id", "vec"), "chunk", n_chunks).groupBy("chunk")
-                     .applyInArrow(pack_chunk, "chunk int, queries binary"))
+    n_asked, n_large_asked = asked.agg(F.count(F.lit(1)), F.count_if("large")).first()
+    plain_chunks = max(1, -(-(n_asked - n_large_asked) // chunk_rows))
+    n_chunks = plain_chunks + -(-n_large_asked // chunk_rows)
+    chunks = settled(dealt(asked.select("id", "vec", "large"), "chunk", plain_chunks, n_chunks).groupBy("chunk")
+                     .applyInArrow(pack_chunk, "chunk int, large boolean, queries binary"))
     # few blocks are repeated, so that enough tasks share the chunks
     lanes = max(1, min(n_chunks, 2 * spark.sparkContext.defaultParallelism // n_blocks))
     left = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    right = chunks.select(F.pmod("chunk", F.lit(lanes)).alias("lane"), "queries",
+    right = chunks.select(F.pmod("chunk", F.lit(lanes)).alias("lane"), "large", "queries",
                           F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     with arrow_rows(spark, 4):  # these rows are megabytes each
         found = settled(left.join(right.hint("shuffle_merge"), ["block", "lane"])
