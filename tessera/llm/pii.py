@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, count_of, find, joined
+from .common import free_name
+from .spans import blocks, count_of, cut, find, joined, later, let, running
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -101,10 +102,9 @@ def base_spans(text: Column) -> Column:
 def scored(text: Column, spans: Column, window: int = 40, near: float = 0.3) -> Column:
     """Array of structs: the span's fields and ``score``."""
 
-    def rate(s: Column) -> Column:
+    def rate(s: Column, pieces: Column) -> Column:
         before = F.greatest(s["start"] - window, F.lit(0))
-        around = F.concat(F.substr(text, before + 1, s["start"] - before), F.lit(" \n "),
-                          F.substr(text, s["end"] + 1, F.lit(window)))
+        around = F.concat(cut(pieces, before, s["start"]), F.lit(" \n "), cut(pieces, s["end"], s["end"] + window))
         own, helped = F.lit(0.0), F.lit(False)
         for kind, (value, words) in CONTEXT.items():
             own = F.when(s["kind"] == kind, F.lit(value)).otherwise(own)
@@ -113,7 +113,8 @@ def scored(text: Column, spans: Column, window: int = 40, near: float = 0.3) ->
                         s["kind"].alias("kind"), s["value"].alias("value"),
                         (own + F.when(helped, near).otherwise(0.0)).alias("score"))
 
-    return F.transform(spans, rate)
+    # a text without spans isn't cut into blocks
+    return let(F.when(F.size(spans) > 0, blocks(text)), lambda pieces: F.transform(spans, lambda s: rate(s, pieces)))
 
 
 def with_spans(docs: DataFrame, base: str, all_spans: str, window: int = 40, near: float = 0.3,
@@ -121,11 +122,12 @@ def with_spans(docs: DataFrame, base: str, all_spans: str, window: int = 40, nea
     """``docs`` with two columns: the base spans, and all spans with scores."""
     text = F.coalesce(F.col("text"), F.lit(""))
     more = F.concat(find(text, IBAN, "iban", 4, _iban, ahead=True), find(text, SSN, "ssn", 5, lambda m: F.lit(True)))
-    return (docs.withColumn(base, base_spans(text)).withColumn("__more", more)
+    added = free_name(docs, "more")
+    return (docs.withColumn(base, base_spans(text)).withColumn(added, more)
             .withColumn(all_spans, F.concat(
                 scored(text, F.col(base), window, near),
-                F.filter(scored(text, F.col("__more"), window, near), lambda s: s["score"] >= threshold)))
-            .drop("__more"))
+                F.filter(scored(text, F.col(added), window, near), lambda s: s["score"] >= threshold)))
+            .drop(added))
 
 
 def find_pii(docs: DataFrame, **options) -> DataFrame:
@@ -146,23 +148,28 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle
     brackets (``<email>``); of overlapping spans the first names the whole
     stretch. ``n_chars``, where present, follows the new text."""
-    marked = with_spans(docs, "__base", "__found", **options)
+    base, found, fresh_text = (free_name(docs, stem) for stem in ("base", "found", "clean"))
+    marked = with_spans(docs, base, found, **options)
     text = F.col("text")
 
-    def put(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        out = F.concat(acc["out"], F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]),
-                       F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
-                        F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(
-        F.array_sort("__found"), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), put,
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
-    changed = F.size("__found") > 0
-    out = marked.withColumn("__clean", F.when(changed, clean).otherwise(text))
-    columns = {"text": F.col("__clean")}
+    def cleaned(spans: Column) -> Column:
+        stops = running(F.transform(spans, lambda s: s["end"]), later)
+        return let(blocks(text), lambda pieces: let(stops, lambda stops: put(spans, stops, pieces)))
+
+    def put(spans: Column, stops: Column, pieces: Column) -> Column:
+        """Spans that start behind all before them, each with the text in front of it."""
+        after = F.transform(spans, lambda s, i: F.struct(
+            F.coalesce(F.get(stops, i - 1), F.lit(0)).alias("pos"), s["start"].alias("start"), s["kind"].alias("kind")))
+        parts = F.transform(F.filter(after, lambda x: x["start"] >= x["pos"]), lambda x: F.concat(
+            cut(pieces, x["pos"], x["start"]), F.lit("<"), x["kind"], F.lit(">")))
+        end = F.get(stops, F.size(stops) - 1)
+        return F.concat(F.array_join(parts, ""), cut(pieces, end, F.length(text)))
+
+    clean = let(F.array_sort(found), cleaned)
+    changed = F.size(found) > 0
+    out = marked.withColumn(fresh_text, F.when(changed, clean).otherwise(text))
+    columns = {"text": F.col(fresh_text)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.length("__clean").cast(kind)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(changed, F.length(fresh_text).cast(kind)).otherwise(F.col("n_chars"))
     return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])

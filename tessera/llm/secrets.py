@@ -9,10 +9,12 @@ base spans.
 Every candidate value is hashed, and for every hash the distinct owners and
 repositories that hold it are counted over the whole corpus, in stages (hash,
 owner, repository; then hash, owner; then hash), each pre-aggregated before its
-shuffle. A value held by ``example_owners`` owners or more is a widely copied
-example; one held by a single owner is owner-specific. Owner-specific token
-candidates look live and are added as spans of the kind ``token``; others aren't.
-Base spans stay, whatever the counts, which are reported beside them.
+shuffle. A value is a widely copied example if ``example_owners`` owners or more hold
+it, or more than one owner in ``example_repositories`` repositories or more together;
+any other value is owner-specific, also one that a copy of its document has carried to
+a second owner. Owner-specific token candidates look live and are added as spans of the
+kind ``token``; others aren't. Base spans stay, whatever the counts, which are reported
+beside them.
 
 An example that a third of all documents quote makes a hot hash: its counts come
 from partial sums, and it meets the documents in a join of two plain exchanges,
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .spans import SPAN, count_of, find, joined
+from .spans import SPAN, count_of, earlier, find, joined, later, let, running
 
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
           r"""([A-Za-z0-9+/_.=-]+)""")
@@ -63,17 +65,36 @@ def _hashed(spans: Column) -> Column:
         F.sha2(s["value"], 256).alias("value")).cast(SPAN))
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, example_owners: int = 3) -> DataFrame:
+def apart_from(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. All spans are put in order; a token stands
+    apart if no base span before it ends behind its start and none after it starts before
+    its end."""
+    def entry(s: Column, is_token: int) -> Column:
+        return F.struct(s["start"].alias("start"), F.lit(is_token).alias("token"), s["end"].alias("end"), s.alias("span"))
+
+    def kept(spans: Column) -> Column:
+        base_end = F.transform(spans, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(0))
+        base_start = F.transform(spans, lambda x: F.when(x["token"] == 0, x["start"]).otherwise(2**31 - 1))
+        return let(running(base_end, later), lambda before: let(
+            F.reverse(running(F.reverse(base_start), earlier)), lambda behind: F.transform(
+                F.filter(spans, lambda x, i: (x["token"] == 1) & (F.get(before, i) <= x["start"])
+                         & (F.get(behind, i) >= x["end"])), lambda x: x["span"])))
+
+    both = F.concat(F.transform(base, lambda s: entry(s, 0)), F.transform(tokens, lambda s: entry(s, 1)))
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), let(F.array_sort(both), kept)).otherwise(tokens)
+
+
+def find_secrets(docs: DataFrame, owner: Column, repository: Column, example_owners: int = 3,
+                 example_repositories: int = 8) -> DataFrame:
     """``doc_id``, ``base`` (spans), ``added`` (spans), ``n_live`` and ``n_example``
-    (spans and candidates whose value has one owner, or many) for every row."""
+    (spans and candidates whose value is owner-specific, or widely copied) for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
         F.md5(text).alias("copy"), base_spans(text).alias("base"),
         find(text, TOKEN, "token", 3, _varied).alias("tokens"))
-    apart = F.filter("tokens", lambda t: ~F.exists(
-        "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    apart = apart_from(F.col("tokens"), F.col("base"))
     rows = settled(rows.withColumn("tokens", _hashed(apart)).withColumn("base", _hashed(F.col("base"))))
 
     some = rows.where((F.size("base") > 0) | (F.size("tokens") > 0))
@@ -84,7 +105,9 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, example_own
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")))
 
     once = spans.select("copy", "s").distinct().withColumn("value", F.col("s.value"))
-    live, example = F.col("owners") == 1, F.col("owners") >= example_owners
+    example = (F.col("owners") >= example_owners) | (
+        (F.col("owners") > 1) & (F.col("repositories") >= example_repositories))
+    live = ~example
     judged = settled(once.join(counts, "value").groupBy("copy").agg(
         F.collect_list(F.when(live & (F.col("s.kind") == "token"), F.col("s"))).alias("added"),
         F.sum(live.cast("long")).alias("n_live"), F.sum(example.cast("long")).alias("n_example"),

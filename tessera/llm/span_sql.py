@@ -95,15 +95,16 @@ b AS (
 k AS (
   SELECT * FROM b WHERE kind <> 'token' OR NOT EXISTS (
     SELECT 1 FROM b AS o WHERE o.rid = b.rid AND o.kind <> 'token' AND o.start < b.stop AND b.start < o.stop)),
-n AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(0) || repository) AS repositories
-      FROM k JOIN d USING (rid) GROUP BY value),
+n AS (SELECT *, owners >= 3 OR owners > 1 AND repositories >= 8 AS example
+      FROM (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(0) || repository) AS repositories
+            FROM k JOIN d USING (rid) GROUP BY value)),
 a AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (kind <> 'token') AS base,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)
-           FILTER (kind <> 'token' OR owners = 1) AS spans,
-         count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example,
+           FILTER (kind <> 'token' OR NOT example) AS spans,
+         count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example,
          max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM k JOIN n USING (value) GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
