@@ -289,11 +289,9 @@ def decode(ids: Column, path: str) -> Column:
     return unpacked(ids)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, packed ``ids`` and the ``decoded`` text of every row; both are
-    made in one pass through the workers."""
-
-    modest_batches(docs.sparkSession)
+def encoded_and_decoded(text: Column, path: str) -> Column:
+    """A struct of the packed ``ids`` and the ``decoded`` text, made in one pass
+    through the workers."""
 
     @F.pandas_udf("struct<ids:binary,decoded:string>")
     def both(texts: pd.Series) -> pd.DataFrame:
@@ -301,7 +299,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         ids = bpe.encode_all([t or "" for t in texts])
         return pd.DataFrame({"ids": ids, "decoded": [bpe.decode(b) for b in ids]})
 
-    return (docs.select("doc_id", both(F.col("text")).alias("both"))
+    return both(text)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, packed ``ids`` and the ``decoded`` text of every row."""
+    modest_batches(docs.sparkSession)
+    return (docs.select("doc_id", encoded_and_decoded(F.col("text"), path).alias("both"))
             .select("doc_id", "both.ids", "both.decoded"))
 
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, small_side
+from .common import free_name, settled, small_side
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -145,11 +145,12 @@ def materialise(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share
     """The mix itself, with the columns of ``docs``: a row for every whole copy,
     and the boundary documents' leading words as a shorter text (``n_chars``,
     where present, follows it)."""
-    sized = docs.withColumn("__n", word_count(F.col("text")))
-    rows = settled(sized.select("doc_id", "source", F.col("__n").alias("size")))
+    own = free_name(docs, "n")
+    sized = docs.withColumn(own, word_count(F.col("text")))
+    rows = settled(sized.select("doc_id", "source", F.col(own).alias("size")))
     plan, edge = _plan(rows, weights, total_share, cap, buckets)
     named = sized.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source",
-                         F.col("__n").alias("size"))
+                         F.col(own).alias("size"))
     taken = _taken(named, plan, edge, buckets)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     part = F.col("taken") - whole * F.col("size")

@@ -73,7 +73,7 @@ def test_trie(request, which, sizes):
 def test_repair(request, which, parts):
     turns = request.getfixturevalue(which)
     want = brute_conv.repairs([tuple(r)[:4] for r in turns.collect()])
-    same(conv_repair.report(turns, conv_repair.damage(turns), parts), REPAIR, want)
+    same(conv_repair.report(turns, conv_repair.damage(turns), parts, F.col("copies")), REPAIR, want)
 
 
 def test_a_conversation_over_many_partitions(spark):
@@ -82,7 +82,17 @@ def test_a_conversation_over_many_partitions(spark):
     rows = [(3, t // 2, rng.choice(["user", "assistant", "system", "tool"]),
              rng.choice(["yes.", "no", "", f"turn {t}.", f"turn {t}"])) for t in range(400)]
     turns = spark.createDataFrame(table(rows), SCHEMA)
-    same(conv_repair.report(turns, conv_repair.damage(turns), 40), REPAIR, brute_conv.repairs(rows))
+    same(conv_repair.report(turns, conv_repair.damage(turns), 40, F.col("copies")), REPAIR, brute_conv.repairs(rows))
+
+
+def test_rows_without_damage(spark):
+    """The operator by itself: copies given as rows, a column named copies is nothing to it."""
+    rows = [r for r in ODD if r[0] is not None and r[0] < 10 for _ in range(1 + (r[1] or 0) % 2)]
+    turns = spark.createDataFrame([(*r, 99) for r in rows], "conv_id long, turn long, role string, text string, copies int")
+    got = {r.conv: (r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit) for r in conv_repair.repair(turns, 5).collect()}
+    for c, found in brute_conv.by_turn([(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]).items():
+        faults, illegal, cost, audit, _ = brute_conv.repair(found)
+        assert got[str(c)] == (*faults, illegal, cost, audit)
 
 
 def test_empty_conversations(no_turns):

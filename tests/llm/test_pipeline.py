@@ -49,14 +49,17 @@ def test_stages_by_hand(spark):
     coded = dict(corpus_pipeline.STAGES)["bpe"](spark, mixed, SMALL).collect()
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(queries.tokenizer_path())
-    want = sorted((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids)) for r in mixed.collect())
-    assert sorted((r.doc_id, r.n_tokens) for r in coded) == want
+    want = []
+    for r in mixed.collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), brute.sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in coded) == sorted(want)
 
 
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "bpe"]
     out = corpus_pipeline.run(spark, SMALL)
-    assert out.count() > 0 and out.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
+    assert out.count() > 0 and out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256"]
 
 
 def test_stages_on_odd_rows_and_nothing(spark, odd, none):

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, layout_text, pii, secrets, simhash, toxicity
+from tessera.llm import bpe, components, layout_text, mixing, pii, secrets, simhash, toxicity
 from tessera.llm.queries import tokenizer_path
 
 from . import brute
-from .conftest import SCHEMA, SMALL, TEXTS
+from .conftest import SMALL, TEXTS
 
 
 def by_text(frame, *cols):
@@ -100,6 +101,70 @@ def test_secret_ownership(spark, none):
     assert secrets.summary(secrets.find_secrets(none, F.col("source"), F.col("lang"))).count() == 0
 
 
+def test_every_value_is_live_or_an_example(spark, none):
+    def token(i):
+        return f"Tok{i}nValue{'abcdefgh'[i]}9Zq8Xw7Rt6Yp"
+    rows = [(1, token(1), "a", "r1"), (2, token(1), "b", "r2"),                       # a copy in a second place
+            *[(10 + i, token(2), "ab"[i % 2], f"r{i}") for i in range(8)],             # two owners, many repositories
+            *[(30 + i, token(3), "a", f"r{i}") for i in range(9)],                     # one owner, many repositories
+            *[(50 + i, token(4), "abc"[i], "r") for i in range(3)]]                    # three owners
+    docs = spark.createDataFrame([(i, f"we use {t} here", o, r) for i, t, o, r in rows],
+                                 "doc_id long, text string, who string, repo string")
+    got = {r.doc_id: r for r in secrets.summary(secrets.find_secrets(docs, F.col("who"), F.col("repo"))).collect()}
+    assert all(r.n_live + r.n_example == 1 and (r.spans != "") == (r.n_live == 1) for r in got.values())
+    assert {i: got[i].n_live for i in (1, 2, 10, 30, 50)} == {1: 1, 2: 1, 10: 0, 30: 1, 50: 0}
+
+
+def test_tokens_apart_from_base_spans(spark):
+    rng = random.Random(6)
+    for _ in range(5):
+        def some(kind, place):
+            cuts = sorted(rng.sample(range(3000), 700))
+            return [(a, place, b, kind, "v") for a, b in zip(cuts[::2], cuts[1::2])]
+        tokens, base = some("token", 3), some("hex", 2) + some("assign", 0)
+        df = spark.createDataFrame([(tokens, base)], f"tokens array<{secrets.SPAN}>, base array<{secrets.SPAN}>")
+        got = df.select(secrets.apart_from(F.col("tokens"), F.col("base"))).first()[0]
+        want = [t for t in tokens if not any(b[0] < t[2] and t[0] < b[2] for b in base)]
+        assert sorted(map(tuple, got)) == want and 0 < len(want) < len(tokens)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 70_000])
+def test_running_folds(spark, n):
+    from tessera.llm import spans
+    rng = np.random.default_rng(n)
+    v = rng.integers(0, 1000, n).astype(np.int32)
+    df = spark.createDataFrame([(v.tolist(),)], "v array<int>")
+    got = df.select(spans.running(F.col("v"), spans.plus).alias("s"), spans.running(F.col("v"), spans.later).alias("m")).first()
+    assert got.s == np.cumsum(v).tolist() and got.m == np.maximum.accumulate(v).tolist()
+
+
+def test_a_hundred_thousand_hits_in_one_text(spark):
+    """Some megabytes of one text: as plain Python finds them, within seconds."""
+    mails = "".join(f"Ünï{i % 7} write to user{i}@host{i % 5}.example or 10.0.{i % 256}.{i % 300}, " for i in range(50_000))
+    keys = "".join(f"ü api_key = 'abc{i}def{i}' {i:07d}deadbeefdeadbeef0123 tok Qw{i}eRtyUiOpAsDf9Gh7Jk{i} " for i in range(35_000))
+    docs = spark.createDataFrame([(1, mails), (2, keys)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    start = time.time()
+    told = {r.doc_id: r for r in pii.summary(pii.find_pii(docs)).collect()}
+    for i, text in ((1, mails), (2, keys)):
+        spans = brute.pii_spans(text)
+        assert told[i].base_sha256 == brute.sha(brute.joined(spans))
+        assert told[i].spans == brute.joined(spans) or i == 2
+    assert told[1].n_email == 50_000 and told[1].n_ip > 30_000
+    assert set(told[1].scores.split(",")) <= {"0.5", "0.6", "0.8", "0.9"} and told[1].scores.startswith("0.9")
+    clean = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id = 1")).collect()}[1]
+    out, at = [], 0
+    for s, _, e, kind in brute.pii_spans(mails):
+        if s >= at:
+            out += [mails[at:s], f"<{kind}>"]
+        at = max(at, e)
+    assert clean == "".join(out) + mails[at:]
+    held = {r.doc_id: r for r in secrets.summary(secrets.find_secrets(docs, F.col("source"), F.col("source"))).collect()}
+    for i, text in ((1, mails), (2, keys)):
+        assert held[i].base_sha256 == brute.sha(brute.joined(brute.secret_spans(text)))
+    assert held[2].n_assign == held[2].n_hex == 35_000 and held[2].spans.count("token:") >= 34_000
+    assert time.time() - start < 120
+
+
 def test_patterns_read_long_runs_once(spark):
     runs = ["a" * 200_000, "1" * 200_000, "a." * 100_000, "0f" * 100_000, "1.1." * 50_000, "a@b" + ".c" * 50_000,
             "1-" * 100_000, "+1" + " " * 100_000, "A" * 100_000, "a1_" * 60_000]
@@ -160,11 +225,17 @@ def test_near_duplicates(request, which):
     assert got == sorted(((r.doc_id, prints[r.text], c) for r, c in zip(rows, want)), key=repr)
 
 
-def test_rows_without_id_take_the_component_of_equal_prints(odd, none):
+def test_rows_without_id_link_like_any(odd, none, spark, monkeypatch):
     got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(odd).where("doc_id is null").collect()}
     assert got[brute.fingerprint(TEXTS[0][1])] == 0
     assert got[brute.fingerprint(TEXTS[5][1])] is None
     assert simhash.near_duplicates(none).count() == 0
+    # 0, 3 and 15 are two bits apart each; the middle one has no id, and carries the link
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle: text.cast("long"))
+    docs = spark.createDataFrame([(4, "0"), (None, "3"), (2, "15"), (None, str(1 << 40)), (None, str(7 << 50)),
+                                  (9, str(1 << 62))], "doc_id long, text string")
+    got = {int(r.fingerprint, 16): (r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {0: 2, 3: 2, 15: 2, 1 << 40: 2, 7 << 50: None, 1 << 62: 2}
 
 
 @pytest.mark.parametrize("distance,big", [(0, 256), (1, 256), (2, 256), (2, 3), (3, 256), (4, 256)])
@@ -336,5 +407,11 @@ def test_deep_pages(html):
     assert layout_text.text_of(html).strip(" -\n") == "x"
 
 
-def test_schema_has_clashing_names():
-    assert {"size", "score", "component_id", "fp"} <= set(SCHEMA.names)
+def test_helper_columns_keep_out_of_the_way(odd):
+    """Columns named like the helpers come through every stage as they were."""
+    names = ["__id", "__n", "__base", "__found", "__more", "__clean"]
+    docs = odd.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for out in (simhash.one_of_each(docs), pii.redact(docs), mixing.materialise(docs)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names)

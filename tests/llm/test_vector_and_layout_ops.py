@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -123,9 +125,22 @@ def test_bit_slices_odd_vectors(odd_vectors, spark):
     assert set(got) == {0, 20, 60, 100}
     empty = odd_vectors.limit(0)
     assert bitslice.search(empty, F.col("vec_id") % 20 == 0).count() == 0
-    with pytest.raises(Exception, match="62 bits"):
-        bitslice.search(spark.createDataFrame([(0, [1e20]), (1, [1.0])], "vec_id long, embedding array<double>"),
-                        F.lit(True)).count()
+
+
+def test_bit_slices_large_components(spark):
+    """Finite components of any size: exact scores, held at the ends of a long."""
+    rng, most = random.Random(9), 2**63 - 1
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    rows[7] = (7, [1e30, -1e30, 0.5, 0.0])
+    rows[20] = (20, [1e300, 1.0, -1e300, 2.0**40])
+    rows[33] = (33, [2.0**25, -(2.0**25), 2.0**25, 0.25])
+    rows[40] = (40, [3.0**19, 1.0, 1.0, 1.0])
+    got = as_dict(bitslice.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"),
+                                  F.col("vec_id") % 20 == 0, block_rows=16, chunk_rows=2))
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    for q in (0, 20, 40):
+        scores = {i: max(-most, min(most, sum(a * b for a, b in zip(whole[q], v)))) for i, v in whole.items() if i != q}
+        assert got[q] == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:20]
 
 
 def test_posting_lists_recall(embeddings):
@@ -247,7 +262,7 @@ def test_rewrite_writes_changed_shards_only(spark, tmp_path):
 
 
 def test_rewrite_keeps_null_and_repeated_ids_once(odd, none, tmp_path):
-    docs, old = odd.drop("shard"), F.pmod(F.xxhash64("source"), F.lit(8))
+    docs, old = odd.withColumn("slot", F.lit("mine")), F.pmod(F.xxhash64("source"), F.lit(8))
     planned = reshard.plan(docs, old, 8, 8, rows_per_block=20).checkpoint()
     out = str(tmp_path / "shards")
     changed = reshard.rewrite(docs, planned, 8, 8, out)
@@ -255,12 +270,19 @@ def test_rewrite_keeps_null_and_repeated_ids_once(odd, none, tmp_path):
     stay = planned.where(~F.col("shard").isin(changed)).count()
     assert written.count() + stay == docs.count() and len(changed) > 2
     there = [repr(r) for r in docs.collect()]
-    for r in written.select(docs.columns).collect():
+    for r in written.select([{"shard": "__shard", "slot": "__slot"}.get(c, c) for c in docs.columns]).toDF(
+            *docs.columns).collect():
         there.remove(repr(r))  # fails for a row too many
     assert len(there) == stay
     got = reshard.resharded(docs, old, 8, 8, str(tmp_path / "again"), rows_per_block=20)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, planned.select(got.columns).collect()))
-    assert reshard.resharded(none.drop("shard"), old, 8, 8, str(tmp_path / "none")).count() == 0
+    assert reshard.resharded(none, old, 8, 8, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_without_id_spread_over_blocks(spark):
+    docs = spark.range(2000).selectExpr("cast(null AS long) AS doc_id", "repeat(cast(id AS string), 5) AS text")
+    rows = reshard._place(reshard.sized(docs, F.lit(0)).checkpoint(), 8, 8, 64, None, None)
+    assert rows.groupBy("block").count().count() == 64
 
 
 def test_query_reads_the_rewritten_shards(spark):
