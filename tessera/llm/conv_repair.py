@@ -14,8 +14,8 @@ binary powers of its matrix, from the end of the conversation to its start. The
 unrolling goes forward and takes at each row the least letter that still reaches
 the minimum; costs inside a run come from the same powers.
 
-On Spark. Equal rows (same turn, role and text) are counted before the shuffle;
-their copies are one run. A row's first place is the least turn of its role and
+On Spark. Equal rows (same turn, role and text) are merged by a pre-aggregated
+count; their copies are one run. A row's first place is the least turn of its role and
 text, by a pre-aggregated minimum. Rows are then put in order by a range
 partitioning on conversation and turn, so that a conversation with a third of all
 rows spreads over many tasks, and written to the shared folder. A task streams
@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, settled
+from .common import arrow_rows, settled, small_side
 
 START, AFTER_S, AFTER_U, AFTER_A = range(4)
 INF = 1 << 60
@@ -201,20 +201,18 @@ def illegal_pairs(initials, counts) -> int:
 
 # -- the rows and their faults ----------------------------------------------
 def damage(conversations: DataFrame) -> DataFrame:
-    """The contract's damage by crc32 of ``conv_id:turn``; repeated rows arrive twice."""
+    """The contract's damage by crc32 of ``conv_id:turn``: conv_id, turn, role, text
+    and ``copies``, how often the row stands there."""
     one = F.lit(" ")
     key = F.concat(F.coalesce(F.col("conv_id").cast("string"), one), F.lit(":"),
                    F.coalesce(F.col("turn").cast("string"), one))
-    kind = F.crc32(key) % 20
-    text = F.coalesce("text", one)
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", one).alias("role"), text.alias("text"),
-                                kind.alias("kind")).where("kind <> 0")
-    return rows.select(
-        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
-        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
-        .otherwise(F.col("text")).alias("text"),
-        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
-    ).drop("copy")
+    kind = F.col("kind")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", one).alias("role"),
+                                F.coalesce("text", one).alias("text"), (F.crc32(key) % 20).alias("kind"))
+    return rows.where("kind <> 0").select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.when(kind == 3, 2).otherwise(1).cast("long").alias("copies"))
 
 
 def _id(c: str = "conv_id") -> Column:
@@ -222,33 +220,56 @@ def _id(c: str = "conv_id") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def faults(rows: DataFrame) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join by conversation, turn, role and digest, where null ids and turns are equal."""
+    named = right.withColumnsRenamed({c: f"r_{c}" for c in _PLACE})
+    same = F.lit(True)
+    for c in _PLACE:
+        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    return left.join(named, same, how).drop(*[f"r_{c}" for c in _PLACE])
+
+
+_PLACE = ["conv_id", "turn", "role", "digest"]
+
+
+def faults(rows: DataFrame, copies: Column | None = None) -> DataFrame:
     """Distinct rows with copies ``n``, their symbol, and how many of the copies
-    are blank, duplicate and truncated."""
+    are blank, duplicate and truncated.
+
+    What has to be known about other rows is found on places (conversation, turn, role and
+    digest of the text) alone: few of them hold several rows, or repeat a text of an earlier turn.
+    Texts are joined with those few and shuffled only where equal rows have to be merged."""
     one = F.lit(" ")
-    rows = rows.select("conv_id", "turn", F.coalesce("role", one).alias("role"), F.coalesce("text", one).alias("text"))
-    seen = F.md5("text")
-    distinct = rows.groupBy("conv_id", "turn", "role", seen.alias("digest")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    # places where a row's role and text stand already at an earlier turn
-    turn = F.struct(F.col("turn").isNotNull().alias("some"), F.col("turn").alias("turn"))
-    places = rows.select("conv_id", "turn", "role", seen.alias("digest"))
-    firsts = (places.groupBy("conv_id", "role", "digest").agg(F.min(turn).alias("first"), F.max(turn).alias("last"))
-              .where("first <> last").select(F.col("conv_id").alias("c"), F.col("role").alias("r"),
-                                             F.col("digest").alias("d"), "first"))
-    out = distinct.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r"))
-                        & (F.col("digest") == F.col("d")), "left")
+    rows = rows.select("conv_id", "turn", F.coalesce("role", one).alias("role"), F.coalesce("text", one).alias("text"),
+                       (F.lit(1).cast("long") if copies is None else copies.cast("long")).alias("copies"))
+    rows = rows.withColumn("digest", F.md5("text"))
+    places = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("n"))
+    # the first of a text's turns; null comes before all
+    texts = places.groupBy("conv_id", "role", "digest").agg(
+        F.count(F.lit(1)).alias("places"), F.max(F.col("turn").isNull()).alias("from_null"), F.min("turn").alias("first")
+    ).where("places > 1").withColumnsRenamed({"conv_id": "t_conv", "role": "t_role", "digest": "t_digest"})
+    later = F.coalesce(F.col("turn").isNotNull() & (F.col("from_null") | (F.col("turn") > F.col("first"))), F.lit(False))
+    odd = settled(
+        places.join(texts, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("role") == F.col("t_role"))
+                    & (F.col("digest") == F.col("t_digest")), "left")
+        .withColumn("later", later).where("later or rows > 1").select(*_PLACE, "rows", "n", "later"))
+    n_odd, n_many = odd.agg(F.count(F.lit(1)), F.count_if(F.col("rows") > 1)).first()
+    out = _met(rows, small_side(odd), "left")
+    if n_many:
+        merged = (out.where("rows > 1").groupBy(*_PLACE).agg(
+            F.first("text").alias("text"), F.max("n").alias("copies"), F.max("later").alias("later")))
+        out = out.where("rows is null or rows = 1").select(*_PLACE, "text", "copies", "later").unionByName(merged)
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    later = F.coalesce(F.col("first") != turn, F.lit(False))
+    again = F.coalesce("later", F.lit(False))
     cut = ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
-    initial = F.left("role", F.lit(1))
+    initial, n = F.left("role", F.lit(1)), F.col("copies")
     place = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
     return out.select(
-        "conv_id", "turn", "role", "text", "n", initial.alias("initial"),
-        F.when(blank | later, MUST_GO).otherwise(1 + 2 * place + cut.cast("int")).alias("symbol"),
-        F.when(blank, F.col("n")).otherwise(0).alias("blank"),
-        F.when(blank, 0).when(later, F.col("n")).otherwise(F.col("n") - 1).alias("duplicate"),
-        F.when(blank | later | ~cut, 0).otherwise(1).alias("truncated"))
+        "conv_id", "turn", "role", "text", n.alias("n"), initial.alias("initial"),
+        F.when(blank | again, MUST_GO).otherwise(1 + 2 * place + cut.cast("int")).alias("symbol"),
+        F.when(blank, n).otherwise(0).alias("blank"),
+        F.when(blank, 0).when(again, n).otherwise(n - 1).alias("duplicate"),
+        F.when(blank | again | ~cut, 0).otherwise(1).alias("truncated"))
 
 
 def in_order(rows: DataFrame, parts: int) -> DataFrame:
@@ -439,16 +460,17 @@ def _repair_cut(ordered: DataFrame, cut: dict[str, list[int]]) -> DataFrame:
     return joined.join(F.broadcast(figures), "conv").select(*_RESULT)
 
 
-def repair(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) and their cheapest repair: conv
-    (the id as text, empty for null), illegal, cost, audit, repaired_sha256."""
+def repair(rows: DataFrame, parts: int | None = None, copies: Column | None = None) -> DataFrame:
+    """Conversations (conv_id, turn, role, text, each row standing ``copies`` times) and their
+    cheapest repair: conv (the id as text, empty for null), illegal, cost, audit,
+    repaired_sha256."""
     spark = rows.sparkSession
     if parts is None:
         n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SEGMENT_ROWS),
                     -(-(size or 0) // SEGMENT_BYTES))
     with arrow_rows(spark, 1_000):
-        ordered = in_order(faults(rows), parts)
+        ordered = in_order(faults(rows, copies), parts)
         cut = _cut_conversations(ordered)
         split = {(p, c) for c, held in cut.items() for p in held}
         out = ordered.select(*_COLUMNS).mapInPandas(repair_whole(split), _RESULT_TYPE)
@@ -469,12 +491,13 @@ def figures(ordered: DataFrame) -> DataFrame:
                         "blank", "duplicate", "truncated")
 
 
-def report(conversations: DataFrame, rows: DataFrame, parts: int | None = None) -> DataFrame:
+def report(conversations: DataFrame, rows: DataFrame, parts: int | None = None,
+           copies: Column | None = None) -> DataFrame:
     """One row for every conv_id of ``conversations``: the repair of ``rows``,
     zeros where none are left."""
     ids = conversations.select("conv_id").distinct().withColumn("conv", _id())
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c)
             for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    return ids.join(repair(rows, parts), "conv", "left").select(
+    return ids.join(repair(rows, parts, copies), "conv", "left").select(
         "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
