@@ -15,6 +15,7 @@ from . import (ann, bitslice, bpe, conv_repair, conv_sql, conv_trie, layout_text
                simhash, toxicity, url_rules)
 from .common import table
 from .span_sql import PII, SECRETS
+from .url_sql import URLS
 
 
 def tokenizer_path() -> str:
@@ -109,7 +110,7 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
-    return conv_repair.report(conversations, conv_repair.damage(conversations))
+    return conv_repair.report(conversations, conv_repair.damage(conversations), copies=F.col("copies"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -176,6 +177,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op8_secret_ownership": SECRETS,
     "op10_pii": PII,
+    "op11_url_rules": URLS,
     "op12_conversation_trie": conv_sql.TRIE,
     "op13_conversation_repair": conv_sql.REPAIR,
 }
