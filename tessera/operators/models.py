@@ -102,9 +102,23 @@ def model_configs(total_weight: float, seed: int = S.SEED) -> list[dict]:
     ]
 
 
+def training_vectors(prep: PipelineModel, train: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """What a learner reads, once: features, label and weights, persisted in
+    partitions of a size that suits hundreds of passes. The caller unpersists it."""
+    spark = train.sparkSession
+    n_rows = train.count() if n_rows is None else n_rows
+    columns = [c for c in ("features", "label", "w_balanced", "w_pos3") if c == "features" or c in train.columns]
+    return (prep.transform(train).select(*columns)
+            .repartition(training_partitions(n_rows, spark.sparkContext.defaultParallelism)).persist())
+
+
 def fit(train: DataFrame, estimator, num=None, cat=None) -> PipelineModel:
     prep = fit_preprocessing(train, num, cat)
-    return PipelineModel(stages=[*prep.stages, estimator.fit(prep.transform(train))])
+    vectors = training_vectors(prep, train)
+    try:
+        return PipelineModel(stages=[*prep.stages, estimator.fit(vectors)])
+    finally:
+        vectors.unpersist()
 
 
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -163,10 +177,7 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=
     weighted = with_weights(train)
     n_rows = weighted.count()
     prep = fit_preprocessing(weighted)
-    vectors = (prep.transform(weighted)
-               .select("features", "label", "w_balanced", "w_pos3")
-               .repartition(training_partitions(n_rows, spark.sparkContext.defaultParallelism))
-               .persist())
+    vectors = training_vectors(prep, weighted, n_rows)
     total_w = vectors.agg(F.sum("w_balanced")).first()[0]
     counts = test.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("rate")).first()
     train_rate = weighted.agg(F.avg(F.col("label").cast("double"))).first()[0]

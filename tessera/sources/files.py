@@ -34,8 +34,10 @@ def require_input(spark: SparkSession, path: str, label: str, run_first: str) ->
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str | None = None, label: str = "input", run_first: str = "ingestion") -> DataFrame:
-    """Typed scan of a CSV (with header), parquet or JSON table."""
+               fmt: str | None = None, label: str = "input", run_first: str = "ingestion",
+               multi_line: bool = False) -> DataFrame:
+    """Typed scan of a CSV (with header), parquet or JSON table. ``multi_line``: CSV
+    fields may hold line breaks; such a file can't be split, so one task reads it."""
     require_input(spark, path, label, run_first)
     fmt = fmt or ("csv" if path.endswith(".csv") else "json" if path.endswith(".json") else "parquet")
     reader = spark.read
@@ -43,7 +45,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         reader = reader.schema(schema)
     if fmt == "csv":
         na = NA_VALUES
-        df = (reader.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
+        df = (reader.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
               .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False).csv(path))
         # CSV has one nullValue option; map the other NA words per column.
@@ -136,6 +138,21 @@ def latest_report(spark: SparkSession, directory: str,
                   .withColumn("parse_errors", F.lit(bad).cast("long")))
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Scoring requests (JSON lines) with the request schema."""
-    return spark.read.schema(S.REQUEST_SCHEMA).option("mode", "PERMISSIVE").json(path)
+#: Column that holds a line that could not be parsed.
+RAW_LINE = "_corrupt_record"
+
+#: A scoring request: its id, when it was received, and the record's fields.
+REQUEST_LINE_SCHEMA = T.StructType([
+    T.StructField("request_id", T.StringType()), T.StructField("received_at", T.TimestampType()),
+    *S.REQUEST_SCHEMA.fields, T.StructField(RAW_LINE, T.StringType())])
+
+
+def read_requests(spark: SparkSession, path: str, stream: bool = False,
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Scoring requests (JSON lines), as a table or a stream. A line that isn't
+    JSON, or has a field of another type, keeps its text in ``_corrupt_record``."""
+    reader = (spark.readStream if stream else spark.read).schema(REQUEST_LINE_SCHEMA)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_LINE)
+    if stream and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)

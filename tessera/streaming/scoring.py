@@ -23,9 +23,8 @@ from ..functions import expressions as E
 from ..operators import features as FE
 from ..operators import models as MD
 from ..operators import rules as R
-
-#: Column that holds a line that could not be parsed.
-RAW_LINE = "_corrupt_record"
+from ..sources.commits import CommitLog
+from ..sources.files import RAW_LINE
 
 
 class ServingModel:
@@ -34,16 +33,13 @@ class ServingModel:
     from ``models_root/<run_id>`` only when the version changed."""
 
     def __init__(self, spark: SparkSession, versions_path: str, models_root: str, name: str):
-        self.spark, self.versions_path, self.models_root, self.name = spark, versions_path, models_root, name
+        self.versions = CommitLog(spark, versions_path, S.MODEL_VERSIONS_SCHEMA)
+        self.models_root, self.name = models_root, name
         self.version, self.model = None, None
 
     def current(self):
         from ..operators import registry as REG
-        snaps = self.spark.read.parquet(self.versions_path)
-        if "snapshot" in snaps.columns:
-            last = snaps.agg(F.max("snapshot")).first()[0]
-            snaps = snaps.where(F.col("snapshot") == last).drop("snapshot")
-        row = REG.serving_version(snaps, self.name).first()
+        row = REG.serving_version(self.versions.read(), self.name).first()
         if row is None:
             raise RuntimeError(f"nothing is registered under '{self.name}' yet: train and register a model")
         if row["version"] != self.version:
