@@ -34,5 +34,5 @@ def register(name: str, oracle: str | None = None, headline: bool = False):
 def all_queries() -> dict[str, Query]:
     # Importing the modules fills the registry.
     from . import (q_clean, q_quality, q_drift, q_features,  # noqa: F401
-                   q_files, q_metrics, q_models, q_stream)
+                   q_files, q_metrics, q_models, q_sketch, q_stream, q_trees)
     return dict(_REGISTRY)
