@@ -4,18 +4,20 @@ deduplicate (keep first), cast — plus the cleaning report.
 Everything is one narrow projection followed by one aggregate keyed on the
 id. It keeps, per id, the smallest row (``min`` over one struct that starts with
 the order columns, so each column is carried once); the choice is deterministic
-whatever the partitioning, and the partial (map-side) phase collapses hot ids
-before the shuffle.
+whatever the partitioning. A struct has no fixed width, so Spark aggregates by
+sorting: a partial phase sorts each task's rows by id and collapses hot ids before the
+shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..session import ensure_checkpoint_dir
 
 _INT_COLS = ["SeniorCitizen", "tenure"]
 _DOUBLE_COLS = ["MonthlyCharges", "TotalCharges"]
@@ -118,12 +120,17 @@ def cleaning_report(raw: DataFrame, order_cols: list[str] | None = None,
     data_cols = [c for c in raw.columns if c not in order_cols]
     prepared = _prepared(raw, order_cols, id_col, charges_col, label_col)
     dedup = _deduplicated(prepared, data_cols, order_cols, id_col)
+    return dedup.agg(*_report(data_cols, label_col))
+
+
+def _report(data_cols: list[str], label_col: str) -> list[Column]:
+    """The report's columns as aggregates over the deduplicated rows."""
     kept = F.col("_row")
     null_cells = None
     for c in data_cols:
         term = kept[c].isNull().cast("int")
         null_cells = term if null_cells is None else null_cells + term
-    return dedup.agg(
+    return [
         F.sum("_copies").cast("bigint").alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),
         (F.sum("_copies") - F.count(F.lit(1))).cast("bigint").alias("duplicates_removed"),
@@ -135,8 +142,34 @@ def cleaning_report(raw: DataFrame, order_cols: list[str] | None = None,
         F.coalesce(F.sum(null_cells), F.lit(0)).cast("bigint").alias("null_cells_after"),
         F.concat_ws(",", *[F.when(F.count_if(kept[c].isNull()) > 0,
                                   F.concat(F.lit(f"{c}="), F.count_if(kept[c].isNull()).cast("string")))
-                           for c in data_cols]).alias("nulls_by_column"),
-    )
+                           for c in data_cols]).alias("nulls_by_column")]
+
+
+REPORT_SCHEMA = ("rows_before bigint, rows_after bigint, duplicates_removed bigint, missing_total_charges_before bigint, "
+                 "missing_total_charges_imputed bigint, churn_yes bigint, churn_no bigint, n_columns int, "
+                 "null_cells_after bigint, nulls_by_column string")
+
+
+def clean_with_report(raw: DataFrame, order_cols: list[str] | None = None, id_col: str = S.ID_COL,
+                      charges_col: str = "TotalCharges", label_col: str = S.TARGET_COL, strict: bool = False,
+                      keep_order: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``clean_customers`` and ``cleaning_report`` from one pass: the deduplicated rows are
+    materialised in the shared checkpoint folder, and the report's figures are observed on
+    the way.
+
+    The metrics are named ones, read from the plan that was run: an ``Observation`` object would
+    make the session keep a manager that can't be sent to executors with a fitted model."""
+    order_cols = _order(raw, order_cols)
+    spark, data_cols = raw.sparkSession, [c for c in raw.columns if c not in order_cols]
+    ensure_checkpoint_dir(spark)
+    prepared = _prepared(raw, order_cols, id_col, charges_col, label_col)
+    dedup = _deduplicated(prepared, data_cols, order_cols, id_col).observe(
+        "cleaning_report", *_report(data_cols, label_col))
+    rows = dedup.checkpoint(eager=True)
+    seen = dedup._jdf.queryExecution().observedMetrics().apply("cleaning_report")
+    report = spark.createDataFrame([tuple(seen.get(i) for i in range(seen.length()))], REPORT_SCHEMA)
+    kept = data_cols + (order_cols if keep_order else [])
+    return _final_casts(rows.select(*[F.col("_row")[c].alias(c) for c in kept]), strict), report
 
 
 def check_required_columns(df: DataFrame, required=None) -> None:

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,7 @@ from .. import schemas as S
 from ..session import ensure_checkpoint_dir
 from ..functions import expressions as E
 from . import prefix
+from . import registry as REG
 
 REF, CUR = "reference", "current"
 
@@ -218,6 +221,30 @@ def retrain_decision(report: DataFrame, baseline_auc: float | None = None,
         "drift_score", "n_drifted_features")
 
 
+def auc_history(runs: DataFrame, versions: DataFrame, name: str, metric: str = S.PRIMARY_METRIC) -> DataFrame:
+    """One row from the run log: the metric of the serving version's run when it was
+    trained (``baseline``), and that of the newest finished run of the same model type
+    (``current``); null where there is none."""
+    serving = REG.serving_version(versions, name).select(F.col("run_id").alias("serving_run"))
+    value = F.col("metrics")[metric]
+    # at most one serving version
+    tagged = runs.where("status = 'FINISHED'").join(F.broadcast(serving), F.col("run_id") == F.col("serving_run"), "left")
+    served = tagged.where("serving_run is not null").agg(
+        F.max("model_type").alias("served_type"), F.max(value).alias("baseline"))
+    newest = F.max_by(value, F.struct(F.coalesce("start_ts", F.lit("")), "run_id"))
+    current = (tagged.join(F.broadcast(served), F.col("model_type") == F.col("served_type"))  # one row
+               .agg(newest.alias("current")))
+    return served.select("baseline", F.lit(None).cast("double").alias("current")).unionByName(
+        current.select(F.lit(None).cast("double").alias("baseline"), "current")).agg(
+        F.max("baseline").alias("baseline"), F.max("current").alias("current"))
+
+
+def retrain_from_runs(report: DataFrame, runs: DataFrame, versions: DataFrame, name: str) -> DataFrame:
+    """``retrain_decision`` with both AUC values taken from the run log."""
+    told = auc_history(runs, versions, name).first()  # one row
+    return retrain_decision(report, told.baseline, told.current)
+
+
 def distribution_distances(ref: DataFrame, cur: DataFrame, numeric, categorical,
                            n_buckets: int | None = None, test: str = "pvalue") -> DataFrame:
     """``test`` says which statistics decide ``drifted``: ``pvalue`` (KS for
@@ -323,6 +350,72 @@ def ks_pvalue(d, n1, n2, terms: int = 100):
     return F.when(lam < 0.3, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
+def ks_exact(steps: int, n1: int, n2: int) -> float:
+    """The exact two-sample Kolmogorov-Smirnov p-value ``P(D >= steps / (n1 n2))``
+    for samples without ties (with ties it is an upper bound).
+
+    Every order of the merged sample is a lattice path from (0, 0) to (n1, n2), all
+    equally likely; D stays below the observed value on paths with ``|i n2 - j n1| < steps``
+    everywhere. They are counted row by row, one running sum over the admissible band for
+    each i, scaled so that nothing overflows."""
+    if steps <= 0:
+        return 1.0
+    if n1 < n2:
+        n1, n2 = n2, n1
+    j = np.arange(n2 + 1)
+    paths = np.where(j * n1 < steps, 1.0, 0.0)  # i = 0
+    scale = 0.0
+    for i in range(1, n1 + 1):
+        inside = np.abs(i * n2 - j * n1) < steps
+        paths = np.where(inside, np.cumsum(np.where(inside, paths, 0.0)), 0.0)
+        most = paths.max()
+        if most == 0.0:
+            return 1.0
+        if most > 1e200:
+            paths, scale = paths / most, scale + math.log(most)
+    total = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
+    return min(1.0, max(0.0, 1.0 - math.exp(math.log(paths[n2]) + scale - total))) if paths[n2] > 0 else 1.0
+
+
+#: Pairs of rows up to which a small-sample test counts paths.
+EXACT_PAIRS = 25_000_000
+
+
+def ks_exact_pvalue(d: Column, n1: Column, n2: Column) -> Column:
+    """``ks_exact`` over report rows (one per feature), for samples with at most
+    ``EXACT_PAIRS`` pairs; null beyond, where the asymptotic value is good."""
+    @F.pandas_udf("double")
+    def exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([None if not (x == x and a > 0 and b > 0) or a * b > EXACT_PAIRS
+                          else ks_exact(round(x * a * b), int(a), int(b)) for x, a, b in zip(d, n1, n2)], dtype=float)
+
+    return exact(d.cast("double"), n1.cast("long"), n2.cast("long"))
+
+
+def small_sample_drift(ref: DataFrame, cur: DataFrame, numeric) -> DataFrame:
+    """Per numeric feature the two-sample KS statistic, both sample sizes, the exact
+    p-value and whether it is below the significance level. Meant for small samples; of
+    larger ones (``EXACT_PAIRS``) the p-value is the asymptotic one, and ``method`` says so."""
+    numeric = _present(numeric, ref, cur)
+    u = tagged_union(ref, cur, numeric)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), _num(c).alias("value")) for c in numeric])
+    counts = (u.select("_side", F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("feature", "value")
+              .agg(F.count_if(F.col("_side") == REF).alias("n_ref"), F.count_if(F.col("_side") == CUR).alias("n_cur")))
+    cum = prefix.running_totals(counts, ["value"], ["n_ref", "n_cur"], partition_cols=["feature"])
+    totals = cum.groupBy("feature").agg(F.sum("n_ref").alias("n1"), F.sum("n_cur").alias("n2"))
+    # the statistic in whole steps of 1 / (n1 n2); totals have one row per feature
+    steps = F.max(F.abs(F.col("n_ref_cum") * F.col("n2") - F.col("n_cur_cum") * F.col("n1")))
+    stat = (cum.join(F.broadcast(totals), "feature").groupBy("feature", "n1", "n2").agg(steps.alias("steps"))
+            .withColumn("d", F.try_divide(F.col("steps"), F.col("n1") * F.col("n2"))))
+    exact = ks_exact_pvalue(F.col("d"), F.col("n1"), F.col("n2"))
+    told = stat.withColumn("exact", exact)
+    large = (F.col("n1") > 0) & (F.col("n2") > 0) & F.col("exact").isNull()
+    p = F.when(large, ks_pvalue(F.col("d"), F.col("n1"), F.col("n2"))).otherwise(F.col("exact"))
+    return told.select("feature", "n1", "n2", E.rnd("d", 6).alias("ks_statistic"), E.rnd(p, 6).alias("ks_pvalue"),
+                       F.when(large, "asymptotic").otherwise("exact").alias("method"),
+                       F.coalesce(p < KS_ALPHA, F.lit(False)).alias("drifted"))
+
+
 def windowed_drift(df: DataFrame, ts_col: str, numeric: str, categorical: str,
                    window: str = "7 days", threshold: float = S.DRIFT_THRESHOLD) -> DataFrame:
     """Drift of every event-time window against the first window.
@@ -388,6 +481,19 @@ def score_windows(per_window: DataFrame, counts: DataFrame, numeric: str, catego
                     F.coalesce(F.col("score") > threshold, F.lit(False)).alias("drifted")))
 
 
+def log_gamma_plus_one(a: Column) -> Column:
+    """``lnΓ(a + 1)`` for ``a >= 0``: Stirling's series at ``a + 8``, less the logarithms
+    of the seven factors between; right to about 15 digits for any ``a``."""
+    z = a + 8.0
+    z2 = z * z
+    series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - (1.0 / 1680 - 1.0 / 1188 / z2) / z2) / z2) / z2) / z
+    stirling = (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series
+    between = F.lit(0.0)
+    for i in range(1, 8):
+        between = between + F.log(a + float(i))
+    return stirling - between
+
+
 def chi2_pvalue(x, dof):
     """Upper tail of the chi-square distribution, ``Q(a, y)`` with ``a = dof/2``
     and ``y = x/2``, for any statistic and any degrees of freedom.
@@ -395,16 +501,9 @@ def chi2_pvalue(x, dof):
     Below ``a + 1`` it is one less the power series of the lower tail, above it
     the continued fraction of the upper tail, evaluated backwards. Both
     converge in a few times ``sqrt(a)`` terms there, so their length follows
-    ``a``. ``lnΓ(a + 1)`` is exact for the integer and half-integer ``a`` a
-    chi-square needs. Higher-order functions, so it stays a Catalyst
-    expression."""
+    ``a``. Higher-order functions, so it stays a Catalyst expression."""
     y, a = x / 2.0, dof / 2.0
-    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(a).cast("int"), F.lit(1))), F.lit(0.0),
-                        lambda acc, i: acc + F.log(i.cast("double")))
-    half = F.lit(0.5 * math.log(math.pi)) + F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.floor(a).cast("int"), F.lit(0))), F.lit(0.0),
-        lambda acc, i: acc + F.log(i.cast("double") + 0.5))
-    log_gamma = F.when(dof % 2 == 0, whole).otherwise(half)  # of a + 1
+    log_gamma = log_gamma_plus_one(a)
     terms = (F.lit(200) + F.floor(F.lit(15) * F.sqrt(a))).cast("int")
     front = -y + a * F.log(y) - log_gamma
     acc0 = F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("t"))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..session import ensure_checkpoint_dir
 
 
 def _py(v) -> str:
@@ -47,7 +48,7 @@ def _listing(arr: str, n: str) -> Column:
 
 
 # Distinct values printed per list (every distinct value is
-# counted here, and listed without a limit by ``rules.listed_values``), and hash
+# counted here, and listed without a limit by ``suite_values``), and hash
 # slices a column's values are ranked in first.
 LIST_VALUES = 1000
 LIST_SLICES = 64
@@ -583,6 +584,7 @@ def run_suite(df: DataFrame, rules: list[Rule], separate_distinct: bool = True)
         # the value lists are a second pass: materialise the expensive input
         # once (recomputing it per pass would repeat all its shuffles), after
         # which separate distinct aggregates are cheap too
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
         separate_distinct = True
     aggs = [a for r in rules for a in r.aggs(df)]
@@ -603,6 +605,23 @@ def run_suite(df: DataFrame, rules: list[Rule], separate_distinct: bool = True)
     return base.select(F.inline(F.array(*[r.row(df) for r in rules])))
 
 
+def suite_values(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule_id, column, kind, value, n): every non-null value that a suite's in-set
+    rules saw, ``expected`` or ``unexpected``, with its rows - the whole of what the
+    report prints the first values of. One unpivot and one aggregate for all rules."""
+    listed = [r for r in _numbered(rules) if isinstance(r, InSet) and r.column in df.columns]
+    if not listed:
+        return df.sparkSession.createDataFrame([], "rule_id int, column string, kind string, value string, n long")
+    cells = F.array(*[
+        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.column).alias("column"),
+                 F.when(E.is_in(F.col(r.column).cast("string"), [str(v) for v in r.values]), "expected")
+                 .otherwise("unexpected").alias("kind"),
+                 F.col(r.column).cast("string").alias("value"))
+        for r in listed])
+    return (df.select(F.inline(cells)).where("value is not null")
+            .groupBy("rule_id", "column", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def summarize(report: DataFrame) -> DataFrame:
     """total, passed, failed, success_rate (4 digits; 0 for an empty suite)."""
     total = F.count(F.lit(1))

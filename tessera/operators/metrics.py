@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..session import ensure_checkpoint_dir
 from . import prefix
 
 
@@ -65,6 +66,7 @@ def evaluate(preds: DataFrame, group_cols=("model",)) -> DataFrame:
     prefix sums are taken from that table.
     """
     group_cols = list(group_cols)
+    ensure_checkpoint_dir(preds.sparkSession)
     y = F.col("label") == 1
     cells = (preds.groupBy(*group_cols, "score", "prediction")
              .agg(F.count_if(y).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"),

@@ -24,11 +24,19 @@ from ..session import ensure_checkpoint_dir
 _BUCKET_ROWS = 1_000_000    # rows of narrow keys a task ranks
 
 
-def _buckets(df: DataFrame, n_buckets: int | None) -> int:
-    """Buckets for the counted rows, at least one per shuffle partition."""
-    if n_buckets:
-        return n_buckets
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, -(-df.count() // _BUCKET_ROWS))
+_BROADCAST_OFFSETS = 200_000  # rows of the offset table (buckets x groups) that may be broadcast
+
+
+def _sizes(df: DataFrame, partition_cols: list[str], n_buckets: int | None) -> tuple[int, int]:
+    """Buckets for the counted rows, at least one per shuffle partition, and about
+    how many rows the table of bucket offsets has at most."""
+    if n_buckets and not partition_cols:
+        return n_buckets, n_buckets
+    groups = F.approx_count_distinct(F.struct(*partition_cols)) if partition_cols else F.lit(1)
+    rows, groups = df.agg(F.count(F.lit(1)), groups).first()
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_buckets or max(shuffle, 1, -(-rows // _BUCKET_ROWS))
+    return n, n * max(groups, 1)
 
 
 def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] = (),
@@ -47,7 +55,8 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
     # the range bounds are sampled in one job and the rows written in
     # another: keep the narrow projection so the input is computed once
     narrow = df.select(*keys, *value_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (narrow.repartitionByRange(_buckets(narrow, n_buckets), *keys)
+    n_buckets, n_offsets = _sizes(narrow, partition_cols, n_buckets)
+    ranged = (narrow.repartitionByRange(n_buckets, *keys)
               .withColumn("_bucket", F.spark_partition_id())
               .checkpoint(eager=True))
     narrow.unpersist()
@@ -62,7 +71,8 @@ def running_totals(df: DataFrame, order_cols: list[str], value_cols: list[str] =
     inside = Window.partitionBy(*grp).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     # one row per bucket and group
-    return (ranged.join(F.broadcast(offsets), grp)
+    offsets = F.broadcast(offsets) if n_offsets <= _BROADCAST_OFFSETS else offsets
+    return (ranged.join(offsets, grp)
             .select(*keys, *value_cols,
                     (F.col("__off_rows") + F.row_number().over(Window.partitionBy(*grp).orderBy(*order_cols))).alias("_rank"),
                     *[(F.col(f"__offv_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in value_cols]))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..session import ensure_checkpoint_dir
 from . import prefix
 
 NUM_FEATURES = S.NUMERICAL_FEATURES + S.ENGINEERED_FEATURES
@@ -103,6 +104,7 @@ def one_hot_long(df: DataFrame, vocab: DataFrame, id_col: str = S.ID_COL, cols=N
     """
     cols = cols or S.CATEGORICAL_FEATURES
     long = _unpivot(df, cols, "string", keep=[id_col])
+    ensure_checkpoint_dir(df.sparkSession)
     v = vocab.select("feature", "value", "name").checkpoint(eager=True)
     if v.count() <= BROADCAST_LEVELS:
         joined = long.join(F.broadcast(v), ["feature", "value"])
@@ -118,3 +120,32 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).first()
     return counts.select(label_col, "n", E.rnd(F.lit(tot["t"]) / (F.lit(tot["k"]) * F.col("n")), 6).alias("weight"))
+
+
+def feature_metadata(split: DataFrame, num=None, cat=None, label_col: str = "label") -> DataFrame:
+    """One row about a split table: the input columns by kind, the output features by
+    name in vector order, rows and label share of either part, and how many labels could
+    not be mapped (where ``<label>_unmapped`` is there)."""
+    num, cat = list(num or NUM_FEATURES), list(cat or S.CATEGORICAL_FEATURES)
+    train, test = F.col("split") == "train", F.col("split") == "test"
+    label = F.col(label_col).cast("double")
+    flag = f"{label_col}_unmapped"
+    stats = split.agg(
+        F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"),
+        F.avg(F.when(train, label)).alias("train_label_rate"), F.avg(F.when(test, label)).alias("test_label_rate"),
+        (F.count_if(flag) if flag in split.columns else F.lit(None).cast("bigint")).alias("labels_unmapped"))
+    # names of the vocabulary's levels: bounded by what fits in a feature vector
+    levels = vocabulary(split.where("split = 'train'"), cat).select(
+        F.array_position(F.array(*map(F.lit, cat)), F.col("feature")).alias("f"), "slot", "name")
+    named = levels.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "slot", "name"))), lambda x: x["name"])
+                       .alias("levels"))
+    text = lambda cols: F.array(*map(F.lit, cols)).cast("array<string>")
+    both = stats.withColumn("levels", F.lit(None).cast("array<string>")).unionByName(
+        named.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stats.schema.fields], "levels"))
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    outputs = F.concat(text([f"numerical__{c}" for c in num]), "levels")
+    return one.select(
+        text(num).alias("numerical_features"), text(cat).alias("categorical_features"), outputs.alias("output_features"),
+        F.size(outputs).alias("n_output_features"), "train_rows", "test_rows",
+        E.rnd("train_label_rate", 6).alias("train_label_rate"), E.rnd("test_label_rate", 6).alias("test_label_rate"),
+        "labels_unmapped")

@@ -29,6 +29,14 @@ def null_profile(df: DataFrame, columns=None) -> DataFrame:
     return wide.select(stacked, F.col("__rows").alias("rows"))
 
 
+def column_profile(df: DataFrame, columns=None) -> DataFrame:
+    """``null_profile`` with each column's type, as Spark names it."""
+    columns = columns or df.columns
+    types = F.create_map(*[F.lit(x) for c in columns for x in (c, df.schema[c].dataType.simpleString())])
+    return null_profile(df, columns).select(
+        "position", "column", types[F.col("column")].alias("dtype"), "null_count", "rows")
+
+
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 

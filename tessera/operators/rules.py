@@ -82,3 +82,28 @@ def unexpected_values(df: DataFrame, rules) -> DataFrame:
             .where("bad")
             .groupBy("column", "value")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def not_in_table(df: DataFrame, column: str, allowed: DataFrame, allowed_column: str | None = None) -> DataFrame:
+    """(column, value, n) for every non-null value of ``column`` that the table of
+    allowed values doesn't hold, however many values that is.
+
+    Values are counted first, so a hot value crosses the network once per task; the
+    anti-join then meets distinct values on both sides. Null is neither allowed nor unexpected."""
+    values = (df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+              .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    known = allowed.select(F.col(allowed_column or column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return values.join(known, "value", "left_anti").select(
+        F.lit(column).alias("column"), F.col("value").cast("string").alias("value"), "n")
+
+
+def in_table_rule(df: DataFrame, column: str, allowed: DataFrame, allowed_column: str | None = None) -> DataFrame:
+    """The in-set rule against a table of allowed values, as one row: success, the rows
+    and the distinct values that are unexpected, and the commonest of them (least first of
+    equally common ones)."""
+    bad = not_in_table(df, column, allowed, allowed_column)
+    first = F.min_by("value", F.struct((-F.col("n")).alias("often"), F.col("value")))
+    return bad.agg(F.count(F.lit(1)).alias("unexpected_values"), F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_rows"),
+                   first.alias("commonest")).select(
+        F.lit("expect_column_values_to_be_in_table").alias("expectation_type"), F.lit(column).alias("column"),
+        (F.col("unexpected_values") == 0).alias("success"), "unexpected_values", "unexpected_rows", "commonest")

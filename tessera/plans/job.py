@@ -21,9 +21,12 @@ from ..operators import expectations as X
 from ..operators import features as FE
 from ..operators import models as MD
 from ..operators import prefix as P
+from ..operators import preprocess as PP
 from ..operators import registry as R
 from ..operators import split as SP
+from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
+from ..sources.commits import CommitLog
 
 
 @dataclass
@@ -36,16 +39,19 @@ class JobResult:
 
 def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
                      registry_name: str = "churn-classifier", fail_on_validation: bool = False,
-                     order_cols=("load_order",), model_names=None) -> JobResult:
+                     order_cols=("load_order",), model_names=None, strict: bool = True) -> JobResult:
+    """``strict``: a null in an integer column stops the job, as in the reference."""
     out = out.rstrip("/")
+    ensure_checkpoint_dir(spark)
     # 1. ingest: clean, report, persist the processed table and the reference slice
     C.check_required_columns(raw)
     order_cols = list(order_cols)
-    clean = C.clean_customers(raw, order_cols=order_cols, keep_order=True)
+    # the report's figures are taken while the rows are deduplicated, once
+    clean, cleaning = C.clean_with_report(raw, order_cols=order_cols, strict=strict, keep_order=True)
     IO.write_table(clean, f"{out}/processed")
     ordered = spark.read.parquet(f"{out}/processed")
     clean = ordered.drop(*order_cols)
-    IO.write_report(C.cleaning_report(raw, order_cols=order_cols), f"{out}/reports/ingestion", run_ts)
+    IO.write_report(cleaning, f"{out}/reports/ingestion", run_ts)
     # the first rows of the file; in id order where the file's order isn't known
     n = clean.count()
     first = P.first_n(ordered, order_cols[0] if order_cols else S.ID_COL, max(1000, n // 5), total=n)
@@ -60,10 +66,11 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
                     fail_on_error=fail_on_validation)
 
     # 3. features and split (materialised once)
-    labelled = FE.engineer_features(clean).withColumn("label", E.encode_label(S.TARGET_COL))
+    labelled = FE.encode_target(FE.engineer_features(clean))
     IO.write_table(SP.stratified_split(labelled), f"{out}/split", partition_by=["split"])
     split = spark.read.parquet(f"{out}/split")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    IO.write_report(PP.feature_metadata(split), f"{out}/reports/features", run_ts)
 
     # 4. train and log
     fitted, runs = MD.train_and_log(train, test, data_tag=run_ts, model_names=model_names)
@@ -77,29 +84,20 @@ def run_training_job(spark: SparkSession, raw: DataFrame, out: str, run_ts: str,
     R.require_best_run(all_runs)
     best = R.best_run(all_runs)
     IO.write_report(best, f"{out}/reports/evaluation", run_ts)
-    snapshot = "s" + "".join(ch for ch in run_ts if ch.isdigit())
-    versions_path = f"{out}/model_versions"
-    if IO.path_exists(spark, versions_path):
-        snaps = spark.read.parquet(versions_path)
-        # what this run itself wrote before, if it runs again, doesn't count
-        earlier = snaps.where(F.col("snapshot") < snapshot)
-        last = earlier.agg(F.max("snapshot")).first()[0]
-        versions = earlier.where(F.col("snapshot") == F.lit(last)).drop("snapshot")
-    else:
-        versions = spark.createDataFrame([], S.MODEL_VERSIONS_SCHEMA)
-    # each run writes its own registry snapshot; a rerun replaces only that
-    (R.promote(versions, best, registry_name).withColumn("snapshot", F.lit(snapshot))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot")
-     .parquet(versions_path))
-    promoted = spark.read.parquet(versions_path).where(F.col("snapshot") == snapshot).drop("snapshot")
+    # another job may promote at the same time: each builds on the version it finds; a rerun adds none
+    registry = CommitLog(spark, f"{out}/model_versions", S.MODEL_VERSIONS_SCHEMA)
+    version = registry.commit(lambda versions: R.promote(versions, best, registry_name), key=f"{registry_name}|{run_ts}")
+    promoted = registry.read(version)
     this_job = {r["run_id"]: r["model_type"] for r in runs.select("run_id", "model_type").collect()}
     for run_id, model_type in this_job.items():
         # every fitted model is kept under its run id; serving picks by version
         MD.save(fitted[model_type], f"{out}/models/{run_id}")
     # 6. monitor: drift never blocks the batch
     try:
-        IO.write_report(D.drift_report(reference, clean).withColumn("status", F.lit("ok")),
-                        f"{out}/reports/drift", run_ts)
+        drift = D.drift_report(reference, clean).checkpoint()
+        retrain = D.retrain_from_runs(drift, all_runs, promoted, registry_name)
+        IO.write_report(drift.withColumn("status", F.lit("ok")), f"{out}/reports/drift", run_ts)
+        IO.write_report(retrain, f"{out}/reports/retrain", run_ts)
     except Exception as exc:  # reported as a row, flag false
         IO.write_report(spark.createDataFrame([("error", False, str(exc))],
                                               "status string, drift_detected boolean, error string"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..operators import clean as C
 from ..operators import drift as D
 from ..operators import prefix as P
 from ..sources import tables as TB
@@ -322,3 +323,54 @@ def dataset_drift_summary(spark, sf):
     share = F.count_if("drifted") / F.count(F.lit(1))
     return d.agg(F.count(F.lit(1)).alias("n_features"), F.count_if("drifted").alias("n_drifted"),
                  E.rnd(share, 6).alias("drift_share"), (share >= 0.5).alias("dataset_drift"))
+
+
+# -- small samples: exact two-sample test by counting lattice paths ---------------------
+_KS_REF, _KS_CUR = "l_orderkey <= 80", "l_orderkey > 80 and l_orderkey <= 200 and l_quantity > 10"
+_KS_COLS = ["l_extendedprice", "l_tax"]
+
+
+@register("drift_small_samples", oracle=f"""
+with recursive cells as (
+  select 'r' as side, f.feature, f.x from lineitem, lateral (select unnest(['l_extendedprice', 'l_tax']) as feature,
+         unnest([l_extendedprice, l_tax]) as x) f where {_KS_REF}
+  union all
+  select 'c', f.feature, f.x from lineitem, lateral (select unnest(['l_extendedprice', 'l_tax']) as feature,
+         unnest([l_extendedprice, l_tax]) as x) f where {_KS_CUR}),
+n as (select feature, count_if(side = 'r')::bigint as n1, count_if(side = 'c')::bigint as n2 from cells group by 1),
+v as (select feature, x, count_if(side = 'r') as r, count_if(side = 'c') as c from cells group by 1, 2),
+cum as (select feature, sum(r) over w as r, sum(c) over w as c from v window w as (partition by feature order by x)),
+s as (select feature, n1, n2, max(abs(r * n2 - c * n1))::bigint as steps from cum join n using (feature) group by 1, 2, 3),
+paths as (
+  select feature, n1, n2, steps, 0 as i, [case when j * n1 < steps then 1.0::double else 0.0::double end for j in range(0, n2 + 1)] as u
+  from s
+  union all
+  select feature, n1, n2, steps, i + 1,
+         [case when abs((i + 1) * n2 - j * n1) < steps
+               then list_sum([case when abs((i + 1) * n2 - k * n1) < steps then u[k + 1] else 0 end for k in range(0, j + 1)])
+               else 0.0::double end for j in range(0, n2 + 1)]
+  from paths where i < n1),
+p as (select feature, n1, n2, steps / (n1 * n2)::double as d,
+             1 - exp(ln(u[n2 + 1]) - (lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1))) as p
+      from paths where i = n1)
+select feature, n1, n2, round(d, 6) as ks_statistic, round(least(1, greatest(0, p)), 6) as ks_pvalue, 'exact' as method,
+       p < 0.05 as drifted from p""")
+def drift_small_samples(spark, sf):
+    """Order lines of the first orders against dearer ones of the next: samples too
+    small for the asymptotic test."""
+    li = TB.table(spark, sf, "lineitem")
+    return D.small_sample_drift(li.where(_KS_REF), li.where(_KS_CUR), _KS_COLS)
+
+
+# -- the reference slice in file order ----------------------------------------------------
+@register("reference_slice_file_order", oracle=O.with_ctes(O.clean_ctes(True)) + f""",
+feed as ({TB.oracle_dirty_view()}),
+f as (select {O._strip('customerID')} as customerID, min(load_order) as load_order from feed group by 1)
+select f.customerID, f.load_order from f join clean using (customerID)
+qualify row_number() over (order by f.load_order) <= greatest(1000, (select count(*) from clean) // 5)""")
+def reference_slice_file_order(spark, sf):
+    """The first rows of the file that survive cleaning, by their place in the file."""
+    clean = C.clean_customers(TB.customers_dirty(spark, sf), order_cols=["load_order"], keep_order=True)
+    clean = clean.select(S.ID_COL, "load_order").checkpoint(eager=True)
+    n = clean.count()
+    return P.first_n(clean, "load_order", max(1000, n // 5), total=n)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..session import scratch_path
 from ..sources import files as IO
 from ..sources import tables as TB
@@ -22,11 +23,10 @@ def _through(spark, df, fmt: str):
 
 
 @register("csv_round_trip", oracle="""
-select customerID, gender, tenure, MonthlyCharges, TotalCharges, Churn from (""" + TB.oracle_dirty_view() + ")")
+select """ + ", ".join(S.CUSTOMER_COLUMNS) + " from (" + TB.oracle_dirty_view() + ")")
 def csv_round_trip(spark, sf):
     """The dirty customer feed through CSV: blanks stay text, types come from the schema."""
-    raw = TB.customers_dirty(spark, sf).select(
-        "customerID", "gender", "tenure", "MonthlyCharges", "TotalCharges", "Churn")
+    raw = TB.customers_dirty(spark, sf).select(*S.CUSTOMER_COLUMNS)
     return _through(spark, raw, "csv")
 
 

@@ -134,3 +134,49 @@ def raw_expectations(spark, sf):
     """Checks on the raw feed before cleaning: charges text convertible to a
     number, raw label forms, id presence and uniqueness."""
     return X.run_suite(TB.customers_dirty(spark, sf), _raw_suite(), separate_distinct=False)
+
+
+def _suite_values_sql(src: str, suite) -> str:
+    parts = []
+    for i, r in enumerate(suite, start=1):
+        if isinstance(r, X.InSet):
+            allowed = ", ".join(f"'{v}'" for v in r.values)
+            parts.append(f"select {i} as rule_id, '{r.column}' as \"column\", case when cast({r.column} as varchar) in ({allowed}) "
+                         f"then 'expected' else 'unexpected' end as kind, cast({r.column} as varchar) as value from {src} "
+                         f"where {r.column} is not null")
+    return "select rule_id, \"column\", kind, value, count(*) as n from (" + " union all ".join(parts) + ") group by all"
+
+
+@register("lineitem_value_lists", oracle=_suite_values_sql("lineitem", _lineitem_suite()))
+def lineitem_value_lists(spark, sf):
+    """All values behind the in-set rules of the lineitem suite."""
+    return X.suite_values(TB.table(spark, sf, "lineitem"), _lineitem_suite())
+
+
+@register("raw_value_lists", oracle=f"with raw as ({TB.oracle_dirty_view()}) " + _suite_values_sql("raw", _raw_suite()))
+def raw_value_lists(spark, sf):
+    """All values behind the in-set rules of the raw feed's suite."""
+    return X.suite_values(TB.customers_dirty(spark, sf), _raw_suite())
+
+
+@register("values_not_in_table", oracle="""
+select 'l_partkey' as "column", cast(l_partkey as varchar) as value, count(*) as n
+from lineitem where l_partkey not in (select p_partkey from part where p_size <= 40)
+group by l_partkey""")
+def values_not_in_table(spark, sf):
+    """Parts that are ordered but not in the table of allowed parts."""
+    allowed = TB.table(spark, sf, "part").where("p_size <= 40")
+    return R.not_in_table(TB.table(spark, sf, "lineitem"), "l_partkey", allowed, "p_partkey")
+
+
+@register("in_table_rule", oracle="""
+with bad as (select o_custkey as v, count(*) as n from orders
+             where o_custkey not in (select c_custkey from customer where c_acctbal >= 0) group by 1)
+select 'expect_column_values_to_be_in_table' as expectation_type, 'o_custkey' as "column", count(*) = 0 as success,
+       count(*) as unexpected_values, coalesce(sum(n), 0)::bigint as unexpected_rows,
+       (select cast(v as varchar) from bad order by n desc, cast(v as varchar) limit 1) as commonest
+from bad""")
+def in_table_rule(spark, sf):
+    """The in-set rule with customers that have no debt as the allowed table."""
+    allowed = TB.table(spark, sf, "customer").where("c_acctbal >= 0")
+    return R.in_table_rule(TB.table(spark, sf, "orders"), "o_custkey", allowed, "c_custkey")
