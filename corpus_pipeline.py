@@ -36,11 +36,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy of the mix with its token ids (packed) and their number."""
+    """Each copy of the mix with its token ids (packed), their number, and the
+    digest of the text that they decode to."""
     modest_batches(spark)
-    return (docs.withColumn("ids", bpe.encode(F.col("text"), tokenizer_path()))
-            .select("doc_id", "lang", "source", "ids")
-            .withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")))
+    coded = docs.select("doc_id", "lang", "source",
+                        bpe.encoded_and_decoded(F.col("text"), tokenizer_path()).alias("coded"))
+    return coded.select("doc_id", "lang", "source", "coded.ids",
+                        (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2(F.col("coded.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
