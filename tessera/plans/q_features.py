@@ -183,3 +183,24 @@ def feature_metadata(spark, sf):
         E.rnd(F.avg(F.when(F.col("split") == "test", F.col("label").cast("double"))), 6).alias("test_churn_rate"))
     return stats.select(F.lit(len(_NUM)).alias("n_numerical"), F.lit(len(S.CATEGORICAL_FEATURES)).alias("n_categorical"),
                         F.lit(width).cast("bigint").alias("n_output_features"), "*")
+
+
+@register("feature_report", oracle="with " + _SPLIT_CTES + ",\n" + """
+lv as (""" + " union all ".join(
+    f"select distinct {i} as f, 'categorical__{c}_' || {c} as name, {c} as v from train where {c} is not null"
+    for i, c in enumerate(S.CATEGORICAL_FEATURES)) + f""")
+select '{",".join(_NUM)}' as numerical_features, '{",".join(S.CATEGORICAL_FEATURES)}' as categorical_features,
+       '{",".join("numerical__" + c for c in _NUM)}' || ',' || (select string_agg(name, ',' order by f, v) from lv)
+         as output_features,
+       (select count(*) from lv)::int + {len(_NUM)} as n_output_features,
+       (select count(*) from splitted where split = 'train') as train_rows,
+       (select count(*) from splitted where split = 'test') as test_rows,
+       round((select avg(cast(label as double)) from splitted where split = 'train'), 6) as train_label_rate,
+       round((select avg(cast(label as double)) from splitted where split = 'test'), 6) as test_label_rate,
+       (select count(*) from splitted where Churn not in ('Yes', 'No')) as labels_unmapped""")
+def feature_report(spark, sf):
+    """The features by name, in vector order, and what the split holds."""
+    df = with_split(spark, sf).withColumn("label_unmapped", E.label_unmapped(S.TARGET_COL))
+    report = PP.feature_metadata(df)
+    names = ("numerical_features", "categorical_features", "output_features")
+    return report.select(*[F.array_join(c, ",").alias(c) if c in names else F.col(c) for c in report.columns])

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as E
+from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import registry as R
 from ..sources import tables as TB
 from . import oracle as O
+from . import q_drift as QD
 from .catalog import register
 from .q_features import labelled
 
@@ -215,3 +217,39 @@ select run_id, model_type, roc_auc from runs order by roc_auc desc nulls last, r
 def top_runs(spark, sf):
     """Finished runs by ROC-AUC, top 10 (the limit is the feature)."""
     return R.best_runs(runs_table(spark, sf), "roc_auc", 10)
+
+
+# -- retraining from the run log ------------------------------------------------------
+# Two months of runs: the scorers on either half of the customers (by a hash of the id).
+_PERIODS = ("2024-01", "2024-02")
+
+
+@register("retrain_from_run_log", oracle=f"""
+with rep as ({QD._drift_sql("cur_shift", "report")}),
+lg as (select split_part(model, '@', 1) as model_type, split_part(model, '@', 2) as period, model, roc_auc
+       from (with {_PRED_CTES},
+             halves as (select label, score, prediction, model || '@' || case when substr(md5(customerID), 1, 1) < '8'
+                               then '{_PERIODS[0]}' else '{_PERIODS[1]}' end as model from preds),
+             {_metrics_sql("halves")} select model, roc_auc from auc)),
+served as (select model_type, roc_auc as baseline from lg where period = '{_PERIODS[0]}'
+           order by roc_auc desc nulls last, md5(model) limit 1),
+told as (select baseline, roc_auc as newest,
+                coalesce((baseline - roc_auc) / nullif(baseline, 0) > 0.05, false) as lost
+         from served join lg using (model_type) where period = '{_PERIODS[1]}')
+select drift_detected or lost as retrain,
+       case when drift_detected or lost then concat_ws('; ',
+              case when drift_detected then 'data drift in: ' || drifted_features end,
+              case when lost then printf('ROC-AUC fell from %.4f to %.4f', baseline, newest) end)
+            else 'no drift' end as reason,
+       drift_score, n_drifted_features from rep, told""")
+def retrain_from_run_log(spark, sf):
+    """The retraining signal with both AUC values read from the run log: the
+    serving version's run of the first month, the newest run of its model type."""
+    half = F.when(F.substring(F.md5("customerID"), 1, 1) < "8", _PERIODS[0]).otherwise(_PERIODS[1])
+    preds = predictions(spark, sf).withColumn("model", F.concat("model", F.lit("@"), half))
+    runs = R.runs_from_metrics(M.evaluate(preds)).select(
+        "run_id", F.substring_index("model_type", "@", 1).alias("model_type"), "status", "metrics",
+        F.substring_index("model_type", "@", -1).alias("start_ts")).checkpoint(eager=True)
+    none = spark.createDataFrame([], S.MODEL_VERSIONS_SCHEMA)
+    versions = R.promote(none, R.best_run(runs.where(F.col("start_ts") == _PERIODS[0])), REGISTRY_NAME)
+    return D.retrain_from_runs(D.drift_report(*QD._sides(spark, sf, shift=True)), runs, versions, REGISTRY_NAME)
