@@ -11,13 +11,14 @@ and is kept from going below zero: in steps where it does, the gradient of that
 term is followed upwards instead.
 
 Marks are words and their first letters (families of compound words share
-these); their values are logarithms of their counts in the whole text. The
-classifier is fitted on a bounded sample (``max_positive`` confirmed and
+these); their values are logarithms of their counts in the whole text, scaled to a vector
+of fixed length. The classifier is fitted on a bounded sample (``max_positive`` confirmed and
 ``max_unlabelled`` unlabelled documents, in expectation, chosen by a hash of the
-id, so reruns agree). Document counts of the sample are aggregated by Spark; the
-``max_words`` marks that are most clearly commoner in confirmed documents, and
-the sample's values for these, reach the driver. Every document is then scored
-over its whole text.
+id, so reruns agree). Document counts of the sample are aggregated by Spark; every
+mark of at least ``min_docs`` confirmed documents that a two-proportion test finds commoner
+there (``min_clear``) takes part, however rare it is, and the sample's values for these marks
+reach the driver as a sparse matrix. Both are bounded by the sample. Every document is then
+scored over its whole text.
 
 Defined cases: a null text is an empty one; an empty text gets the score of no
 mark. A null doc_id counts as the empty string in the held-out rule. Repeated
@@ -44,8 +45,8 @@ from .common import hash_share, modest_batches, settled
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as marks beside whole words.
 STEMS = (4, 6)
-#: Occurrences of a mark beyond these don't raise its value.
-MOST = 15
+#: Length of a text's vector of values: many marks don't outweigh few by their number alone.
+LENGTH = 4.0
 #: Marks that a task counts before it passes the counts on.
 HELD = 50_000
 
@@ -60,19 +61,47 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05,
-             decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
+class Sparse:
+    """A matrix by its cells."""
+
+    def __init__(self, rows, columns, values, n: int, width: int):
+        self.rows, self.columns = np.asarray(rows, np.int64), np.asarray(columns, np.int64)
+        self.values, self.n, self.width = np.asarray(values, float), n, width
+
+    def __len__(self) -> int:
+        return self.n
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * g[self.rows], self.width)
+
+
+def _sparse(x) -> Sparse:
+    if isinstance(x, Sparse):
+        return x
+    rows, columns = np.nonzero(x)
+    return Sparse(rows, columns, x[rows, columns], *x.shape)
+
+
+def fit_nnpu(pos, unl, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4,
+             seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier; sigmoid loss l(z) = s(-z), which is
-    bounded, so a few odd documents don't move it; full-batch Adam."""
+    bounded, so a few odd documents don't move it; full-batch Adam. ``pos``, ``unl``:
+    ``Sparse`` or arrays."""
+    pos, unl = _sparse(pos), _sparse(unl)
     rng = np.random.default_rng(seed)
-    w = rng.normal(0, 0.01, pos.shape[1] + 1)
-    pos = np.hstack([pos, np.ones((len(pos), 1))])
-    unl = np.hstack([unl, np.ones((len(unl), 1))])
+    w = rng.normal(0, 0.01, pos.width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
+
+    def mean_back(x: Sparse, g: np.ndarray) -> np.ndarray:
+        return np.append(x.back(g), g.sum()) / len(x)
+
     for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (pos, unl))
-        towards_p = prior * (pos.T @ (sp * (1 - sp))) / len(pos)
-        clean = (unl.T @ (su * (1 - su))) / len(unl) - towards_p
+        sp, su = (1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30))) for x in (pos, unl))
+        towards_p = prior * mean_back(pos, sp * (1 - sp))
+        clean = mean_back(unl, su * (1 - su)) - towards_p
         clean_risk = su.mean() - prior * sp.mean()
         grad = clean - towards_p if clean_risk >= 0 else -clean
         grad = grad + decay * np.append(w[:-1], 0)
@@ -124,12 +153,13 @@ class Reader:
         return found
 
     def values(self, text: str | None) -> dict[int, float]:
-        return {i: math.log2(1 + min(n, MOST)) for i, n in sorted(self.counts(text).items())}
+        found = {i: math.log2(1 + n) for i, n in sorted(self.counts(text).items())}
+        length = math.sqrt(math.fsum(x * x for x in found.values()))
+        return {i: LENGTH * x / length for i, x in found.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 10_000,
-          max_words: int = 256, min_docs: int = 3, min_share: float = 0.02,
-          min_clear: float = 5.0, class_prior: float | None = None) -> Model:
+          min_docs: int = 3, min_clear: float = 5.0, class_prior: float | None = None) -> Model:
     """Fit on the rows of ``docs`` and ``labels`` that are not held out.
     ``class_prior``: share of toxic documents; by default that among the
     labelled training rows."""
@@ -158,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unl
     n_p, n_u = sample.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum("unlabelled"), F.lit(0))).first()
     if not n_p or not n_u:
         return outside
-    # marks of at least this many confirmed documents: at most 1/min_share times a document's marks
+    # at most 1/min_docs of all marks of the sampled confirmed documents
     common = {r.mark: r.n for r in _document_counts(sample.where("positive = 1"), None)
-              .where(F.col("n") >= max(min_docs, min_share * n_p)).collect()}
+              .where(F.col("n") >= min_docs).collect()}
     elsewhere = {r.mark: r.n for r in _document_counts(sample.where("unlabelled = 1"), frozenset(common)).collect()}
 
     def clear(mark: str) -> float:
@@ -170,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unl
         spread = math.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
         return (p / n_p - u / n_u) / spread if spread else 0.0
 
-    vocabulary = sorted((w for w in common if clear(w) >= min_clear), key=lambda w: (-clear(w), w))[:max_words]
+    vocabulary = sorted(w for w in common if clear(w) >= min_clear)
     place = {w: i for i, w in enumerate(vocabulary)}
 
     @F.pandas_udf("map<int,double>")
@@ -181,12 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unl
     rows = sample.select("doc_id", "positive", "unlabelled", numbers("text").alias("found")).collect()
     rows.sort(key=lambda r: (r.doc_id, sorted(r.found.items())))
 
-    def matrix(picked_rows):
-        x = np.zeros((len(picked_rows), max(len(vocabulary), 1)))
-        for i, r in enumerate(picked_rows):
-            for j, value in r.found.items():
-                x[i, j] = value
-        return x
+    def matrix(picked_rows) -> Sparse:
+        cells = [(i, j, value) for i, r in enumerate(picked_rows) for j, value in r.found.items()]
+        return Sparse(*(zip(*cells) if cells else ((), (), ())), len(picked_rows), len(vocabulary))
 
     w, bias = fit_nnpu(matrix([r for r in rows if r.positive]), matrix([r for r in rows if r.unlabelled]), prior)
     return Model(bias, {word: float(w[i]) for word, i in place.items()})
