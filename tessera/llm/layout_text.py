@@ -5,14 +5,18 @@ A tree builder reads the tags, supplies the ones that authors leave out (a new
 so on) and ignores end tags that match nothing. A renderer walks the tree and
 emits all visible text: blocks start new lines, paragraphs, headings, lists and
 tables stand between blank lines, list items get a bullet or number and are
-indented by depth, ``pre`` keeps its spacing, table cells are padded so that
-columns line up. Head, scripts, styles, templates, comments, ``hidden`` elements
-and those styled ``display:none`` or ``visibility:hidden`` stay out, as do the
-body of a closed ``details`` and ``noscript`` (as where scripts run). Of ``svg``
-its text elements are read, of ``math`` all but annotations, of inputs that are
-buttons the label.
-
-Both steps use stacks of their own, so nesting of any depth is fine.
+indented by depth and numbered as ``start``, ``value`` and ``reversed`` say, ``pre``
+keeps its spacing. Table cells are padded so that columns line up; a cell's blocks,
+lists and lines stand below each other in its column, and a cell that spans rows or
+columns keeps its place in them. Head, scripts, styles, templates, comments, ``hidden``
+elements, those styled ``display:none``, closed dialogs, the body of a closed
+``details`` and ``noscript`` (as where scripts run) stay out. ``visibility:hidden`` hides the
+text of an element but for parts that are made visible again; a hidden cell keeps its
+column. Of ``svg`` its text elements are read, of ``math`` all but annotations, of inputs
+that are buttons the label.
+
+Both steps use stacks of their own, and tables are rendered from the innermost outward, so
+nesting of any depth is fine.
 
 Defined cases: a null page gives null, an empty one the empty text. Text that
 isn't markup is returned with its white space collapsed. A tag that never ends
@@ -41,7 +45,8 @@ TAG = re.compile(
     re.S)
 ATTRIBUTE = re.compile(_ATTRIBUTE)
 SPACE = re.compile(r"[ \t\n\r\f]+")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -161,9 +166,22 @@ def parse(html: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
+    """Neither the element nor anything in it is shown."""
     a = node.attrs
     return (node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden")
-            or bool(a) and "style" in a and INVISIBLE.search(a["style"]) is not None)
+            or (node.tag == "dialog" and "open" not in a)
+            or bool(a) and "style" in a and NOT_DISPLAYED.search(a["style"]) is not None)
+
+
+def veiled(node: Node, inherited: bool) -> bool:
+    """Whether the element's own text is invisible."""
+    found = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return found[-1].lower() != "visible" if found else inherited
+
+
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.lstrip("-").isdecimal() and text.isascii() and len(text) < 10 else None
 
 
 class _Page:
@@ -219,25 +237,28 @@ class _Page:
         return "\n".join([*self.lines, "".join(self.line).rstrip()]).strip("\n")
 
 
-def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and rows of cells; loose content makes a row of its own. A row
-    hidden by its tag or an enclosing section is left out."""
-    captions, rows, queue = [], [], list(reversed(table.children))
+def _rows(table: Node, veil: bool) -> tuple[list, list[list]]:
+    """Captions and rows of cells, each with whether it is veiled; loose content makes
+    a row of its own. A row hidden by its tag or an enclosing section is left out."""
+    captions, rows = [], []
+    queue = [(x, veil) for x in reversed(table.children)]
     while queue:
-        x = queue.pop()
-        if isinstance(x, str) or hidden(x):
-            if isinstance(x, str) and x.strip():
-                captions.append(_wrapped([x]))
+        x, veil = queue.pop()
+        if isinstance(x, str):
+            if x.strip():
+                captions.append((_wrapped([x]), veil))
+        elif hidden(x):
+            continue
         elif x.tag in ("thead", "tbody", "tfoot"):
-            queue += reversed(x.children)
+            queue += [(c, veiled(x, veil)) for c in reversed(x.children)]
         elif x.tag == "tr":
-            rows.append([c if isinstance(c, Node) and c.tag in ("td", "th") else _wrapped([c])
+            rows.append([(c if isinstance(c, Node) and c.tag in ("td", "th") else _wrapped([c]), veiled(x, veil))
                          for c in x.children if not (isinstance(c, str) and not c.strip())
                          and not (isinstance(c, Node) and hidden(c))])
         elif x.tag in ("td", "th"):
-            rows.append([x])
+            rows.append([(x, veil)])
         else:
-            captions.append(x)
+            captions.append((x, veil))
     return captions, rows
 
 
@@ -247,26 +268,58 @@ def _wrapped(children: list) -> Node:
     return node
 
 
-def _table(node: Node, depth: int) -> str:
-    captions, rows = _rows(node)
-    head = [t for c in captions if (t := render(_wrapped([c]), depth + 1))]
-    grid = []
+def _span(cell: Node, name: str, most: int) -> int:
+    n = _number(cell.attrs.get(name))
+    return most if n == 0 and name == "rowspan" else min(max(n or 1, 1), most)
+
+
+def _table(node: Node, veil: bool, tables: dict[int, str]) -> str:
+    captions, rows = _rows(node, veil)
+    lines = [t for c, v in captions if (t := render(_wrapped([c]), tables, v))]
+    grid: list[dict[int, list[str]]] = []
+    taken: dict[int, int] = {}  # columns that a cell from above still holds, and for how many rows
+    width: dict[int, int] = {}
     for row in rows:
-        cells: list[str] = []
-        for c in row:
-            cells.append(SPACE.sub(" ", render(c, depth + 1)).strip())
-            span = c.attrs.get("colspan", "1")
-            cells += [""] * (min(int(span), 1000) - 1 if span.isdecimal() and span.isascii() else 0)
-        grid.append(cells)
-    width: list[int] = []
+        cells: dict[int, list[str]] = {}
+        held, column = dict(taken), 0
+        for c, v in row:
+            while held.get(column):
+                column += 1
+            if text := render(c, tables, v):
+                cells[column] = text.split("\n")
+                width[column] = max(width.get(column, 0), *map(len, cells[column]))
+            below = _span(c, "rowspan", 65_534)
+            for _ in range(_span(c, "colspan", 1_000)):
+                if below > 1:
+                    taken[column] = below
+                column += 1
+        taken = {i: n - 1 for i, n in taken.items() if n > 1}
+        if cells:
+            grid.append(cells)
+    columns = sorted(width)
     for cells in grid:
-        width += [0] * (len(cells) - len(width))
-        for i, c in enumerate(cells):
-            width[i] = max(width[i], len(c))
-    kept = [i for i, w in enumerate(width) if w]
-    lines = ["  ".join((cells[i] if i < len(cells) else "").ljust(width[i]) for i in kept).rstrip()
-             for cells in grid if any(cells)]
-    return "\n".join(head + lines)
+        for k in range(max(map(len, cells.values()))):
+            lines.append("  ".join((cells[i][k] if k < len(cells.get(i, ())) else "").ljust(width[i])
+                                   for i in columns).rstrip())
+    return "\n".join(lines)
+
+
+def _tables(root: Node) -> dict[int, str]:
+    """The text of every table that isn't hidden, by the node's identity; inner tables
+    come first."""
+    found, todo = [], [(root, False)]
+    while todo:
+        x, veil = todo.pop()
+        if hidden(x):
+            continue
+        veil = veiled(x, veil)
+        if x.tag == "table":
+            found.append((x, veil))
+        todo += [(c, veil) for c in x.children if isinstance(c, Node)]
+    tables: dict[int, str] = {}
+    for x, veil in reversed(found):
+        tables[id(x)] = _table(x, veil, tables)
+    return tables
 
 
 def _drawn(svg: Node) -> list:
@@ -283,17 +336,32 @@ def _drawn(svg: Node) -> list:
     return [*out, " "] if out else out
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """Visible text of a tree. Tables in more than 20 tables are read as plain blocks."""
+def _first_number(x: Node) -> list[int] | None:
+    """An ordered list's next number and the step between its numbers."""
+    if x.tag != "ol":
+        return None
+    step = -1 if "reversed" in x.attrs else 1
+    first = _number(x.attrs.get("start"))
+    if first is None:
+        first = 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" and not hidden(c) for c in x.children)
+    return [first, step]
+
+
+def render(root: Node, tables: dict[int, str], veil: bool = False) -> str:
+    """Visible text of a tree. ``tables``: the text of the tables in it; ``veil``:
+    text is invisible where nothing makes it visible again."""
     page, pre = _Page(), 0
     todo: list = [root]
-    counters: list[int | None] = []
+    counters: list[list[int] | None] = []
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            page.verbatim(x) if pre else page.text(x)
+            if not veil:
+                page.verbatim(x) if pre else page.text(x)
         elif isinstance(x, tuple):  # leaving an element
-            tag, sort = x
+            tag, sort, veil = x
+            if not tag:
+                continue
             pre -= sort == "pre"
             if sort == "list":
                 counters.pop()
@@ -302,40 +370,47 @@ def render(root: Node, depth: int = 0) -> str:
                 page.mark = None
             page.need(2 if tag in APART and not (sort == "list" and counters) else 1)
         elif x.tag == "br":
-            page.blank = False
-            page.breaks += 1
+            if not veil:
+                page.blank = False
+                page.breaks += 1
         elif not hidden(x):
-            tag = x.tag
-            if tag == "table" and depth < 20:
+            tag, outside, veil = x.tag, veil, veiled(x, veil)
+            if id(x) in tables:
                 page.need(2)
-                if text := _table(x, depth):
+                if text := tables[id(x)]:
                     page.verbatim(text)
                 page.need(2)
+                veil = outside
                 continue
+            children = _drawn(x) if tag == "svg" else x.children
             if tag in BLOCK:
                 inner = tag in LISTS and bool(counters)
                 page.need(2 if tag in APART and not inner else 1)
                 sort = "list" if tag in LISTS else "item" if tag in ("li", "dd") else "pre" if tag == "pre" else ""
                 if sort == "list":
-                    start = x.attrs.get("start", "1")
-                    first = int(start) if start.lstrip("-").isdecimal() and start.isascii() and len(start) < 10 else 1
-                    counters.append(first if tag == "ol" else None)
+                    counters.append(_first_number(x))
                 elif tag == "li":
                     mark = "- "
                     if counters and counters[-1] is not None:
-                        mark = f"{counters[-1]}. "
-                        counters[-1] += 1
+                        own = _number(x.attrs.get("value"))
+                        number = counters[-1][0] if own is None else own
+                        mark = f"{number}. "
+                        counters[-1][0] = number + counters[-1][1]
                     page.mark = mark
                     page.indent.append(" " * len(mark))
                 elif tag == "dd":
                     page.indent.append("  ")
+                elif sort == "pre" and children and isinstance(children[0], str) and children[0][:1] == "\n":
+                    children = [children[0][1:], *children[1:]]  # the line break after the tag isn't text
                 pre += sort == "pre"
-                todo.append((tag, sort))
-            elif tag in ("td", "th"):
-                page.text(" ")
-            elif tag == "input" and x.attrs.get("type", "").strip().lower() in BUTTONS:
-                page.text(x.attrs.get("value", ""))
-            children = _drawn(x) if tag == "svg" else x.children
+                todo.append((tag, sort, outside))
+            else:
+                if tag in ("td", "th"):
+                    page.text(" ")
+                elif tag == "input" and not veil and x.attrs.get("type", "").strip().lower() in BUTTONS:
+                    page.text(x.attrs.get("value", ""))
+                if veil != outside:
+                    todo.append(("", "", outside))
             if tag == "details" and "open" not in x.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             todo += reversed(children)
@@ -343,7 +418,10 @@ def render(root: Node, depth: int = 0) -> str:
 
 
 def text_of(html: str | None) -> str | None:
-    return None if html is None else render(parse(html.replace("\r\n", "\n").replace("\r", "\n")))
+    if html is None:
+        return None
+    root = parse(html.replace("\r\n", "\n").replace("\r", "\n"))
+    return render(root, _tables(root))
 
 
 def rendered(html: Column) -> Column:

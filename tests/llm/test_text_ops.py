@@ -387,6 +387,69 @@ def test_page_text_of_quotes_math_svg_and_buttons(html, want):
     assert layout_text.text_of(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<table><tr><td><p>one</p><p>two</p><ul><li>x<li>y</ul><td>b</table>", "one  b\n\ntwo\n\n- x\n- y"),
+    ("<table><tr><td rowspan=2>a<td>b1<tr><td>b2<tr><td>c<td>d</table>", "a  b1\n   b2\nc  d"),
+    ("<table><tr><td colspan=2 rowspan=2>wide<td>1<tr><td>2<tr><td>x<td>y<td>z</table>", "wide     1\n         2\nx     y  z"),
+    ("<table><tr><td rowspan=0>a<td>1<tr><td>2<tr><td>3</table>", "a  1\n   2\n   3"),
+    ("<table><tr><td><pre>x  y\n z</pre><td>b</table>", "x  y  b\n z"),
+    ("<table><tr><td>l<br>m<td>r<table><tr><td>in<td>ner<tr><td>2</table></table>", "l  r\nm\n   in  ner\n   2"),
+    ("<table><tr><td>a<td style='visibility:hidden'>no<td>c<tr><td>1<td>2<td>3</table>", "a     c\n1  2  3"),
+    ("a<pre>\nfoo\n  bar</pre>", "a\n\nfoo\n  bar"), ("a<pre>\n\nfoo</pre>", "a\n\n\nfoo"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b style='visibility:collapse'>no</b>!</p>no</div>z",
+     "yes!\n\nz"),
+    ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"), ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"), ("<ol start=x><li value=y>a</ol>", "1. a"),
+    ("<div style='visibility:hidden'><table><tr><td>no<td style='visibility:visible'>yes</table></div>", "yes"),
+])
+def test_cells_spans_lists_and_visibility(html, want):
+    assert layout_text.text_of(html) == want
+
+
+def test_tables_against_a_slow_grid():
+    """Random tables with spans: every cell's lines stand at its column, in its rows."""
+    rng = random.Random(8)
+    for _ in range(200):
+        rows, html = [], "<table>"
+        for r in range(rng.randint(1, 5)):
+            html += "<tr>"
+            cells = []
+            for _ in range(rng.randint(1, 4)):
+                lines = ["".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 3))]
+                span = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])
+                cells.append((lines, *span))
+                html += f"<td colspan={span[0]} rowspan={span[1]}>{'<br>'.join(lines)}"
+            rows.append(cells)
+        got = layout_text.text_of(html + "</table>")
+        # the slow way: mark every square, then write the text at its place
+        squares, placed, top = {}, [], 0
+        for r, cells in enumerate(rows):
+            c = 0
+            for lines, across, down in cells:
+                while (r, c) in squares:
+                    c += 1
+                squares.update({(r + i, c + j): 1 for i in range(down) for j in range(across)})
+                placed.append((r, c, lines))
+                c += across
+        width = {}
+        for _, c, lines in placed:
+            width[c] = max([width.get(c, 0), *map(len, lines)])
+        left, x = {}, 0
+        for c in sorted(width):
+            left[c], x = x, x + width[c] + 2
+        canvas = []
+        for r in range(len(rows)):
+            mine = [(c, lines) for q, c, lines in placed if q == r]
+            height = max(len(lines) for _, lines in mine)
+            block = [[" "] * x for _ in range(height)]
+            for c, lines in mine:
+                for i, line in enumerate(lines):
+                    block[i][left[c]:left[c] + len(line)] = line
+            canvas += ["".join(b).rstrip() for b in block]
+        assert got == "\n".join(canvas)
+
+
 def test_page_text_of_the_table(spark):
     """Every visible word of the simple pages is there, in order, no other."""
     import re
@@ -402,7 +465,7 @@ def test_page_text_of_the_table(spark):
 
 
 @pytest.mark.parametrize("html", ["<b>" * 50_000 + "x", "<div>" * 20_000 + "x", "<table><tr><td>" * 100 + "x",
-                                  "<ul><li>" * 500 + "x"])
+                                  "<ul><li>" * 500 + "x", "<table><tr><td>" * 3_000 + "x"])
 def test_deep_pages(html):
     assert layout_text.text_of(html).strip(" -\n") == "x"
 
