@@ -76,7 +76,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_MARKED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A path for an intermediate table, in this application's folder under the
+    shared checkpoint folder. The folder goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{sc.applicationId}"
+    if root not in _MARKED:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _MARKED.add(root)
+    return f"{root}/{name}"
