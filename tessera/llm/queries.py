@@ -28,7 +28,10 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Scraps weigh a quarter and short documents half of what others weigh."""
+    size = mixing.word_count(F.col("text"))
+    weight = F.when(size < 20, 0.25).when(size < 100, 0.5).otherwise(1.0)
+    return mixing.mix(table(spark, sf_dir, "documents"), weight=weight)
 
 
 def op2_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +124,10 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "op1_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source,
-         CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
-  FROM documents),
+  SELECT *, CASE WHEN size < 20 THEN 0.25 WHEN size < 100 THEN 0.5 ELSE 1 END::DOUBLE AS w
+  FROM (SELECT doc_id, source,
+               CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
+        FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END
@@ -141,23 +145,32 @@ t AS (
          CASE WHEN f.pos IS NULL OR l.pos < f.pos THEN most::DOUBLE
               ELSE least(f.level * w, most::DOUBLE) END AS target
   FROM l, f),
-r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio FROM t),
+k AS (
+  SELECT t.source, t.source_size, t.target, d.w, sum(d.size)::BIGINT AS words
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+v AS (
+  SELECT *, coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM k WINDOW o AS (PARTITION BY source ORDER BY w DESC)),
+x AS (SELECT *, CASE WHEN rest > 0 THEN (target - 2 * before) / rest END AS tried FROM v),
+y AS (SELECT *, max(CASE WHEN tried * w <= 2 THEN w END) OVER (PARTITION BY source) AS top FROM x),
+z AS (SELECT *, max(CASE WHEN w = top THEN tried END) OVER (PARTITION BY source) AS level FROM y),
+e AS (SELECT *, coalesce(least(level * w, 2::DOUBLE), 2::DOUBLE) AS expected FROM z),
 p AS (
-  SELECT *, floor(ratio)::BIGINT AS certain, ratio - floor(ratio) AS chance,
-         round(target)::BIGINT - floor(ratio)::BIGINT * source_size AS missing
-  FROM r),
+  SELECT *, floor(expected)::BIGINT AS certain, expected - floor(expected) AS chance,
+         round(target)::BIGINT - (sum(floor(expected)::BIGINT * words) OVER (PARTITION BY source))::BIGINT AS missing
+  FROM e),
 u AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.certain, p.chance, p.missing,
+  SELECT d.doc_id, d.source, d.size, d.w, p.source_size, p.target, p.expected, p.certain, p.chance, p.missing,
          (('0x' || substr(md5('pareto:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE)
            / 281474976710656::DOUBLE AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.w = p.w),
 q AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) * ((1 - chance) / chance) END AS q FROM u),
 c AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM q)
-SELECT doc_id, source, size, source_size, target,
+SELECT doc_id, source, size, source_size, target, expected,
        (certain * size + CASE WHEN chance > 0 THEN greatest(0, least(size, missing - before)) ELSE 0 END)::BIGINT AS taken
 FROM c
 """,

@@ -55,6 +55,31 @@ def test_mix_inclusion_follows_the_chance(spark):
     assert got.taken.sum() == mixing.mix(docs, buckets=4096).toPandas().taken.sum()
 
 
+def test_mix_of_unequal_weights(spark, odd):
+    """Expected copies go by weight, cut at the cap; words drawn of each weight come near them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([2, 9, 30])), "ab"[i % 2], [0.1, 0.4, 1.0, None][i // 2 % 4]) for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = mixing.mix(docs, weight=F.col("weight")).toPandas().set_index("doc_id").loc[[r[0] for r in rows]]
+    got["weight"] = [1.0 if r[3] is None else r[3] for r in rows]
+    for _, g in got.groupby("source"):
+        target, words = g.target.iloc[0], g.groupby("weight")["size"].sum()
+        low, high = 0.0, 1e6  # the level, by halving
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(2, mid * w) * n for w, n in words.items()) < target else (low, mid)
+        for w, same in g.groupby("weight"):
+            assert same.expected.iloc[0] == pytest.approx(min(2, low * w)) and same.expected.nunique() == 1
+            assert abs(same.taken.sum() / same["size"].sum() - same.expected.iloc[0]) < 0.05
+            full = same.taken // same["size"]
+            assert ((full == np.floor(same.expected)) | (full == np.floor(same.expected) + 1)).all()
+        assert abs(g.taken.sum() - target) <= 1
+    assert got.groupby("source").expected.nunique().max() >= 3
+    weight = F.when(F.length("text") < 50, 0.3).otherwise(1.0)
+    mixed = mixing.materialise(odd, weight=weight)
+    assert sum(brute.words(r.text) for r in mixed.collect()) == sum(r.taken for r in mixing.mix(odd, weight=weight).collect())
+
+
 def test_materialised_mix(odd, none):
     mixed = mixing.materialise(odd)
     assert mixed.columns == odd.columns and mixed.dtypes == odd.dtypes
