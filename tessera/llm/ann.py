@@ -12,10 +12,14 @@ Inner products become distances by one more component, which brings every row to
 the largest norm (queries have zero there); for unit vectors nothing changes.
 
 Index: every row enters its nearest list and, being near a boundary, up to
-``replicas`` - 1 others not further than ``1 + boundary`` times that distance.
+``replicas`` - 1 others not further than ``1 + boundary`` times that distance; a list whose
+centroid lies close to that of a chosen one (``thin`` times as far as from the row, at most) is
+left out, as a search that reads the one will hardly need the other.
 Search: the graph finds the lists whose centroid is within ``1 + reach`` times the
 distance of the nearest; these are read. So easy queries read few lists and hard
-ones many, without a fixed number.
+ones many, without a fixed number. ``reach`` is fitted: for a bounded sample of the queries
+(``tuning_queries``, by a hash) the exact neighbours are found in one pass, and the least
+ratio is taken at which the lists read would have held the share ``recall`` of them.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all a result
 can hold of them, gathered in salted steps; a vector that makes up a third of the
@@ -144,11 +148,12 @@ def _entries(rows: DataFrame, k: int, n: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
-           list_rows: int = 512, replicas: int = 4, boundary: float = 0.1, reach: float = 0.2, beam: int = 8,
+           list_rows: int = 512, replicas: int = 4, boundary: float = 0.1, thin: float = 0.4, reach: float | None = None,
+           recall: float = 0.98, tuning_queries: int = 128, beam: int = 8,
            sample_rows: int = 32_768, max_lists: int = 4_096, cell_rows: int = 1 << 14,
            chunk_rows: int = 1_024) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row that ``is_query`` holds
-    for, the ``k`` nearest found among all other rows."""
+    for, the ``k`` nearest found among all other rows. ``reach``: given, it isn't fitted."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -178,7 +183,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                 dist = graph.value.distances(_raised(matrix(part["vec"], dims), most), boundary, beam)
                 order = np.argsort(dist, axis=1, kind="stable")[:, :replicas]
                 near = np.take_along_axis(dist, order, axis=1)
-                row, nth = np.nonzero(np.isfinite(near) & (near <= near[:, :1] * (1 + boundary)))
+                chosen = np.isfinite(near) & (near <= near[:, :1] * (1 + boundary))
+                for b in range(1, chosen.shape[1]):
+                    for a in range(b):
+                        apart = np.linalg.norm(graph.value.c[order[:, a]] - graph.value.c[order[:, b]], axis=1)
+                        chosen[:, b] &= ~(chosen[:, a] & (apart <= thin * near[:, b]))
+                row, nth = np.nonzero(chosen)
                 out = part.select(["rep", "vec", "ids"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order[row, nth].astype(np.int32)), *out.columns], ["list", *out.schema.names])
@@ -187,6 +197,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     posted = settled(entries.select("rep", "vec", "ids").mapInArrow(
         post, f"list int, rep long, vec {kind}, ids array<bigint>"))
 
+    if reach is None:
+        reach = _fitted_reach(entries, posted, graph.value.c, dims, most, k, recall, tuning_queries)
+
     # lists into cells; at most max_lists numbers on the driver
     sizes = sorted((r["list"], r["count"]) for r in posted.groupBy("list").count().collect())
     cell_of, n_cells, room = {}, 0, 0
@@ -270,6 +283,50 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         "query_id", F.filter("best", lambda b: b["id"] != F.col("query_id")).alias("best")), k)
 
 
+def _fitted_reach(entries: DataFrame, posted: DataFrame, centroids: np.ndarray, dims: int, most: float, k: int,
+                  recall: float, tuning_queries: int) -> float:
+    """The least ratio at which the lists read hold ``recall`` of the exact neighbours
+    of some queries. The driver gets these queries, their neighbours and the neighbours' lists."""
+    some = (entries.where("asks").select("rep", "vec").orderBy(F.xxhash64(F.lit("tuning"), F.col("rep")), "rep")
+            .limit(tuning_queries).toArrow())
+    if not some.num_rows:
+        return 0.0
+    asking, q = some["rep"].to_numpy(), matrix(some["vec"], dims).astype(np.float64)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            ids = np.column_stack([ids, np.tile(batch["rep"].to_numpy(), (len(q), 1))])
+            scores = np.column_stack([scores, q @ matrix(batch["vec"], dims).astype(np.float64).T])
+            if scores.shape[1] > k + 1:
+                top = np.argpartition(-scores, k, axis=1)[:, :k + 1]
+                ids, scores = np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
+        if scores.shape[1]:
+            yield pa.RecordBatch.from_pydict(
+                {"q": np.arange(len(q), dtype=np.int32),
+                 "best": [sorted(({"less": -x, "id": i} for x, i in zip(a, b)), key=lambda e: (e["less"], e["id"]))
+                          for a, b in zip(scores.tolist(), ids.tolist())]},
+                schema=pa.schema([("q", pa.int32()), ("best", _BEST_ARROW)]))
+
+    parts = 4096
+    found = (entries.select("rep", "vec").mapInArrow(nearest, f"q int, best {_BEST}")
+             .withColumn("part", F.spark_partition_id() % parts))
+    near = {r.q: [b.id for b in r.best] for r in merge_best(found, ["q"], "part", "best", k + 1, parts).collect()}
+    wanted = sorted({i for held in near.values() for i in held})
+    lists: dict[int, list[int]] = {}
+    reps = entries.sparkSession.createDataFrame([(i,) for i in wanted], "rep long")  # tuning_queries * (k + 1) at most
+    for r in posted.join(F.broadcast(reps), "rep").select("rep", "list").collect():
+        lists.setdefault(r.rep, []).append(r.list)
+    needed = []
+    for i, (own, raised) in enumerate(zip(asking.tolist(), _asked(q, most))):
+        d = np.linalg.norm(centroids - raised, axis=1)
+        # rounding leaves nothing that stands at the limit itself outside
+        ratio = d / max(float(d.min()), 1e-12) * (1 + 1e-9)
+        needed += [float(ratio[lists[x]].min()) - 1 for x in near[i] if x != own]
+    needed.sort()
+    return max(0.0, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if needed else 0.0
+
+
 class _Cell:
     """Entries of one packed row, by list."""
 

@@ -103,6 +103,31 @@ def test_targets(spark, sizes):
 
 
 # -- vectors --------------------------------------------------------------
+def test_reach_is_fitted_and_lists_are_pruned(spark, monkeypatch):
+    """Clustered vectors: boundary rows in several lists, few lists read, the recall asked for."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 4000)] + 0.35 * rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen, fit = [], ann._fitted_reach
+
+    def tell(entries, posted, centroids, *more):
+        reach = fit(entries, posted, centroids, *more)
+        away = np.linalg.norm(centroids[None] - ann._asked(x[::20], 1.0)[:, None], axis=2)
+        seen.extend([posted.count() / entries.count(), (away <= away.min(1, keepdims=True) * (1 + reach)).sum(1).mean(),
+                     len(centroids)])
+        return reach
+
+    monkeypatch.setattr(ann, "_fitted_reach", tell)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = as_dict(ann.search(vectors, F.col("vec_id") % 20 == 0, list_rows=50))
+    want = brute.top_k(np.arange(4000), x, np.arange(4000) % 20 == 0, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in v}) for q, v in want.items())
+    assert hits / (20 * len(want)) >= 0.95
+    copies, read, lists = seen
+    assert 1.05 < copies < 2 and read < lists / 10
+
+
 ODD_VECTORS = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, None), (2, []), (3, [None, 1.0]), (40, [float("nan"), 1.0]),
                (5, [float("inf"), 1.0]), (60, [0.0, 0.0]), (6, [-1.0, -2.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]),
                (None, [5.0, 5.0]), (80, [1.0, 2.0, 3.0]), (9, [2.0, 1.0]), (100, [0.5, -0.5])]
