@@ -45,7 +45,7 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+def modest_batches(spark: SparkSession, rows: int = 400) -> None:
     """For results that are computed later: where nobody chose how many rows a
     Python worker gets at a time, make it ``rows`` for this session, so that
     long texts don't pile up in a worker."""
