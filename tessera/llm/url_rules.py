@@ -11,9 +11,10 @@ reads as ``0``. Each distinct labelled URL is one transaction of its frequent to
 and its label, so copies add no evidence. Two steps keep the itemsets few without
 losing a rule: tokens that occur in all labelled URLs are left out, and tokens
 that occur in exactly the same URLs count as one, named by the least (their
-combinations would repeat each other). A URL enters mining with its
-``mining_tokens`` most telling tokens (by deviation from the label's share); the
-match reads all tokens. Spark's FP-growth counts the itemsets. An antecedent
+combinations would repeat each other). All tokens left take part. Where no URL has
+more than ``mining_tokens`` of them, Spark's FP-growth counts the itemsets; a longer
+URL has too many combinations to list (2^n), so ``level_sets`` then finds, size by
+size, the sets that may be rules: exact too, the rules are the same. An antecedent
 makes a rule for a label if it is frequent, the label's confidence reaches
 ``min_confidence``, and no antecedent with one token less is as confident up to
 ``min_gain`` (the empty one has the label's share).
@@ -100,9 +101,10 @@ def tokens(url: Column) -> Column:
         F.array().cast("array<string>"))
 
 
-def transactions(labelled: DataFrame, min_support: float, min_count: int, mining_tokens: int):
-    """``labelled``: url, bad (boolean). Returns (transactions with ``items``,
-    their number, the bad ones, the least number of URLs of an itemset)."""
+def transactions(labelled: DataFrame, min_support: float, min_count: int):
+    """``labelled``: url, bad (boolean). Returns (transactions: key, bad and all
+    frequent ``items``; their number, the bad ones, the least number of URLs of an
+    itemset)."""
     urls = settled(labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
                    .select(F.md5("url").alias("key"), "bad", tokens(F.col("url")).alias("tokens")))
     total, bad = urls.agg(F.count(F.lit(1)), F.count_if("bad")).first()
@@ -116,36 +118,82 @@ def transactions(labelled: DataFrame, min_support: float, min_count: int, mining
                 F.sum(mix.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
                 F.sum(F.shiftrightunsigned(mix, 32)).alias("high"))
             .where((F.col("n") >= least) & (F.col("n") < total)))
-    share = bad / total
     # tokens of the same URLs: one item, named by the least of them
-    items = (seen.groupBy("n", "n_bad", "low", "high").agg(F.min("token").alias("token"))
-             .select("token", (F.abs(F.col("n_bad") - F.col("n") * share) / F.sqrt("n")).alias("telling")))
+    items = seen.groupBy("n", "n_bad", "low", "high").agg(F.min("token").alias("token")).select("token")
     kept = (urls.select("key", F.explode("tokens").alias("token")).join(small_side(settled(items)), "token")
-            .groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct(
-                (-F.col("telling")).alias("by"), "token"))), 1, mining_tokens).alias("top"))
-            .select("key", F.col("top.token").alias("top")))
-    label = F.when(F.col("bad"), BLOCK).otherwise(ALLOW)
-    return (urls.join(kept, "key", "left")
-            .select(F.concat(F.coalesce("top", F.array().cast("array<string>")), F.array(label)).alias("items")),
+            .groupBy("key").agg(F.collect_list("token").alias("items")))
+    return (urls.select("key", "bad").join(kept, "key", "left")
+            .select("key", "bad", F.coalesce("items", F.array().cast("array<string>")).alias("items")),
             total, bad, least)
 
 
+def level_sets(baskets: DataFrame, total: int, bad: int, least: int, min_gain: float) -> DataFrame:
+    """The itemsets that may be rules, and all their subsets: antecedent, label
+    (null: any), n. Sets grow by one item a round, in each URL from two sets that
+    differ in their last item.
+
+    A set may be a rule for a label if ``least`` URLs of the label have it and each
+    of its items keeps out URLs of the other label that have all the others: fewer
+    than ``min_gain`` * ``least`` of them, or none, can't raise the confidence by
+    ``min_gain``. A superset has no more URLs of either kind, so nothing that grows
+    from a set dropped here could be a rule."""
+    spark = baskets.sparkSession
+    # a hair less, so that rounding can't drop a set; without a gain there is nothing to go by
+    spared = max(1.0, min_gain * least * (1 - 1e-9)) if min_gain > 1e-9 else 0.0
+    found = spark.createDataFrame([], "antecedent array<string>, label string, n long")
+    before = spark.createDataFrame([([], BLOCK, total - bad), ([], ALLOW, bad)],
+                                   "shorter array<string>, label string, wrong_before long")
+    pairs = baskets.select("key", "bad", F.explode("items").alias("item")).select(
+        "key", "bad", F.array("item").alias("antecedent"))
+    shorter = F.explode(F.expr("transform(antecedent, x -> filter(antecedent, y -> y <> x))")).alias("shorter")
+    while True:
+        pairs = settled(pairs)
+        counts = pairs.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+        good = F.col("n") - F.col("n_bad")
+        sides = counts.select("antecedent", "n", F.inline(F.array(
+            F.struct(F.lit(BLOCK).alias("label"), F.col("n_bad").alias("right"), good.alias("wrong")),
+            F.struct(F.lit(ALLOW).alias("label"), good.alias("right"), F.col("n_bad").alias("wrong")))))
+        left = settled(sides.where(F.col("right") >= least).select("*", shorter).join(before, ["shorter", "label"])
+                       .where(F.col("wrong_before") - F.col("wrong") >= spared)
+                       .groupBy("antecedent", "label", "n", "right", "wrong").agg(F.count(F.lit(1)).alias("held"))
+                       .where(F.col("held") == F.size("antecedent")))
+        found = (found.unionByName(left.select("antecedent", "label", F.col("right").alias("n")))
+                 .unionByName(left.select("antecedent", F.lit(None).cast("string").alias("label"), "n").distinct()))
+        grows = left.where(F.col("wrong") >= spared)
+        if grows.isEmpty():
+            return found
+        before = grows.select(F.col("antecedent").alias("shorter"), "label", F.col("wrong").alias("wrong_before"))
+        live = pairs.join(small_side(settled(grows.select("antecedent").distinct())), "antecedent").select(
+            "key", "bad", "antecedent", F.expr("slice(antecedent, 1, size(antecedent) - 1)").alias("start"),
+            F.element_at("antecedent", -1).alias("last"))
+        pairs = (live.join(live.select("key", "start", F.col("last").alias("next")), ["key", "start"])
+                 .where(F.col("last") < F.col("next"))
+                 .select("key", "bad", F.concat("antecedent", F.array("next")).alias("antecedent")))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.9,
          min_gain: float = 0.01, mining_tokens: int = 16) -> DataFrame:
     """Rules: antecedent (sorted tokens), verdict, n (URLs with the antecedent),
     confidence. ``min_support`` is a share of the distinct labelled URLs, never
-    below ``min_count`` URLs."""
+    below ``min_count`` URLs. ``mining_tokens``: the most frequent tokens that a URL
+    may have for FP-growth; it chooses the way, not the rules."""
     spark = labelled.sparkSession
-    baskets, total, bad, least = transactions(labelled, min_support, min_count, mining_tokens)
+    baskets, total, bad, least = transactions(labelled, min_support, min_count)
     schema = "antecedent array<string>, verdict string, n long, confidence double"
     if total < least:
         return spark.createDataFrame([], schema)
-    # half a URL less, so that rounding can't turn the least number into the next one
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=1.0).fit(settled(baskets))
-    sets = settled(model.freqItemsets.select(
-        F.array_sort(F.filter("items", lambda x: ~x.isin(BLOCK, ALLOW))).alias("antecedent"),
-        F.get(F.filter("items", lambda x: x.isin(BLOCK, ALLOW)), F.lit(0)).alias("label"),
-        F.col("freq").alias("n")))
+    baskets = settled(baskets)
+    if baskets.agg(F.max(F.size("items"))).first()[0] <= mining_tokens:
+        marked = baskets.select(F.concat(
+            "items", F.array(F.when(F.col("bad"), BLOCK).otherwise(ALLOW))).alias("items"))
+        # half a URL less, so that rounding can't turn the least number into the next one
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=1.0).fit(marked)
+        sets = settled(model.freqItemsets.select(
+            F.array_sort(F.filter("items", lambda x: ~x.isin(BLOCK, ALLOW))).alias("antecedent"),
+            F.get(F.filter("items", lambda x: x.isin(BLOCK, ALLOW)), F.lit(0)).alias("label"),
+            F.col("freq").alias("n")))
+    else:
+        sets = settled(level_sets(baskets, total, bad, least, min_gain))
     alone = sets.where("label is null and size(antecedent) > 0").select("antecedent", "n")
     sure = (sets.where("label is not null and size(antecedent) > 0")
             .join(alone.withColumnRenamed("n", "n_all"), "antecedent")

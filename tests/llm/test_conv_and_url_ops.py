@@ -241,6 +241,31 @@ def test_long_copied_urls_stay_cheap(spark):
     assert url_rules.mine(frame, min_support=0.1, min_count=5, min_confidence=0.4).count() <= 4
 
 
+def test_no_token_of_a_long_url_is_left_out(spark):
+    """URLs with more frequent tokens than FP-growth takes: the rule that needs the least
+    telling of them is found, and both ways give the same rules."""
+    rng, urls = random.Random(5), {}
+    for i in range(320):
+        depth, a, b = i % 20, i // 20 % 2, i // 40 % 2
+        path = [f"d{chr(97 + j)}" for j in range(depth + 1)] + ["wa"] * a + ["wb"] * b
+        url = f"http://h/{'/'.join(path)}?z={chr(97 + i % 26)}{chr(97 + i // 26)}"
+        urls[url] = a == b or rng.random() < depth / 50  # neither word alone tells anything
+    frame = spark.createDataFrame([*urls.items()], "url string, bad boolean")
+    baskets, total, bad, least = url_rules.transactions(frame, 0.05, 5)
+    rows = baskets.collect()
+    assert max(len(r["items"]) for r in rows) > 16 and (total, bad, least) == (320, sum(urls.values()), 16)
+    got = {tuple(r.antecedent): (r.verdict, r.n, r.confidence) for r in url_rules.mine(frame, 0.05, 5).collect()}
+    assert got[("p:wa", "p:wb")] == ("block", 80, 1.0)
+    for tokens, (verdict, n, confidence) in got.items():
+        having = [r.bad for r in rows if set(tokens) <= set(r["items"])]
+        assert n == len(having)
+        assert confidence == sum(b == (verdict == "block") for b in having) / n >= 0.9
+
+    few = spark.createDataFrame([(u, b) for i, (u, b) in enumerate(urls.items()) if i % 20 < 8], "url string, bad boolean")
+    by_trees, by_level = (sorted(map(tuple, url_rules.mine(few, 0.05, 5, 0.6, 0.02, most).collect())) for most in (16, 0))
+    assert by_trees == by_level and any(len(r[0]) > 1 for r in by_level)
+
+
 def test_url_query_covers_the_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = queries.op11_url_rules(spark, SMALL).collect()
