@@ -192,3 +192,22 @@ def test_csv_is_splittable_unless_fields_hold_line_breaks(spark, tmp_path):
         assert IO.read_table(spark, big, typed, "csv").count() == 200_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_many_training_rows_fill_every_wave_and_lie_sorted(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    from tessera.operators import models as MD
+    assert MD.training_partitions(4_320_000, 12) == 24  # 18 would leave half the cores idle in a second wave
+    assert [MD.training_partitions(n, 12) for n in (100, 12_000, 720_000)] == [1, 6, 12]
+    monkeypatch.setattr(MD, "SORTED_ROWS", 100)
+    rows = [(float(i * 37 % 101), "ab"[i % 2], i % 3 % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, c string, label int").repartition(3)
+    prep = MD.fit_preprocessing(df, ["x"], ["c"])
+    vectors = MD.training_vectors(prep, df)
+    try:
+        parts = vectors.select(vector_to_array("features").alias("v")).rdd.glom().collect()
+    finally:
+        vectors.unpersist()
+    assert sum(map(len, parts)) == 300 and all([r.v for r in p] == sorted(r.v for r in p) for p in parts)
+    forest = MD.model_configs(1.0)[1]["estimator"]
+    assert forest.getCacheNodeIds() and forest.getCheckpointInterval() == -1
