@@ -207,8 +207,11 @@ def train_and_log(train: DataFrame, test: DataFrame, data_tag: str, model_names=
             preds = probabilities(model, test).select(
                 F.lit(cfg["name"]).alias("model"), "label",
                 F.col("churn_probability").alias("score"),
-                E.decision("churn_probability").cast("int").alias("prediction"))
-            m = M.evaluate(preds).first()
+                E.decision("churn_probability").cast("int").alias("prediction")).persist()
+            try:  # read several times: counts, bucket bounds, ranks
+                m = M.evaluate(preds).first()
+            finally:
+                preds.unpersist()
             metrics = {k: float(m[k]) for k in ["accuracy", "precision", "recall", "f1_score", "roc_auc"]}
             fitted[cfg["name"]] = model
             rows.append((run_id_for(cfg["name"], S.SEED, data_tag), cfg["name"], "FINISHED", start,

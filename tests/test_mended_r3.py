@@ -211,3 +211,14 @@ def test_many_training_rows_fill_every_wave_and_lie_sorted(spark, monkeypatch):
     assert sum(map(len, parts)) == 300 and all([r.v for r in p] == sorted(r.v for r in p) for p in parts)
     forest = MD.model_configs(1.0)[1]["estimator"]
     assert forest.getCacheNodeIds() and forest.getCheckpointInterval() == -1
+
+
+def test_test_rows_are_scored_once(spark, monkeypatch):
+    from tessera.operators import metrics as M
+    from tessera.operators import models as MD
+    from tessera.plans.q_models import _train_test
+    seen, evaluate = [], M.evaluate
+    monkeypatch.setattr(M, "evaluate", lambda preds: (seen.append(preds), evaluate(preds))[1] if preds.is_cached else 1 / 0)
+    train, test = _train_test(spark, "/root/testdata/sf0.001")
+    _, runs = MD.train_and_log(train, test, "t", ["LogisticRegression"])
+    assert len(seen) == runs.count() == 1 and not seen[0].is_cached
